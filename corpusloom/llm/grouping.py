@@ -16,53 +16,47 @@ from corpusloom.llm.graph import compose, save_counting
 from corpusloom.scratch import Scratch
 
 
-def low_diameter_groups(edges: DataFrame, scratch: Scratch, beta: float = 0.4, rounds_a_job: int = 4) -> DataFrame:
-    """``(c, p)``: a name shared by all vertices that ``edges(u, v)`` connects, for every vertex of an edge.
-
-    Repeated and mirrored rows and loops are allowed; rows with a null end
-    count for nothing, and a vertex that only has loops is left out.  At level
-    ``k`` vertex ``x`` starts ``s(x)`` early, exponential with rate ``beta`` (half
-    of it at each further level, as few edges are left) and drawn from a hash of
-    ``(k, x)``, so that reruns agree.  It holds the greatest of
+def low_diameter_groups(edges: DataFrame, scratch: Scratch, beta: float = 0.4, radius: int = 4) -> DataFrame:
+    """``(c, p)``: a number shared by all vertices that ``edges(u, v)`` connects, for every vertex of an edge.
+
+    Vertices are longs.  Repeated and mirrored rows and loops are allowed; rows
+    with a null end count for nothing, and a vertex that only has loops is left
+    out.  At level ``k`` vertex ``x`` starts ``s(x)`` early, exponential with rate
+    ``beta`` and drawn from a hash of ``(k, x)``.  It holds the greatest of
     ``s(y) - distance(x, y)`` and that ``y``; a round passes ``held - 1`` to the
-    neighbours, and growth ends where nothing changes.  No vertex takes less
-    than its own start, so only values above 1 are sent and a cluster's radius
-    is about ``ln(n) / beta`` at most.  An edge stays between clusters with a
-    chance below the rate, so the edges shrink geometrically from level to
-    level, also along one long path.
-
-    A round joins one row a vertex to its edges, which adaptive execution
-    splits where a vertex is hot, and reduces what goes to one vertex before
-    the shuffle.  ``rounds_a_job`` rounds run between two written tables.
+    neighbours.  After ``radius`` rounds every vertex goes over into the cluster
+    whose name it holds, which lies in its own group whether or not growth has
+    ended, and the edges between clusters are decomposed again.  An edge stays
+    with a chance of about ``beta`` or less, so the edges shrink geometrically
+    from level to level, also along one long path.
+
+    All rounds of a level are one job: a round joins one row a vertex to its
+    edges, whose shuffle is reused, and reduces what goes to one vertex before
+    the next shuffle; adaptive execution splits the edges of a hot vertex.
     """
     ends = edges.where(F.col("u").isNotNull() & F.col("v").isNotNull() & (F.col("u") != F.col("v"))).select("u", "v")
     live, left = _save_edges(ends.union(ends.select("v", "u")), scratch)
     maps: list[DataFrame] = []
     while left:
-        rate = beta / 2 ** len(maps)
         draw = (F.xxhash64(F.lit(len(maps)), F.col("u")).bitwiseAND((1 << 52) - 1).cast("double") + 1) / float(1 << 52)
-        held = live.where("d = 0").select(F.col("u").alias("c"), (-F.log(draw) / rate).alias("s"), F.col("u").alias("p"))
-        written = None
-        while True:
-            grown = held.withColumn("had", F.col("p"))
-            for _ in range(rounds_a_job):
-                grown = (
-                    live.join(grown.withColumnRenamed("c", "u"), "u")
-                    .select(F.col("v").alias("c"), F.struct((F.col("s") - F.col("d")).alias("s"), "p").alias("m"), F.when(F.col("d") == 0, F.col("had")).alias("had"))
-                    .where("m.s > 0")
-                    .groupBy("c")
-                    .agg(F.max("m").alias("m"), F.max("had").alias("had"))
-                    .select("c", "m.s", "m.p", "had")
-                )
-            held, moved = save_counting(grown.select("c", "s", "p", (F.col("p") != F.col("had")).alias("moved")), "moved", scratch, "held")
-            if written is not None:
-                scratch.drop(written)
-            written = held
-            if not moved:
-                break
-        label = held.select("c", "p")
+        held = live.where("d = 0").select(F.col("u").alias("c"), (-F.log(draw) / beta).alias("s"), F.col("u").alias("p"))
+        for _ in range(radius):
+            held = (
+                live.join(held.withColumnRenamed("c", "u").hint("shuffle_hash"), "u")
+                .select(F.col("v").alias("c"), (F.col("s") - F.col("d")).alias("s"), "p")
+                .where("s > 0")
+                .groupBy("c")
+                .agg(F.max("s").alias("s"), F.max_by("p", "s").alias("p"))
+            )
+        label = scratch.save(held.select("c", "p"), "held")
         maps.append(label)
-        crossing = live.where("d = 1").join(label.toDF("u", "a"), "u").join(label.toDF("v", "b"), "v").where("a != b").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        crossing = (
+            live.where("d = 1")
+            .join(label.toDF("u", "a").hint("shuffle_hash"), "u")
+            .join(label.toDF("v", "b").hint("shuffle_hash"), "v")
+            .where("a != b")
+            .select(F.col("a").alias("u"), F.col("b").alias("v"))
+        )
         following, left = _save_edges(crossing, scratch)
         scratch.drop(live)
         live = following
@@ -74,10 +68,21 @@ def low_diameter_groups(edges: DataFrame, scratch: Scratch, beta: float = 0.4, r
 def _save_edges(both_ways: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
     """Distinct directed edges of length 1, and of length 0 from every vertex to itself; how many there are."""
     steps = F.explode(F.array(F.struct(F.col("v").alias("v"), F.lit(1).alias("d")), F.struct(F.col("u").alias("v"), F.lit(0).alias("d"))))
-    rows = both_ways.select("u", steps.alias("to")).select("u", "to.v", "to.d").distinct()
+    rows = both_ways.distinct().select("u", steps.alias("to")).select("u", "to.v", "to.d").distinct()
     return save_counting(rows.withColumn("left", F.lit(True)), "left", scratch, "edges")
 
 
+def numbered(names: DataFrame, scratch: Scratch) -> tuple[int, DataFrame]:
+    """A seed for ``xxhash64(seed, name)`` that gives no two of the names (one column) the same number, and ``(name, number)``."""
+    distinct = names.toDF("name").where("name is not null").distinct()
+    for seed in range(100):
+        table = scratch.save(distinct.withColumn("number", F.xxhash64(F.lit(seed), "name")), "numbers")
+        if table.groupBy("number").count().where("count > 1").isEmpty():
+            return seed, table
+        scratch.drop(table)
+    raise RuntimeError("no seed keeps the names apart")
+
+
 def match_id(c: Column) -> Column:
     """An id in lower case without surrounding white space; null where nothing is left."""
     s = folded(c)
@@ -93,9 +98,13 @@ def match_groups(links: DataFrame, left: str, right: str, distance: str, members
     linked too, each by one edge to the component's own vertex, so that a
     component of a third of all rows gives no pairs.
     """
-    pairs = links.where(F.col(distance).between(0, max_distance)).select(F.concat(F.lit("i:"), match_id(F.col(left))).alias("u"), F.concat(F.lit("i:"), match_id(F.col(right))).alias("v"))
+    pairs = links.where(F.col(distance).between(0, max_distance)).select(F.concat(F.lit("i"), match_id(F.col(left))).alias("u"), F.concat(F.lit("i"), match_id(F.col(right))).alias("v")).where("u != v")
     earlier = strip(F.col(component))
-    stars = members.where(earlier != "").select(F.concat(F.lit("i:"), match_id(F.col(member_id))).alias("u"), F.concat(F.lit("c:"), earlier).alias("v"))
-    found = low_diameter_groups(pairs.union(stars), scratch).where(F.col("c").startswith("i:")).select(F.expr("substr(c, 3)").alias("id"), "p")
+    stars = members.where(earlier != "").select(F.concat(F.lit("i"), match_id(F.col(member_id))).alias("u"), F.concat(F.lit("c"), earlier).alias("v")).where("u is not null")
+    ends = scratch.save(pairs.union(stars).distinct(), "named")
+    seed, ids = numbered(ends.select(F.explode(F.array("u", "v"))), scratch)
+    edges = ends.select(F.xxhash64(F.lit(seed), "u").alias("u"), F.xxhash64(F.lit(seed), "v").alias("v"))
+    groups = low_diameter_groups(edges, scratch)
+    found = ids.where(F.col("name").startswith("i")).join(groups, ids["number"] == groups["c"]).select(F.expr("substr(name, 2)").alias("id"), "p")
     first = found.groupBy("p").agg(F.min("id").alias("group_first_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
     return found.join(first, "p").select("id", "group_first_id")
