@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import informative_hash
-from corpusloom.llm import grouping, overlap, packing, sample, splits, tokens
+from corpusloom.llm import grouping, overlap, packing, sample, spam, splits, tokens
 from corpusloom.scratch import Scratch
 from corpusloom.sources.tables import table
 
@@ -82,8 +82,13 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill(items, s).select("container", F.col("id").cast("long").alias("doc_id"), "piece", "tokens", "used")
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents most of whose words stand outside sentences."""
+    return spam.stuffed_pages(table(spark, d, "documents"), "doc_id", "text", Scratch(spark, "p8")).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_splits, p3_found, p4_sample, p5_found, p5_report, p6_ids, p7_containers)}
+    return {f.__name__: f for f in (p1_found, p1_splits, p3_found, p4_sample, p5_found, p5_report, p6_ids, p7_containers, p8_found)}
 
 
 def oracle_sql() -> dict[str, str]:
