@@ -11,16 +11,16 @@ to a few bits, and pieces are joined by all their spellings within those bits.
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import hamming64, hex64, informative_hash, perceptual_hash
+from corpusloom.functions.text import hex64, informative_hash, perceptual_hash
 from corpusloom.llm.splits import split_name as split_role
+from corpusloom.operators.dedup import near_values
 from corpusloom.scratch import Scratch
 
 #: Characters that the rolling hash looks at.
@@ -100,66 +100,6 @@ def shared_values(values: DataFrame, least: int = 16, mean: int = 24, most: int
     )
 
 
-def piece_plan(distance: int, left: int, right: int, bits: int = 64) -> list[tuple[int, int, int]]:
-    """``(shift, width, radius)`` of the pieces of a hash, for sides of ``left`` and ``right`` values.
-
-    Two hashes within ``distance`` agree on one of the pieces up to its radius, since the radii and one each sum to
-    more than the distance.  Of the plans with 2 to ``distance + 1`` pieces the one that writes and compares the fewest rows is taken.
-    """
-
-    def cost(plan: list[tuple[int, int, int]]) -> float:
-        rows = pairs = 0.0
-        for _, w, r in plan:
-            rows += (left * _spellings(w, r // 2)) + right * _spellings(w, r - r // 2)
-            pairs += left * right * _spellings(w, r) / 2.0**w * (1 + r // 2)
-        return rows + pairs / 4
-
-    plans = []
-    for m in range(2, distance + 2):
-        widths = [bits // m + (k >= m - bits % m) for k in range(m)]
-        spare = distance + 1 - m
-        radii = [spare // m + (k < spare % m) for k in range(m)]
-        # The piece with the larger radius should be the wider one.
-        widths.sort(reverse=True)
-        shift, plan = 0, []
-        for w, r in zip(widths, radii):
-            plan.append((shift, w, r))
-            shift += w
-        plans.append(plan)
-    return min(plans, key=cost)
-
-
-def _spellings(width: int, radius: int) -> int:
-    return sum(math.comb(width, k) for k in range(radius + 1))
-
-
-def _masks(width: int, radius: int) -> list[int]:
-    out = [0]
-    rim = [0]
-    for _ in range(radius):
-        rim = sorted({m | 1 << k for m in rim for k in range(width) if not m >> k & 1})
-        out += rim
-    return out
-
-
-def near_values(values: DataFrame, distance: int, left: int, right: int) -> DataFrame:
-    """``(tv, ev, differing)``: pairs of longs from ``values(x, in_train, in_eval)`` that differ in at most ``distance`` bits, equal ones too."""
-    plan = piece_plan(distance, max(1, left), max(1, right))
-
-    def spelled(k: int, shift: int, width: int, radius: int) -> Column:
-        piece = F.shiftrightunsigned("x", shift).bitwiseAND((1 << width) - 1).bitwiseOR(k << 56)
-        return F.transform(F.array(*[F.lit(m).cast("long") for m in _masks(width, radius)]), piece.bitwiseXOR)
-
-    def side(flag: str, name: str, radius: Callable[[int], int]) -> DataFrame:
-        pieces = [spelled(k, shift, width, radius(r)) for k, (shift, width, r) in enumerate(plan)]
-        return values.where(flag).select(F.col("x").alias(name), F.explode(F.concat(*pieces)).alias("piece"))
-
-    train = side("in_train", "tv", lambda r: r // 2)
-    other = side("in_eval", "ev", lambda r: r - r // 2)
-    near = train.join(other, "piece").withColumn("differing", hamming64(F.col("tv"), F.col("ev"))).where(F.col("differing") <= distance)
-    return near.select("tv", "ev", "differing").distinct()
-
-
 def record_values(records: DataFrame, record_id: str, split: str, hashes: Sequence[str], perceptual: str) -> DataFrame:
     """``(id, role, field, value, x)``: what each record shows; ``x`` is the perceptual hash as a long, ``value`` any other hash.
 

@@ -1,3 +1,54 @@
-"""Oracle SQL of this subpackage's queries, for DuckDB."""
+"""Oracle SQL of this subpackage's queries, for DuckDB.
 
-SQL: dict[str, str] = {}
+The ids of p6, the containers of p7 and the pages of p8 have none: their tests
+compare with the tokenizer itself, with bounds and round trips, and with
+hand-made pages.
+"""
+
+
+def _strip(c: str) -> str:
+    return rf"regexp_replace({c}, '^[\s\x1c-\x1f\x85\p{{Z}}]+|[\s\x1c-\x1f\x85\p{{Z}}]+$', '', 'g')"
+
+
+def _fold(c: str) -> str:
+    return f"lower({_strip(c)})"
+
+
+def _said(c: str) -> str:
+    h = _fold(c)
+    return f"CASE WHEN NOT regexp_full_match({h}, '0*|f*') AND {h} != 'e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855' THEN {h} END"
+
+
+_PHASH = f"CASE WHEN regexp_full_match({_fold('phash')}, '[0-9a-f]{{1,16}}') AND NOT regexp_full_match({_fold('phash')}, '0+|f+') THEN lpad({_fold('phash')}, 16, '0') END"
+
+SQL: dict[str, str] = {
+    "p1_found": f"""
+WITH RECURSIVE r AS (SELECT selection_id AS id, {_fold("leakage_group")} AS g, parent_coco_image_id AS p, {_fold("split")} AS s FROM selection_catalog WHERE selection_id IS NOT NULL),
+e AS (SELECT DISTINCT 'r' || id AS u, 'g' || g AS v FROM r WHERE g NOT IN ('', 'unknown', 'n/a') UNION SELECT 'r' || id, 'p' || p::VARCHAR FROM r WHERE p > 0),
+d AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
+w(n, root) AS (SELECT DISTINCT 'r' || id, 'r' || id FROM r UNION SELECT d.v, w.root FROM w JOIN d ON d.u = w.n),
+m AS (SELECT substr(n, 2) AS id, min(root) AS root FROM w WHERE n[1] = 'r' GROUP BY 1),
+c AS (SELECT root FROM r JOIN m USING (id) WHERE s IN ('train', 'val', 'test') GROUP BY 1 HAVING count(DISTINCT s) > 1)
+SELECT id AS selection_id FROM m WHERE root IN (SELECT root FROM c)""",
+    "p3_found": f"""
+WITH RECURSIVE l AS (SELECT {_fold("left_selection_id")} AS a, {_fold("right_selection_id")} AS b FROM near_phash_links WHERE phash_distance BETWEEN 0 AND 4),
+e AS (SELECT DISTINCT 'i' || a AS u, 'i' || b AS v FROM l WHERE a != '' AND b != '' AND a != b
+  UNION SELECT 'i' || {_fold("selection_id")}, 'c' || {_strip("integrity_component")} FROM training_manifest WHERE {_strip("integrity_component")} != '' AND {_fold("selection_id")} != ''),
+d AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
+w(n, root) AS (SELECT DISTINCT u, u FROM d WHERE u[1] = 'i' UNION SELECT d.v, w.root FROM w JOIN d ON d.u = w.n),
+m AS (SELECT n, min(root) AS root FROM w WHERE n[1] = 'i' GROUP BY 1)
+SELECT substr(n, 2) AS selection_id, substr(root, 2) AS group_first_id FROM m WHERE root IN (SELECT root FROM m GROUP BY 1 HAVING count(*) > 1)""",
+    "p4_sample": f"""
+WITH r AS (SELECT {_strip("selection_id")} AS key, coalesce(batch_no, 0)::INT AS batch, nullif({_fold("source_index_hash")}, '') AS h FROM selection_catalog WHERE {_strip("selection_id")} != ''),
+f AS (SELECT key, min(batch) AS batch FROM r GROUP BY 1),
+g AS (SELECT key, batch, min(h) AS h FROM f JOIN r USING (key, batch) GROUP BY 1, 2),
+n AS (SELECT batch, floor(0.1::DOUBLE * sum(count(*)) OVER (ORDER BY batch) + 1e-9) AS upto FROM f GROUP BY 1),
+q AS (SELECT batch, upto - coalesce(lag(upto) OVER (ORDER BY batch), 0) AS quota FROM n)
+SELECT key AS selection_id, h AS source_index_hash, batch AS first_batch FROM (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY sha256('sample:' || key), key) AS r FROM g) JOIN q USING (batch) WHERE r <= quota""",
+    "p5_found": f"""
+WITH r AS (SELECT DISTINCT source_id AS id, {_fold("split")} AS s, {_said("pixel_sha256")} AS p, {_said("source_sha256")} AS h, ('0x' || substr({_PHASH}, 1, 8))::BIGINT AS hi, ('0x' || substr({_PHASH}, 9, 8))::BIGINT AS lo
+  FROM highres_manifest WHERE source_id IS NOT NULL AND {_fold("split")} IN ('train', 'val', 'test')),
+x AS (SELECT a.id AS a, b.id AS b FROM r a JOIN r b ON a.p = b.p WHERE a.s = 'train' AND b.s != 'train' UNION SELECT a.id, b.id FROM r a JOIN r b ON a.h = b.h WHERE a.s = 'train' AND b.s != 'train'
+  UNION SELECT a.id, b.id FROM r a JOIN r b ON a.s = 'train' AND b.s != 'train' AND bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 8)
+SELECT DISTINCT least(a, b) AS source_id_a, greatest(a, b) AS source_id_b FROM x WHERE a != b""",
+}

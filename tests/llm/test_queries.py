@@ -1,0 +1,20 @@
+"""The queries of this subpackage against DuckDB or, without an oracle, by what must hold of their rows."""
+
+import pytest
+
+import oracle
+from corpusloom.llm import queries
+from corpusloom.llm.sql import SQL
+
+D = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_against_oracle(spark, name):
+    said = oracle.compare(spark, oracle.connect(D), name, queries.queries()[name], SQL[name], D)
+    assert said in ("", "no rows"), said
+
+
+@pytest.mark.parametrize("name", sorted(set(queries.queries()) - set(SQL)))
+def test_gives_rows(spark, name):
+    assert queries.queries()[name](spark, D).count() > 0
