@@ -13,12 +13,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders made for sessions that name none, by application.
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a temporary one only where the setting is absent (tests)."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
-        place = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
-        spark.conf.set("spark.checkpoint.dir", place)
+        app = spark.sparkContext.applicationId
+        place = _OWN[app] = _OWN.get(app) or "file://" + tempfile.mkdtemp(prefix="corpusloom-")
     return place.rstrip("/")
 
 
