@@ -90,6 +90,16 @@ def pack(items: Sequence[tuple[int, object, object]], capacity: int) -> list[int
     return [bins.put(size, numbers[0].get(source, 0), numbers[1].get(cluster, 0)) for size, source, cluster in items]
 
 
+def in_order(rows: list[dict]) -> list[dict]:
+    """Copies first, those of the largest clusters before others, then by size, the largest first; what is left of ties goes by id.
+
+    Copies must not share a bin, so they are spread while bins are few and empty; placed last, each would open a bin of its own.
+    """
+    copies = Counter(r["cluster"] for r in rows)
+    count = lambda r: 0 if r["cluster"] is None or copies[r["cluster"]] == 1 else copies[r["cluster"]]
+    return sorted(rows, key=lambda r: (-count(r), -r["tokens"], r["cluster"] or 0, r["id"] or "", r["piece"], r["source"] or ""))
+
+
 def measured(df: DataFrame, record_id: str, text: str, source: str, path: str | None = None) -> DataFrame:
     """``(id, source, size, cluster)``: ids a text has, and a hash of the text in lower case with its white space collapsed; texts of no ids are left out."""
     path = path or vocabulary()
@@ -109,7 +119,7 @@ def _packer(capacity: int, turn: int) -> Callable[[pa.Table], pa.Table]:
     """Packs the items of one shard; the containers are named by round, shard and bin."""
 
     def each(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: (-r["tokens"], r["cluster"] or 0, r["id"] or "", r["piece"], r["source"] or ""))
+        rows = in_order(table.to_pylist())
         at = pack([(r["tokens"], r["source"], r["cluster"]) for r in rows], capacity)
         used: dict[int, int] = {}
         for r, b in zip(rows, at):
@@ -127,7 +137,7 @@ def fill(items: DataFrame, scratch: Scratch, capacity: int = 2048, shard_items:
     An item longer than ``capacity`` is cut into full pieces, a container each,
     and a rest that is packed like any item; no other is cut.  Items of size 0
     or less, or null, take no room and have no row.  Items are spread over tasks
-    by a hash of their id, each task packs its own best-fit decreasing, and what
+    by a hash of their id, each task packs its own (copies first, then best-fit decreasing), and what
     lies in containers that are not full is packed again by fewer tasks until
     one is left or nothing is gained.  The result depends on the rows only.
     """
