@@ -87,8 +87,13 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return spam.stuffed_pages(table(spark, d, "documents"), "doc_id", "text", Scratch(spark, "p8")).withColumnRenamed("id", "doc_id")
 
 
+def p8_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's words, those outside sentences, and the mean PMI of its neighbouring words."""
+    return spam.page_shares(table(spark, d, "documents"), "doc_id", "text", Scratch(spark, "p8")).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_splits, p3_found, p4_sample, p5_found, p5_report, p6_ids, p7_containers, p8_found)}
+    return {f.__name__: f for f in (p1_found, p1_splits, p3_found, p4_sample, p5_found, p5_report, p6_ids, p7_containers, p8_found, p8_pages)}
 
 
 def oracle_sql() -> dict[str, str]:

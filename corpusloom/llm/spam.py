@@ -41,6 +41,8 @@ LEAST_WORDS = 8
 
 _INVISIBLE = re.compile("[­​-‏⁠﻿]")
 _URL = re.compile(r"(?:https?://|www\.)[^\s<>()\[\]|]+|(?<![\w.@-])[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:example|invalid|test|com|org|net|io|info|biz|shop)\b[^\s<>()\[\]|]*", re.I)
+#: What every link holds; most texts hold none and are not searched for links.
+_HINT = re.compile(r"://|www\.|\.(?:example|invalid|test|com|org|net|io|info|biz|shop)\b")
 _TAG = re.compile(r"#\w+")
 _BREAK = re.compile(r"\r\n|[\r\n  ]|<br */?>")
 _BULLET = re.compile(r"[\s>#*•»\-–—]*(?:\[\d+\]|\d+[.)](?=\s))?[\s*•»\-–—]*")
@@ -83,7 +85,7 @@ def windows(text: str) -> list[tuple[list[str], str | None]]:
     text = text.lower()
     if not text.isascii():
         text = _INVISIBLE.sub("", text)
-    if "." in text:
+    if _HINT.search(text):
         text = _URL.sub(f" {LINK} ", text)
     if "#" in text:
         text = _TAG.sub(f" {TAG} ", text)
@@ -118,8 +120,9 @@ def first_label(found: list[str], line: str | None) -> int:
         return 1
     if n < LINE_WORDS:
         return -1
-    most = max(Counter(x for x in zip(found, found[1:]) if NUMBER not in x).values(), default=0)
-    if most > 2 and 2 * most >= 0.3 * n:
+    often = max(3, math.ceil(0.15 * n))
+    # A pair that comes so often leaves at most so many different words.
+    if len(set(found)) <= n - 2 * (often - 1) and max(Counter(x for x in zip(found, found[1:]) if NUMBER not in x).values(), default=0) >= often:
         return 1
     if line is None:
         return -1
@@ -191,6 +194,14 @@ class Model:
         self.before = [u.astype(np.float32) for u, _ in counts]
         self.pair = [v.astype(np.float32) for _, v in counts]
 
+    def association(self, w: np.ndarray, pair: np.ndarray, inner: np.ndarray) -> np.ndarray:
+        """Pointwise mutual information in bits of each word and the one before it over the whole corpus; 0 where there is none before."""
+        out = np.zeros(len(w))
+        at = np.nonzero(inner)[0]
+        both, single = self.pair[0] + self.pair[1], self.before[0] + self.before[1]
+        out[at] = np.log2(np.maximum(both[pair[at]], 1.0) * sum(self.totals) / (np.maximum(single[w[at - 1]], 1.0) * np.maximum(single[w[at]], 1.0)))
+        return out
+
     def scores(self, w: np.ndarray, of: np.ndarray, pair: np.ndarray, inner: np.ndarray, n: int) -> np.ndarray:
         """The mean log-odds of each window."""
         odds = np.log(self.word[0][w]) - np.log(self.word[1][w])
@@ -228,8 +239,11 @@ def _counts(cut: DataFrame, model) -> Model:
 
 
 def page_shares(df: DataFrame, record_id: str, text: str, scratch: Scratch, rounds: int = 2) -> DataFrame:
-    """``(id, words, outside)`` of every row: its words, and those in windows outside sentences.
+    """``(id, words, outside, mean_pmi)`` of every row: its words, those in windows outside sentences, and the mean PMI of its neighbouring words in bits.
 
+    The mean alone does not tell the kinds apart (lists of known phrases reach
+    that of prose), which is why windows are judged by the difference of the
+    association under both kinds' counts.
     Null, empty and blank texts have no words.  Rows keep their number.  Where
     the corpus gives no window of one kind a first label, first labels count and
     undecided windows are inside.
@@ -245,12 +259,14 @@ def page_shares(df: DataFrame, record_id: str, text: str, scratch: Scratch, roun
     def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             flat = _flat(b)
-            lengths, document = flat[1], flat[5]
+            w, lengths, of, pair, inner, document = flat
             outside = _labels(b, flat, model.value) == 1
             sums = [np.bincount(document, x, b.num_rows).astype(np.int64) if len(lengths) else np.zeros(b.num_rows, np.int64) for x in (lengths, lengths * outside)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sums[0]), pa.array(sums[1])], ["id", "words", "outside"])
+            neighbours = np.bincount(document[of[inner]], minlength=b.num_rows) if len(w) else np.zeros(b.num_rows)
+            pmi = np.bincount(document[of], model.value.association(w, pair, inner), b.num_rows) / np.maximum(1, neighbours) if len(w) else np.zeros(b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sums[0]), pa.array(sums[1]), pa.array(np.round(pmi, 4))], ["id", "words", "outside", "mean_pmi"])
 
-    return cut.mapInArrow(share, f"id {kind}, words long, outside long")
+    return cut.mapInArrow(share, f"id {kind}, words long, outside long, mean_pmi double")
 
 
 def stuffed_pages(df: DataFrame, record_id: str, text: str, scratch: Scratch) -> DataFrame:
