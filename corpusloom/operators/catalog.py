@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.scalars import present
@@ -103,8 +103,6 @@ def isolation_report(df: DataFrame, keys: Sequence[str], split: str, examples: i
     per = df.select(F.col(split).alias("s"), cells.alias("x")).where("x.v is not null").groupBy("x.key", "x.v").agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
     few = per.where("lo < hi")
     counted = few.groupBy("key").agg(_n().alias("crossing_values"))
-    from pyspark.sql import Window
-
     first = few.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("v"))).where(F.col("r") <= examples).groupBy("key").agg(F.array_join(F.array_sort(F.collect_list("v")), "|").alias("examples"))
     return df.sparkSession.createDataFrame([(k,) for k in keys], "key string").join(counted.join(first, "key"), "key", "left").select("key", F.coalesce("crossing_values", F.lit(0)).alias("crossing_values"), "examples")
 
@@ -145,3 +143,27 @@ def violations(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
     """``(check, rows)``: how many rows break each check; a check that is null is broken."""
     one = df.agg(*[F.count_if(~F.coalesce(c, F.lit(False))).alias(f"c_{k}") for k, c in checks.items()])
     return one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("check"), F.col(f"c_{k}").alias("rows")) for k in checks])).alias("x")).select("x.*")
+
+
+def verified_identity(left: DataFrame, right: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """``(check, rows)``: rows of ``left`` that ``right`` lacks, and rows that differ in each column; nulls equal nulls."""
+    other = right.select(key, *[F.col(c).alias(f"__{c}") for c in columns], F.lit(True).alias("__there"))
+    j = left.join(other, key, "left")
+    found = F.col("__there").isNotNull()
+    return violations(j, {"found": found} | {c: ~found | F.col(c).eqNullSafe(F.col(f"__{c}")) for c in columns})
+
+
+def outside_requests(observed: DataFrame, index: str, offset: str, length: str) -> DataFrame:
+    """Observations that don't lie in the range they were requested in; a null bound or index lies in none."""
+    inside = (F.col(index) >= F.col(offset)) & (F.col(index) < F.col(offset) + F.col(length))
+    return observed.where(~F.coalesce(inside, F.lit(False)))
+
+
+def frame_differences(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """``(key, column_name, left, right)``: every cell in which two tables with the same unique key differ; a missing row differs in all its cells."""
+    columns = [c for c in left.columns if c != key]
+    a = left.select(key, F.struct(*[F.col(c).cast("string").alias(c) for c in columns]).alias("a"))
+    b = right.select(key, F.struct(*[F.col(c).cast("string").alias(c) for c in columns]).alias("b"))
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"a.{c}").alias("left"), F.col(f"b.{c}").alias("right")) for c in columns]))
+    whole = a.join(b, key, "full").withColumn("x", cells)
+    return whole.where(~F.col("x.left").eqNullSafe(F.col("x.right")) | F.col("a").isNull() | F.col("b").isNull()).select(key, "x.*")

@@ -56,14 +56,19 @@ def components(df: DataFrame, record_id: str, edges: DataFrame, scratch: Scratch
     return df.select(F.col(record_id).alias("id")).distinct().join(found, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
 
 
-def component_names(members: DataFrame, prefix: str) -> DataFrame:
+def component_names(members: DataFrame, prefix: str, most: int = 100_000) -> DataFrame:
     """``(root, component, members)``: the prefix and the first 24 digits of the SHA-256 of the sorted members' lines.
 
-    The name needs all members in one row; where a component is too large for
-    that, keep ``root`` as the name.
+    That needs all members in one row; a component of more than ``most``
+    members is named by the SHA-256 of its least member and their number
+    instead, and its members are never gathered.
     """
+    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
     lines = F.concat_ws("\n", F.array_sort(F.collect_list(F.col("id").cast("string"))))
-    return members.groupBy("root").agg(F.concat(F.lit(prefix), F.substring(F.sha2(lines, 256), 1, 24)).alias("component"), F.count(F.lit(1)).alias("members"))
+    name = lambda c: F.concat(F.lit(prefix), F.substring(F.sha2(c, 256), 1, 24)).alias("component")
+    small = members.join(sizes.where(F.col("members") <= most), "root").groupBy("root").agg(name(lines), F.count(F.lit(1)).alias("members"))
+    large = sizes.where(F.col("members") > most).select("root", name(F.concat_ws("\n", F.col("root").cast("string"), F.col("members").cast("string"))), "members")
+    return small.unionByName(large)
 
 
 def crossings(members: DataFrame, records: DataFrame, record_id: str, split: str) -> DataFrame:

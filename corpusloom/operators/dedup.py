@@ -34,9 +34,9 @@ def piece_plan(distance: int, left: int, right: int, bits: int = 64) -> list[tup
         return rows + pairs / 4
 
     plans = []
-    for m in range(2, distance + 2):
+    for m in range(2, max(3, distance + 2)):
         widths = [bits // m + (k >= m - bits % m) for k in range(m)]
-        spare = distance + 1 - m
+        spare = max(0, distance + 1 - m)
         radii = [spare // m + (k < spare % m) for k in range(m)]
         # The piece with the larger radius should be the wider one.
         widths.sort(reverse=True)

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,27 +23,31 @@ class Scaler:
         return df.select(*keep, *self.columns)
 
 
-def fit(train: DataFrame, label: str, features: Sequence[str], c: float = 1.0) -> tuple[Scaler, LogisticRegressionModel]:
-    """A model whose labels weigh the same in sum; ``c`` is the inverse strength of the L2 penalty."""
-    n = {r[label]: r["n"] for r in train.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
+def fit(train: DataFrame, label: str, features: Sequence[str], c: float = 1.0) -> tuple[Scaler, list[float], float]:
+    """Scaler, coefficients and intercept of a model whose labels weigh the same in sum; ``c`` is the inverse strength of the L2 penalty."""
+    n = {r[0]: r["n"] for r in train.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
     whole = sum(n.values())
     weight = F.when(F.col(label) == 1, whole / (2 * n.get(1, 1))).otherwise(whole / (2 * n.get(0, 1)))
     scaler = Scaler(train, features)
-    rows = scaler.apply(train.withColumn("weight", weight), [label, "weight"])
-    assembled = VectorAssembler(inputCols=list(features), outputCol="x").transform(rows)
-    lr = LogisticRegression(featuresCol="x", labelCol=label, weightCol="weight", regParam=1 / (c * whole), elasticNetParam=0.0, standardization=False, maxIter=200, tol=1e-9)
-    return scaler, lr.fit(assembled)
+    rows = scaler.apply(train, [F.col(label).alias("__label"), weight.alias("__weight")])
+    assembled = VectorAssembler(inputCols=list(features), outputCol="__features").transform(rows)
+    lr = LogisticRegression(featuresCol="__features", labelCol="__label", weightCol="__weight", regParam=1 / (c * whole), elasticNetParam=0.0, standardization=False, maxIter=200, tol=1e-9)
+    model = lr.fit(assembled)
+    return scaler, [float(x) for x in model.coefficients], float(model.intercept)
 
 
-def score(model: tuple[Scaler, LogisticRegressionModel], df: DataFrame, keep: Sequence[str], features: Sequence[str]) -> DataFrame:
-    """``keep`` and ``score``, the probability of class 1."""
-    rows = VectorAssembler(inputCols=list(features), outputCol="x").transform(model[0].apply(df, keep))
-    return model[1].transform(rows).select(*keep, vector_to_array("probability")[1].alias("score"))
+def score(model: tuple[Scaler, list[float], float], df: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """``keep`` and ``score``, the probability of class 1, as a plain expression."""
+    scaler, weights, intercept = model
+    z = F.lit(intercept)
+    for w, x in zip(weights, scaler.columns):
+        z = z + F.lit(w) * x
+    return df.select(*keep, (1 / (1 + F.exp(-z))).alias("score"))
 
 
 def baseline(df: DataFrame, split: str, label: str, features: Sequence[str]) -> DataFrame:
     """Fit on train, choose the threshold on val, measure val and test."""
     model = fit(df.where(F.col(split) == "train"), label, features)
-    scored = score(model, df.where(F.col(split).isin("val", "test")), [split, label], features).withColumnRenamed(label, "label")
+    scored = score(model, df.where(F.col(split).isin("val", "test")), [split, label]).withColumnRenamed(label, "label")
     t = metrics.best_threshold(metrics.curve(scored.where(F.col(split) == "val"), []), []).first()["threshold"]
     return metrics.summary(scored, [split], t).withColumn("threshold", F.lit(t))

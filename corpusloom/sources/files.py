@@ -116,3 +116,18 @@ def load_json(path: str, version: str) -> dict:
     if not isinstance(value, dict) or value.get("schema_version") != version:
         raise ContractError(f"{path}: not a {version} object")
     return value
+
+
+def images(spark: SparkSession, path: str, aliases: DataFrame, most_bytes: int = 12_000_000) -> DataFrame:
+    """``(path, generator, source_id, bytes, sha256)`` of the image files below a folder of generator folders.
+
+    A folder's name is reduced to its letters and digits and looked up in
+    ``aliases(key, generator)``; files of unknown folders have a null generator.
+    Files above ``most_bytes`` are left out before their bytes are looked at.
+    """
+    from corpusloom.functions.scalars import alias_key
+
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{png,jpg,jpeg,webp,tif,tiff,bmp}").load(path).where(F.col("length") <= most_bytes)
+    folder = F.element_at(F.split("path", "/"), -2)
+    named = rows.select("path", alias_key(folder).alias("key"), F.regexp_extract("path", r"([^/]+)\.[^.]+$", 1).alias("source_id"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    return named.join(aliases.select("key", "generator"), "key", "left").select("path", "generator", "source_id", "bytes", "sha256")
