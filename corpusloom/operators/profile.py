@@ -22,15 +22,46 @@ from corpusloom.scratch import Scratch
 MISSING = ("", "na", "n/a", "none", "null", "nan", "unknown", "?", "-")
 #: Mask of a null.
 NULL_MASK = "(null)"
+#: Mask of all missing values where masks are counted; no value has it, as letters never stay.
+MISSING_MASK = "(missing)"
+#: A run of hexadecimal digits that counts as a hash in ``whole_mask``, in small letters or capitals.
+_HEX = "|".join(f"(?<![0-9{x}])(?=[0-9]*+[{x}])(?=[{x}]*+[0-9])[0-9{x}]{{16,}}+" for x in ("a-f", "A-F"))
 
 
 def mask(c: Column) -> Column:
     """The mask of a value: runs of capitals ``A``, small letters ``a``, other letters ``x``, digits ``9``, white space ``_``; other characters stay.
 
     A run counts once, so masks stay few however long the values are; values of
-    more than 24 runs keep the first 24 and ``...``.  Null gives ``(null)``, the
-    empty string the empty mask.
+    more than 24 runs keep the first 24 and ``...``, so this short form must not
+    stand for the value where patterns are counted (see ``whole_mask``).  Null
+    gives ``(null)``, the empty string the empty mask.
     """
+
+    def short(m: Column) -> Column:
+        return F.when(F.length(m) > 24, F.concat(F.substring(m, 1, 24), F.lit("..."))).otherwise(m)
+
+    return F.coalesce(_once(_runs(c), short), F.lit(NULL_MASK))
+
+
+def whole_mask(c: Column) -> Column:
+    """The mask of the whole value, nothing cut off, with hexadecimal runs as one class.
+
+    Runs are those of ``mask``.  A run of 16 or more hexadecimal digits of one
+    case, with a letter and a digit among them, is ``h{n}`` or ``H{n}``, n its
+    length: hashes share a mask, and one too long, too short or with a foreign
+    character has another.
+    """
+
+    def hashes(t: Column) -> Column:
+        runs = F.regexp_extract_all(t, F.lit(_HEX), 0)
+        sign = lambda r: F.concat(F.when(r.rlike("[a-f]"), "h").otherwise("H"), F.lit("{"), F.length(r).cast("string"), F.lit("}"))
+        return F.array_join(F.transform(F.split(t, _HEX), lambda part, k: F.concat(_runs(part), F.coalesce(_once(F.get(runs, k), sign), F.lit("")))), "")
+
+    return F.coalesce(F.when(c.rlike(_HEX), hashes(c)).otherwise(_runs(c)), F.lit(NULL_MASK))
+
+
+def _runs(c: Column) -> Column:
+    """The runs of character classes of a value, all of them; null for null."""
     letters = string.ascii_uppercase + string.ascii_lowercase + string.digits + " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f"
 
     def general(t: Column) -> Column:
@@ -39,12 +70,8 @@ def mask(c: Column) -> Column:
             wide = F.regexp_replace(wide, pattern, sign)
         return F.when(t.rlike("[^\u0001-\u007f]"), wide).otherwise(t)
 
-    def short(m: Column) -> Column:
-        return F.when(F.length(m) > 24, F.concat(F.substring(m, 1, 24), F.lit("..."))).otherwise(m)
-
     m = _once(F.translate(c, letters, "\u0001" * 26 + "\u0002" * 26 + "\u0004" * 10 + "\u0005" * 10), general)
-    m = F.translate(F.regexp_replace(m, "([\u0001-\u0005])\\1+", "$1"), "\u0001\u0002\u0003\u0004\u0005", "Aax9_")
-    return F.coalesce(_once(m, short), F.lit(NULL_MASK))
+    return F.translate(F.regexp_replace(m, "([\u0001-\u0005])\\1+", "$1"), "\u0001\u0002\u0003\u0004\u0005", "Aax9_")
 
 
 def _once(c: Column, f: Callable[[Column], Column]) -> Column:
@@ -148,14 +175,43 @@ def findings(
     return all_.select("load_no", "column_name", F.explode(found).alias("finding")).where("finding is not null")
 
 
-def column_profile(df: DataFrame, load: str, columns: Sequence[str], scratch: Scratch, dominant_share: float = 0.01, distinct_error: float = 0.02) -> DataFrame:
+def mask_counts(df: DataFrame, load: str, columns: Sequence[str]) -> DataFrame:
+    """``(load_no, column_name, mask, n, distinct_values, lo, hi, lo_n, hi_n)``: the rows of a load and column under each ``whole_mask``.
+
+    Missing values stand under ``(missing)`` without distinct values.  Rows are first reduced to
+    distinct values, so those are counted exactly and each is masked once a load.
+    """
+    cells = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).cast("string").alias("value")) for k, c in enumerate(columns)]))
+    values = df.select(F.col(load).alias("load_no"), cells.alias("x")).groupBy("load_no", "x.k", "x.value").agg(F.count(F.lit(1)).alias("n"))
+    known = values.select("load_no", "k", "n", F.when(~is_missing(F.col("value")), F.col("value")).alias("value"))
+    number = F.when(F.col("value").rlike(r"^\p{Nd}+$"), F.expr("try_cast(value as decimal(38,0))"))
+    masked = known.withColumn("mask", F.when(F.col("value").isNull(), MISSING_MASK).otherwise(whole_mask(F.col("value"))))
+    per = masked.groupBy("load_no", "k", "mask").agg(
+        F.sum("n").alias("n"), F.count("value").alias("distinct_values"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.min(number).alias("lo_n"), F.max(number).alias("hi_n")
+    )
+    return per.withColumn("column_name", F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("k") + 1)).drop("k")
+
+
+def with_dominance(masks: DataFrame, dominant_share: float) -> DataFrame:
+    """``mask_counts`` with ``dominant``: whether ``dominant_share`` of the column's non-missing rows over all loads bear the mask."""
+    there = F.col("mask") != MISSING_MASK
+    of_mask = F.sum("n").over(Window.partitionBy("column_name", "mask"))
+    of_column = F.sum(F.when(there, F.col("n")).otherwise(0)).over(Window.partitionBy("column_name"))
+    return masks.withColumn("dominant", there & (F.try_divide(of_mask, of_column) >= dominant_share))
+
+
+def rare_masks(df: DataFrame, load: str, columns: Sequence[str], dominant_share: float = 0.01) -> DataFrame:
+    """``(load_no, column_name, mask, rows, distinct_values, example)``: what of each load and column stands under masks that are not dominant; the example is the least value."""
+    marked = with_dominance(mask_counts(df, load, columns), dominant_share).where((F.col("mask") != MISSING_MASK) & ~F.col("dominant"))
+    return marked.select("load_no", "column_name", "mask", F.col("n").alias("rows"), "distinct_values", F.col("lo").alias("example"))
+
+
+def column_profile(df: DataFrame, load: str, columns: Sequence[str], scratch: Scratch, dominant_share: float = 0.01) -> DataFrame:
     """A row a load and column: rows, missing share, distinct values, range, masks, dominant and rare ones, divergence.
 
-    Two passes over the table: counts a (load, column, mask), and one row a load
-    with the distinct values and ranges of all columns; partial results are all
-    that is shuffled.  ``distinct_values`` is a HyperLogLog estimate (relative error
-    ``distinct_error``), the range is that of the values in string order and,
-    for values that are plain numbers, in ``min_number`` and ``max_number``.  A
+    One pass over the table, reduced to distinct values and then to counts a
+    (load, column, mask).  ``distinct_values`` is exact, the range is that of the values in string order and,
+    for values that are plain numbers, in ``min_number`` and ``max_number``.  Masks are those of whole values.  A
     mask is *dominant* if ``dominant_share`` of the column's non-missing rows
     over all loads bear it; ``rare_share`` is the share of a load's non-missing
     rows under other masks, ``rare_example`` the commonest of these masks.
@@ -163,23 +219,17 @@ def column_profile(df: DataFrame, load: str, columns: Sequence[str], scratch: Sc
     the load before.  An empty table has no profile.
     """
     names = [c for c in columns if c != load]
-    texts = df.select(F.col(load).alias("load_no"), *[F.col(c).cast("string").alias(f"c{k}") for k, c in enumerate(names)])
-    known = texts.select("load_no", *[F.when(~is_missing(F.col(f"c{k}")), F.col(f"c{k}")).alias(f"c{k}") for k in range(len(names))])
-    of_load = known.groupBy("load_no").agg(*[x for k in range(len(names)) for x in (F.approx_count_distinct(f"c{k}", distinct_error).alias(f"d{k}"), F.min(f"c{k}").alias(f"l{k}"), F.max(f"c{k}").alias(f"h{k}"))])
-    ranges = of_load.select("load_no", F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"d{k}").alias("distinct_values"), F.col(f"l{k}").alias("min_value"), F.col(f"h{k}").alias("max_value")) for k, c in enumerate(names)])).alias("x")).select("load_no", "x.*")
-    cells = known.select("load_no", F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"c{k}").alias("value")) for k, c in enumerate(names)])).alias("x")).select("load_no", "x.column_name", "x.value")
-    number = F.when(F.col("value").rlike(r"^\p{Nd}+$"), F.expr("try_cast(value as decimal(38,0))"))
-    masks = cells.withColumn("mask", F.when(F.col("value").isNull(), "(missing)").otherwise(mask(F.col("value")))).groupBy("load_no", "column_name", "mask").agg(F.count(F.lit(1)).alias("n"), F.min(number).alias("lo_n"), F.max(number).alias("hi_n"))
     # Small beside the table and read several times from here on.
-    masks, ranges = scratch.save(masks, "masks"), scratch.save(ranges, "ranges")
-    there = F.col("mask") != "(missing)"
-    whole = Window.partitionBy("column_name", "mask")
-    every = Window.partitionBy("column_name")
-    marked = masks.withColumn("of_mask", F.sum("n").over(whole)).withColumn("of_column", F.sum(F.when(there, F.col("n")).otherwise(0)).over(every)).withColumn("dominant", there & (F.col("of_mask") >= dominant_share * F.col("of_column")))
+    masks = scratch.save(mask_counts(df, load, names), "masks")
+    there = F.col("mask") != MISSING_MASK
+    marked = with_dominance(masks, dominant_share)
     rare = there & ~F.col("dominant")
     per = marked.groupBy("load_no", "column_name").agg(
         F.sum("n").alias("rows"),
         F.sum(F.when(there, F.col("n")).otherwise(0)).alias("present"),
+        F.sum("distinct_values").alias("distinct_values"),
+        F.min("lo").alias("min_value"),
+        F.max("hi").alias("max_value"),
         F.min(F.when(F.col("mask") == "9", F.col("lo_n"))).alias("min_number"),
         F.max(F.when(F.col("mask") == "9", F.col("hi_n"))).alias("max_number"),
         F.count_if(there).alias("masks"),
@@ -192,8 +242,6 @@ def column_profile(df: DataFrame, load: str, columns: Sequence[str], scratch: Sc
     now = marked.where(there).join(per.select("load_no", "column_name", "no", "present"), ["load_no", "column_name"]).select("column_name", "no", "mask", (F.col("n") / F.col("present")).alias("share"))
     before = now.select("column_name", (F.col("no") + 1).alias("no"), "mask", F.col("share").alias("was"))
     moved = now.join(before, ["column_name", "no", "mask"], "full").groupBy("column_name", "no").agg((F.sum(F.abs(F.coalesce("share", F.lit(0.0)) - F.coalesce("was", F.lit(0.0)))) / 2).alias("divergence"))
-    same_load = (per["column_name"] == ranges["column_name"]) & per["load_no"].eqNullSafe(ranges["load_no"])
-    per = per.join(ranges, same_load).drop(ranges["load_no"]).drop(ranges["column_name"])
     return per.join(moved, ["column_name", "no"], "left").select(
         "load_no",
         "column_name",

@@ -43,3 +43,31 @@ def test_profile_of_odd_tables(spark, scratch):
     assert len(out) == 6 and out[1, "value"]["missing_share"] == 0.5 and out[2, "mask"]["distinct_values"] == 0
     assert out[2, "value"]["divergence"] == 1.0
     assert profile.column_profile(df.where("false"), "load_no", df.columns, scratch).count() == 0
+
+
+SHA, SHA2 = "4be361506aaf43e9d4b2de57c0596358ff1fa9b8", "0f" * 20
+
+
+def test_whole_masks(spark):
+    place = "set@{}:data/p-0.parquet:{}"
+    good, other = place.format(SHA, 7), place.format(SHA2, 81)
+    bad = [good + "x", place.format(SHA[:-1], 7), place.format(SHA + "0", 7), place.format(SHA[:30] + "g" + SHA[31:], 7), place.format(SHA.upper(), 7), good.replace(":7", "")]
+    df = spark.createDataFrame([(v,) for v in [good, other, *bad, "1" * 40, None, "", "a1" * 7, "A1b" * 20]], "v string")
+    got = [r[0] for r in df.select(profile.whole_mask(F.col("v"))).collect()]
+    assert got[0] == got[1] == "a@h{40}:a/a-9.a:9"
+    assert len({got[0], *got[2:8]}) == 7
+    assert got[8:] == ["9", "(null)", "", "a9" * 7, "A9a" * 20]
+
+
+def test_profile_sees_the_end_of_long_values(spark, scratch):
+    rows = [(1 + k // 150, f"set@{SHA}:data/p-0.parquet:{k}") for k in range(300)] + [(2, f"set@{SHA}:data/p-0.parquet:x")]
+    df = spark.createDataFrame(rows, "load_no int, locator string")
+    out = {r["load_no"]: r for r in profile.column_profile(df, "load_no", df.columns, scratch).collect()}
+    assert [(out[k]["masks"], out[k]["rare_example"], out[k]["distinct_values"]) for k in (1, 2)] == [(1, None, 150), (2, "a@h{40}:a/a-9.a:a", 151)]
+    assert out[2]["divergence"] == round(1 / 151, 6)
+
+
+def test_distinct_values_are_exact(spark, scratch):
+    df = spark.range(20_011).select(F.lit(1).alias("load_no"), F.concat(F.lit("im"), "id").alias("name"))
+    df = df.union(df)
+    assert profile.column_profile(df, "load_no", df.columns, scratch).first()["distinct_values"] == 20_011
