@@ -71,3 +71,12 @@ def test_distinct_values_are_exact(spark, scratch):
     df = spark.range(20_011).select(F.lit(1).alias("load_no"), F.concat(F.lit("im"), "id").alias("name"))
     df = df.union(df)
     assert profile.column_profile(df, "load_no", df.columns, scratch).first()["distinct_values"] == 20_011
+
+
+def test_rare_masks_of_all_columns(spark, tmp_path):
+    from corpusloom.plans import profile_queries
+
+    rows = [(1 + k % 2, f"set@{SHA}:{k}", SHA2, "ok") for k in range(300)] + [(2, "set@main:1", SHA2[1:], None), (2, "set@main:2", "", "ok")]
+    spark.createDataFrame(rows, "load_no int, locator string, prompt_hash string, format string").write.parquet(f"{tmp_path}/source_catalog.parquet")
+    got = {tuple(r) for r in profile_queries.p2_all_rare_masks(spark, str(tmp_path)).collect()}
+    assert got == {(2, "locator", "a@a:9", 2, 2, "set@main:1"), (2, "prompt_hash", "h{39}", 1, 1, SHA2[1:])}
