@@ -10,28 +10,32 @@ under the counts of sentences, word salad and lists only under those of lists.
 Windows are labelled anew by the mean of that difference, counts are taken
 again, and a document is a case if most of its words lie in windows outside.
 
-The counts are sums over all documents, kept by word and by neighbour hash in
-tables of a fixed number of places, so what is sent to the workers does not
-grow with the corpus.
+The counts are exact sums over all documents, kept by the 64-bit hash of the
+word and of both neighbours in a table.  Documents are cut into chunks of many
+words; a chunk gives each of its words and pairs one row, the rows of all
+chunks are summed by key, and each chunk gets the sums of its own keys back.
+Nothing is collected or broadcast but three totals.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from corpusloom.scratch import Scratch
 
-#: Places of the tables of words and of neighbouring words: the bound of what is collected and broadcast.
-WORD_BITS, PAIR_BITS = 18, 20
+#: Words at which a chunk of documents ends: the bound of what a task holds at once.
+CHUNK_WORDS = 1 << 21
 #: Words of a window at which it is cut, and words that a line needs to be a window of its own.
 WINDOW_WORDS, LINE_WORDS = 32, 8
 #: Weight of the word alone in a neighbour's share, and the most that one neighbour may say.
@@ -133,112 +137,131 @@ def first_label(found: list[str], line: str | None) -> int:
     return 0 if ends and separators * 6 <= n else -1
 
 
-_PLACES: dict[str, int] = {}
+def _cut(chunk_words: int):
+    """Documents as rows of chunks: the windows of each document, their lengths and first labels, the hashes of the chunk's words and the words as places among these."""
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, chunk = TaskContext.get().partitionId(), 0
+        ids, of, lengths, labels, codes, known, kind = [], [], [], [], array("I"), {}, None
 
-def _place(word: str) -> int:
-    p = _PLACES.get(word)
-    if p is None:
-        if len(_PLACES) > 500_000:
-            _PLACES.clear()
-        p = _PLACES[word] = xxhash.xxh64_intdigest(word) & (1 << WORD_BITS) - 1
-    return p
+        def row() -> pa.RecordBatch:
+            hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in known), np.uint64, len(known)).view(np.int64)
+            packed = pa.compress(np.frombuffer(codes, np.uint32).tobytes(), "zstd", asbytes=True) if codes else b""
+            values = [
+                pa.array([task << 32 | chunk], pa.int64()), pa.array([ids], pa.list_(kind)), pa.array([of], pa.list_(pa.int32())), pa.array([lengths], pa.list_(pa.int32())),
+                pa.array([labels], pa.list_(pa.int8())), pa.array([hashes], pa.list_(pa.int64())), pa.array([len(codes)], pa.int64()), pa.array([packed], pa.binary()),
+            ]
+            return pa.RecordBatch.from_arrays(values, ["chunk", "ids", "windows", "lengths", "labels", "hashes", "n", "codes"])
 
-
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each document as the places of its words, the lengths of its windows and their first labels."""
-    for b in batches:
-        places, lengths, labels = [], [], []
-        for t in b.column(1).to_pylist():
-            ws = windows(t)
-            places.append([_place(w) for found, _ in ws for w in found])
-            lengths.append([len(found) for found, _ in ws])
-            labels.append([first_label(*w) for w in ws])
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(places, pa.list_(pa.int32())), pa.array(lengths, pa.list_(pa.int32())), pa.array(labels, pa.list_(pa.int32()))], ["id", "places", "lengths", "labels"])
-
-
-def _flat(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words, windows' lengths, the window of each word, places of neighbours, whether a word has a neighbour before it, and the document of each window."""
-    w = b.column(1).flatten().to_numpy().astype(np.int64)
-    lengths = b.column(2).flatten().to_numpy()
-    of = np.repeat(np.arange(len(lengths)), lengths)
-    inner = np.zeros(len(w), bool)
-    inner[1:] = of[1:] == of[:-1]
-    pair = np.zeros(len(w), np.int64)
-    with np.errstate(over="ignore"):
-        h = (w[:-1].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (w[1:].astype(np.uint64) + np.uint64(0x85EBCA6B))
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        pair[1:] = (h >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
-    document = np.repeat(np.arange(b.num_rows), np.diff(b.column(2).offsets.to_numpy()))
-    return w, lengths, of, pair, inner, document
+        for b in batches:
+            kind = b.column(0).type
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                ws = windows(t)
+                ids.append(i)
+                of.append(len(ws))
+                for found, line in ws:
+                    codes.extend([known.setdefault(w, len(known)) for w in found])
+                    lengths.append(len(found))
+                    labels.append(first_label(found, line))
+                if len(codes) >= chunk_words:
+                    yield row()
+                    chunk += 1
+                    ids, of, lengths, labels, codes, known = [], [], [], [], array("I"), {}
+        if ids:
+            yield row()
+
+    return cut
+
+
+class Chunk:
+    """A row of ``_cut`` with its pairs numbered: ``w`` the words, ``of`` the window of each, ``at`` the words with a neighbour before them, ``pair`` the number of that pair."""
+
+    def __init__(self, t: pa.Table | pa.RecordBatch, k: int = 0):
+        cell = {c: t.column(c)[k] for c in t.schema.names}
+        flat = lambda c: cell[c].values.to_numpy(zero_copy_only=False)
+        n = cell["n"].as_py()
+        self.chunk, self.ids = cell["chunk"].as_py(), cell["ids"].values
+        self.lengths, self.first, self.hashes = flat("lengths").astype(np.int64), flat("labels").astype(np.int64), flat("hashes")
+        self.w = np.frombuffer(pa.decompress(cell["codes"].as_py(), n * 4, "zstd", asbytes=True), np.uint32).astype(np.int64) if n else np.zeros(0, np.int64)
+        self.of = np.repeat(np.arange(len(self.lengths)), self.lengths)
+        self.document = np.repeat(np.arange(len(self.ids)), flat("windows"))
+        self.at = np.nonzero(self.of[1:] == self.of[:-1])[0] + 1
+        size = max(1, len(self.hashes))
+        different, self.pair = np.unique(self.w[self.at - 1] * size + self.w[self.at], return_inverse=True)
+        self.a, self.b = different // size, different % size
+
+    def counts(self, label: np.ndarray) -> pa.RecordBatch:
+        """A row a word (``b`` null) and pair of the chunk: its number in the chunk, its hashes, and how often it stands in windows inside and outside."""
+        label = label[self.of]
+        sums = [np.concatenate([np.bincount(self.w[label == k], minlength=len(self.hashes)), np.bincount(self.pair[label[self.at] == k], minlength=len(self.a))]) for k in (0, 1)]
+        number = np.arange(len(self.hashes) + len(self.a))
+        first = np.concatenate([self.hashes, self.hashes[self.a]])
+        second = np.concatenate([np.zeros(len(self.hashes), np.int64), self.hashes[self.b]])
+        columns = [pa.array(np.full(len(number), self.chunk)), pa.array(number, pa.int32()), pa.array(first), pa.array(second, mask=number < len(self.hashes)), pa.array(sums[0], pa.int64()), pa.array(sums[1], pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, ["chunk", "number", "a", "b", "inside", "outside"])
+
+    def labels(self, model: Model) -> np.ndarray:
+        return (model.scores(self) < 0).astype(np.int64) if model.usable else self.first
 
 
 class Model:
-    """Log-odds of words and neighbours, inside against outside sentences."""
-
-    def __init__(self, place: np.ndarray, inside: np.ndarray, outside: np.ndarray):
-        size = 1 << WORD_BITS
-        is_word = place < size
-        counts = []
-        self.totals = []
-        different = max(1, int(is_word.sum()))
-        for n in (inside, outside):
-            u = np.zeros(size)
-            u[place[is_word]] = n[is_word]
-            v = np.zeros(1 << PAIR_BITS)
-            v[place[~is_word] - size] = n[~is_word]
-            counts.append((u, v))
-            self.totals.append(float(u.sum()))
-        self.usable = min(self.totals) > 0
-        self.word = [((u + 0.5) / (t + 0.5 * different)).astype(np.float32) for (u, _), t in zip(counts, self.totals)]
-        self.before = [u.astype(np.float32) for u, _ in counts]
-        self.pair = [v.astype(np.float32) for _, v in counts]
+    """Log-odds of a chunk's words and neighbours, inside against outside sentences, from the corpus counts of its words and pairs."""
 
-    def association(self, w: np.ndarray, pair: np.ndarray, inner: np.ndarray) -> np.ndarray:
+    def __init__(self, c: Chunk, sums: pa.Table, totals: tuple[int, int, int]):
+        size = len(c.hashes)
+        number = sums.column("number").to_numpy()
+        self.totals, different = [float(t) for t in totals[:2]], max(1, totals[2])
+        self.usable = min(self.totals) > 0
+        self.word, self.before, self.pair = [], [], []
+        for name, t in zip(("inside", "outside"), self.totals):
+            u = np.zeros(size + len(c.a))
+            u[number] = sums.column(name).to_numpy()
+            self.before.append(u[:size])
+            self.pair.append(u[size:])
+            self.word.append((u[:size] + 0.5) / (t + 0.5 * different))
+
+    def association(self, c: Chunk) -> np.ndarray:
         """Pointwise mutual information in bits of each word and the one before it over the whole corpus; 0 where there is none before."""
-        out = np.zeros(len(w))
-        at = np.nonzero(inner)[0]
-        both, single = self.pair[0] + self.pair[1], self.before[0] + self.before[1]
-        out[at] = np.log2(np.maximum(both[pair[at]], 1.0) * sum(self.totals) / (np.maximum(single[w[at - 1]], 1.0) * np.maximum(single[w[at]], 1.0)))
+        out = np.zeros(len(c.w))
+        both, single = self.pair[0] + self.pair[1], np.maximum(self.before[0] + self.before[1], 1.0)
+        out[c.at] = np.log2(np.maximum(both[c.pair], 1.0) * max(1.0, sum(self.totals)) / (single[c.w[c.at - 1]] * single[c.w[c.at]]))
         return out
 
-    def scores(self, w: np.ndarray, of: np.ndarray, pair: np.ndarray, inner: np.ndarray, n: int) -> np.ndarray:
+    def scores(self, c: Chunk) -> np.ndarray:
         """The mean log-odds of each window."""
-        odds = np.log(self.word[0][w]) - np.log(self.word[1][w])
-        at = np.nonzero(inner)[0]
-        a = w[at - 1]
-        given = [np.log((self.pair[k][pair[at]] + BACKOFF * self.word[k][w[at]]) / (self.before[k][a] + BACKOFF)) for k in (0, 1)]
-        odds[at] = np.clip(given[0] - given[1], -MOST, MOST)
-        return np.bincount(of, odds, n) / np.maximum(1, np.bincount(of, minlength=n))
-
-
-def _labels(b: pa.RecordBatch, flat: tuple, model: Model | None) -> np.ndarray:
-    w, lengths, of, pair, inner, _ = flat
-    if model is None or not model.usable:
-        return b.column(3).flatten().to_numpy()
-    return (model.scores(w, of, pair, inner, len(lengths)) < 0).astype(np.int64)
-
+        odds = (np.log(self.word[0]) - np.log(self.word[1]))[c.w]
+        given = [np.log((self.pair[k] + BACKOFF * self.word[k][c.b]) / (self.before[k][c.a] + BACKOFF)) for k in (0, 1)]
+        odds[c.at] = np.clip(given[0] - given[1], -MOST, MOST)[c.pair]
+        return np.bincount(c.of, odds, len(c.lengths)) / np.maximum(1, c.lengths)
 
-def _counts(cut: DataFrame, model) -> Model:
-    """Corpus counts of words and neighbours, inside and outside by the labels of ``model`` (the first labels if None)."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = (1 << WORD_BITS) + (1 << PAIR_BITS)
-        sums = np.zeros((2, size), np.int64)
-        for b in batches:
-            flat = _flat(b)
-            w, _, of, pair, inner, _ = flat
-            label = _labels(b, flat, model.value if model else None)[of]
-            for k in (0, 1):
-                sums[k] += np.bincount(np.concatenate([w[label == k], pair[inner & (label == k)] + (1 << WORD_BITS)]), minlength=size)
-        at = np.nonzero(sums.any(0))[0]
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(sums[0][at]), pa.array(sums[1][at])], ["place", "inside", "outside"])
-
-    found = cut.mapInArrow(count, "place int, inside long, outside long").groupBy("place").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside")).toArrow()
-    return Model(*(found.column(k).to_numpy().astype(np.int64) for k in range(3)))
+_COUNTS = "chunk long, number int, a long, b long, inside long, outside long"
 
 
-def page_shares(df: DataFrame, record_id: str, text: str, scratch: Scratch, rounds: int = 2) -> DataFrame:
+def _first_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for k in range(b.num_rows):
+            c = Chunk(b, k)
+            yield c.counts(c.first)
+
+
+def _summed(counts: DataFrame, scratch: Scratch) -> tuple[DataFrame, tuple[int, int, int]]:
+    """The corpus counts of the words and pairs of every chunk, and the words inside, outside and different ones in either."""
+    same = Window.partitionBy("a", "b")
+    sums = counts.select("chunk", "number", "b", F.sum("inside").over(same).alias("inside"), F.sum("outside").over(same).alias("outside"), F.min("chunk").over(same).alias("least"))
+    once = F.col("b").isNull() & (F.col("chunk") == F.col("least"))
+    seen = Observation()
+    sums = sums.observe(
+        seen,
+        F.sum(F.when(once, F.col("inside"))).alias("inside"),
+        F.sum(F.when(once, F.col("outside"))).alias("outside"),
+        F.count_if(once & (F.col("inside") + F.col("outside") > 0)).alias("different"),
+    )
+    saved = scratch.save(sums.select("chunk", "number", "inside", "outside"), "counts")
+    return saved, tuple(seen.get[k] or 0 for k in ("inside", "outside", "different"))
+
+
+def page_shares(df: DataFrame, record_id: str, text: str, scratch: Scratch, rounds: int = 2, chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """``(id, words, outside, mean_pmi)`` of every row: its words, those in windows outside sentences, and the mean PMI of its neighbouring words in bits.
 
     The mean alone does not tell the kinds apart (lists of known phrases reach
@@ -246,27 +269,33 @@ def page_shares(df: DataFrame, record_id: str, text: str, scratch: Scratch, roun
     association under both kinds' counts.
     Null, empty and blank texts have no words.  Rows keep their number.  Where
     the corpus gives no window of one kind a first label, first labels count and
-    undecided windows are inside.
+    undecided windows are inside.  ``chunk_words`` bounds memory, the result does not depend on it.
     """
     rows = df.select(F.col(record_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    cut = scratch.save(rows.mapInArrow(_cut, f"id {kind}, places array<int>, lengths array<int>, labels array<int>"), "cut")
-    sc = df.sparkSession.sparkContext
-    model = None
-    for _ in range(rounds):
-        model = sc.broadcast(_counts(cut, model))
+    cut = scratch.save(rows.mapInArrow(_cut(chunk_words), f"chunk long, ids array<{kind}>, windows array<int>, lengths array<int>, labels array<tinyint>, hashes array<long>, n long, codes binary"), "cut")
 
-    def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            flat = _flat(b)
-            w, lengths, of, pair, inner, document = flat
-            outside = _labels(b, flat, model.value) == 1
-            sums = [np.bincount(document, x, b.num_rows).astype(np.int64) if len(lengths) else np.zeros(b.num_rows, np.int64) for x in (lengths, lengths * outside)]
-            neighbours = np.bincount(document[of[inner]], minlength=b.num_rows) if len(w) else np.zeros(b.num_rows)
-            pmi = np.bincount(document[of], model.value.association(w, pair, inner), b.num_rows) / np.maximum(1, neighbours) if len(w) else np.zeros(b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sums[0]), pa.array(sums[1]), pa.array(np.round(pmi, 4))], ["id", "words", "outside", "mean_pmi"])
-
-    return cut.mapInArrow(share, f"id {kind}, words long, outside long, mean_pmi double")
+    def judged(f, schema: str) -> DataFrame:
+        sums, totals = known
+
+        def of_chunk(left: pa.Table, right: pa.Table) -> pa.Table:
+            c = Chunk(left)
+            return pa.Table.from_batches([f(c, Model(c, right, totals))])
+
+        return cut.groupBy("chunk").cogroup(sums.groupBy("chunk")).applyInArrow(of_chunk, schema)
+
+    def share(c: Chunk, model: Model) -> pa.RecordBatch:
+        outside = c.labels(model) == 1
+        n = len(c.ids)
+        words_, out = (np.bincount(c.document, x, n).astype(np.int64) for x in (c.lengths, c.lengths * outside))
+        of_word = c.document[c.of]
+        pmi = np.bincount(of_word, model.association(c), n) / np.maximum(1, np.bincount(of_word[c.at], minlength=n))
+        return pa.RecordBatch.from_arrays([c.ids, pa.array(words_), pa.array(out), pa.array(np.round(pmi, 4))], ["id", "words", "outside", "mean_pmi"])
+
+    known = _summed(cut.mapInArrow(_first_counts, _COUNTS), scratch)
+    for _ in range(rounds - 1):
+        known = _summed(judged(lambda c, model: c.counts(c.labels(model)), _COUNTS), scratch)
+    return judged(share, f"id {kind}, words long, outside long, mean_pmi double")
 
 
 def stuffed_pages(df: DataFrame, record_id: str, text: str, scratch: Scratch) -> DataFrame:

@@ -105,3 +105,24 @@ def test_words():
     assert spam.words("see xlinkx now 12,345 w o r d s don't") == ["see", "xlinkx", "now", spam.NUMBER] + [spam.SPACED] * 5 + ["don't"]
     assert spam.words("猫の写真 ab") == ["猫", "の", "写", "真", "ab"]
     assert spam.windows("") == [] and spam.windows(" \n ") == []
+
+
+def test_counts_are_exact_for_many_words_and_in_any_chunks(spark):
+    import math
+    from collections import Counter
+
+    rng = random.Random(3)
+    lines = [[f"q{rng.randrange(40_000)}x" for _ in range(10)] for _ in range(6000)]
+    df = spark.createDataFrame([(k, "\n".join(" ".join(x) + "." for x in lines[10 * k : 10 * k + 10])) for k in range(600)], "doc_id long, text string")
+    one, two = Counter(w for x in lines for w in x), Counter(p for x in lines for p in zip(x, x[1:]))
+    total = sum(one.values())
+    pmi = [math.log2(two[a, b] * total / (one[a] * one[b])) for x in lines for a, b in zip(x, x[1:])]
+    got = {r["id"]: r for r in spam.page_shares(df, "doc_id", "text", Scratch(spark, "x"), chunk_words=3000).collect()}
+    assert all(got[k]["words"] == 100 and abs(got[k]["mean_pmi"] - sum(pmi[90 * k : 90 * k + 90]) / 90) < 1e-3 for k in range(600))
+
+
+def test_chunks_do_not_matter(spark):
+    good, bad, odd = pages()
+    df = spark.createDataFrame(list(enumerate(good + bad + odd)), "doc_id long, text string")
+    a, b = (sorted(tuple(r) for r in spam.page_shares(df, "doc_id", "text", Scratch(spark, "c"), chunk_words=n).collect()) for n in (1, 1 << 20))
+    assert a == b
