@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -61,7 +63,8 @@ def component_names(members: DataFrame, prefix: str, most: int = 100_000) -> Dat
 
     That needs all members in one row; a component of more than ``most``
     members is named by the SHA-256 of its least member and their number
-    instead, and its members are never gathered.
+    instead, and its members are never gathered.  That name does not follow the
+    members, so queries and audits use ``member_names``.
     """
     sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
     lines = F.concat_ws("\n", F.array_sort(F.collect_list(F.col("id").cast("string"))))
@@ -71,6 +74,41 @@ def component_names(members: DataFrame, prefix: str, most: int = 100_000) -> Dat
     return small.unionByName(large)
 
 
+def member_names(members: DataFrame, prefix: str, most: int = 100_000) -> DataFrame:
+    """``(root, component, members)``: the prefix and the first 24 digits of the SHA-256 of the sorted members' lines.
+
+    A component of up to ``most`` members is hashed as one row.  A larger one is
+    sorted on disk by its task and run through one digest batch by batch, so its
+    members are never held together; the name is the same either way.
+    """
+    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
+    lines = F.concat_ws("\n", F.array_sort(F.collect_list(F.col("id").cast("string"))))
+    name = lambda c: F.concat(F.lit(prefix), F.substring(c, 1, 24)).alias("component")
+    small = members.join(sizes.where(F.col("members") <= most), "root").groupBy("root").agg(name(F.sha2(lines, 256)), F.count(F.lit(1)).alias("members"))
+    kind = members.schema["root"].dataType.simpleString()
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root, digest, n = None, None, 0
+        row = lambda: pa.RecordBatch.from_arrays([pa.array([root], of), pa.array([digest.hexdigest()]), pa.array([n], pa.int64())], ["root", "digest", "members"])
+        for b in batches:
+            of = b.column(0).type
+            for r, i in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if digest is None or r != root:
+                    if digest is not None:
+                        yield row()
+                    root, digest, n = r, hashlib.sha256(), 0
+                # Nulls are left out, as collect_list leaves them out.
+                if i is not None:
+                    digest.update(("\n" + i if n else i).encode())
+                    n += 1
+        if digest is not None:
+            yield row()
+
+    big = members.join(sizes.where(F.col("members") > most).select("root"), "root").select("root", F.col("id").cast("string").alias("id"))
+    large = big.repartition("root").sortWithinPartitions("root", "id").mapInArrow(digests, f"root {kind}, digest string, members long")
+    return small.unionByName(large.select("root", name(F.col("digest")), "members"))
+
+
 def crossings(members: DataFrame, records: DataFrame, record_id: str, split: str) -> DataFrame:
     """``(root, rows, splits)`` of components whose rows stand in more than one split."""
     stood = records.select(F.col(record_id).alias("id"), F.col(split).alias("s")).join(members, "id")

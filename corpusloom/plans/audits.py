@@ -34,7 +34,7 @@ def integrity_audit(rows: DataFrame, scratch: Scratch, distance: int = 4) -> tup
     record = {"schema_version": "integrity-audit-v1", "gates": gates, "components": members.select("root").distinct().count(), "near_links": near.count(), "passed": passed}
     if not passed:
         return record, None
-    named = members.join(components.component_names(members, "integrity:"), "root").select(F.col("id").alias("selection_id"), F.col("component").alias("leakage_group"))
+    named = members.join(components.member_names(members, "integrity:"), "root").select(F.col("id").alias("selection_id"), F.col("component").alias("leakage_group"))
     return record, rows.join(named, "selection_id")
 
 

@@ -147,7 +147,7 @@ m AS (SELECT id, min(root) AS root FROM w GROUP BY 1)"""
 @query(_COMPONENTS + " , n AS (SELECT root, 'component:' || substr(sha256(string_agg(id, chr(10) ORDER BY id)), 1, 24) AS component, count(*) AS members FROM m GROUP BY 1) SELECT m.id, n.component, n.members FROM m JOIN n USING (root)")
 def leakage_components(spark: SparkSession, d: str) -> DataFrame:
     m = _members(spark, d)
-    return m.join(components.component_names(m, "component:"), "root").select("id", "component", "members")
+    return m.join(components.member_names(m, "component:"), "root").select("id", "component", "members")
 
 
 @query(_COMPONENTS + " SELECT root, count(*) AS rows, string_agg(DISTINCT split, '+' ORDER BY split) AS splits FROM r JOIN m USING (id) GROUP BY 1 HAVING count(DISTINCT split) > 1")

@@ -250,3 +250,14 @@ def test_large_components_are_not_gathered(spark):
     m = spark.createDataFrame([("a", "a"), ("b", "a"), ("c", "c")], "id string, root string")
     few, many = ({r["root"]: r["component"] for r in components.component_names(m, "p:", n).collect()} for n in (5, 1))
     assert few["c"] == many["c"] and few["a"] != many["a"]
+
+
+def test_large_components_are_named_by_their_members(spark):
+    import hashlib
+
+    ids = [f"m{k}é" for k in range(500)]
+    m = spark.createDataFrame([(i, "m0é") for i in ids] + [("x", "x"), ("z", "y"), ("y", "y")], "id string, root string").repartition(7)
+    name = lambda i: ("p:" + hashlib.sha256("\n".join(sorted(i, key=str.encode)).encode()).hexdigest()[:24], len(i))
+    want = {"m0é": name(ids), "x": name(["x"]), "y": name(["y", "z"])}
+    for most in (0, 1, 100, 100_000):
+        assert {r["root"]: (r["component"], r["members"]) for r in components.member_names(m, "p:", most).collect()} == want
