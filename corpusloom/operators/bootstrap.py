@@ -7,11 +7,15 @@ no state, and come out alike on every run and partitioning.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions.prefix import running
+from corpusloom.operators import metrics
+from corpusloom.scratch import Scratch
+
 #: Cumulative Poisson probabilities of mean 1, of 0 to 7.
 POISSON = (0.367879, 0.735759, 0.919699, 0.981012, 0.99634, 0.999406, 0.999917, 0.99999)
 
@@ -56,3 +60,63 @@ def paired_interval(left: DataFrame, right: DataFrame, cluster: str, threshold:
     a = replicate_accuracy(cluster_counts(left, [], cluster, threshold), [], repeats)
     b = replicate_accuracy(cluster_counts(right, [], cluster, threshold), [], repeats).withColumnRenamed("value", "other")
     return interval(a.join(b, "replicate").select("replicate", (F.col("value") - F.col("other")).alias("value")), [])
+
+
+def replicate_points(df: DataFrame, unit: str, repeats: int, buckets: int = 4096) -> DataFrame:
+    """``metrics.curve`` of every replicate, ``replicate`` its key; ``unit`` is what is drawn, a cluster or a row's own number.
+
+    A unit is drawn once a replicate, whatever its rows; replicates that lack a class are left out, a null unit raises.
+    """
+    c = F.when(F.col(unit).isNull(), F.raise_error(F.lit("a row has no unit"))).otherwise(F.col(unit))
+    own = df.groupBy(c.alias("unit"), "score").agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n"))
+    drawn = own.select("unit").distinct().withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("w", draw(F.col("replicate"), F.col("unit"))).where("w > 0")
+    per = own.join(drawn, "unit").groupBy("replicate", "score").agg(F.sum(F.col("p") * F.col("w")).alias("p"), F.sum(F.col("n") * F.col("w")).alias("n"))
+    sums = per.groupBy("replicate").agg(F.sum("p").alias("positives"), F.sum("n").alias("negatives")).where("positives > 0 and negatives > 0")
+    return running(per, ["replicate"], [F.col("score").desc()], -F.floor(F.col("score") * buckets), {"tp": "p", "fp": "n"}).join(sums, "replicate")
+
+
+def at_threshold(metric: str, threshold: float) -> Callable[[DataFrame], DataFrame]:
+    """``balanced_accuracy`` or ``macro_f1`` at a threshold as a metric of ``replicate_points``."""
+
+    def of(points: DataFrame) -> DataFrame:
+        hit = F.col("score") >= threshold
+        part = lambda c, k: F.sum(F.when(k, F.col(c)).otherwise(0)).alias(f"{c}{int(k is hit)}")
+        k = points.groupBy("replicate").agg(part("p", hit), part("n", hit), part("p", ~hit), part("n", ~hit))
+        tp, fp, fn, tn = map(F.col, ("p1", "n1", "p0", "n0"))
+        if metric == "balanced_accuracy":
+            return k.select("replicate", ((tp / (tp + fn) + tn / (tn + fp)) / 2).alias("value"))
+        return k.select("replicate", ((metrics.ratio(2 * tp, 2 * tp + fp + fn) + metrics.ratio(2 * tn, 2 * tn + fn + fp)) / 2).alias("value"))
+
+    return of
+
+
+def surveyed(threshold: float) -> dict[str, Callable[[DataFrame], DataFrame]]:
+    """The four surveyed metrics by name."""
+    return {
+        "roc_auc": lambda p: metrics.roc_auc(p, ["replicate"]).withColumnRenamed("roc_auc", "value"),
+        "balanced_accuracy": at_threshold("balanced_accuracy", threshold),
+        "macro_f1": at_threshold("macro_f1", threshold),
+        "fpr_at_tpr_95": lambda p: metrics.fpr_at_tpr(p, ["replicate"]).withColumnRenamed("fpr_at_tpr", "value"),
+    }
+
+
+def metric_values(df: DataFrame, unit: str, of: dict[str, Callable[[DataFrame], DataFrame]], scratch: Scratch, repeats: int) -> DataFrame:
+    """``(metric, replicate, value)`` of metrics given as functions from ``replicate_points`` to ``(replicate, value)``; null where a value isn't finite."""
+    points = scratch.save(replicate_points(df, unit, repeats), "points")
+    values = None
+    for name, metric in of.items():
+        v = metric(points).select(F.lit(name).alias("metric"), "replicate", F.nanvl("value", F.lit(None).cast("double")).alias("value"))
+        values = v if values is None else values.unionByName(v)
+    return values
+
+
+def metric_intervals(df: DataFrame, unit: str, of: dict[str, Callable[[DataFrame], DataFrame]], scratch: Scratch, repeats: int = 2000) -> DataFrame:
+    """``(metric, lower, upper, repeats)`` over resampled units; see ``metric_values``."""
+    return interval(metric_values(df, unit, of, scratch, repeats), ["metric"])
+
+
+def paired_metric_intervals(left: DataFrame, right: DataFrame, unit: str, of: dict[str, Callable[[DataFrame], DataFrame]], scratch: Scratch, repeats: int = 2000) -> DataFrame:
+    """The same of left minus right, both over the same draws of units."""
+    a = metric_values(left, unit, of, scratch, repeats)
+    b = metric_values(right, unit, of, scratch, repeats).withColumnRenamed("value", "other")
+    return interval(a.join(b, ["metric", "replicate"]).select("metric", (F.col("value") - F.col("other")).alias("value")), ["metric"])

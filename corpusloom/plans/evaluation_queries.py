@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators import bootstrap, experiments, metrics, ml
+from corpusloom.scratch import Scratch
 from corpusloom.sources.tables import table
 
 QUERIES: dict = {}
@@ -183,6 +184,19 @@ def paired_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     return _round(bootstrap.paired_interval(p, p.withColumn("score", 1 - F.col("score")), "grp", T, _REPEATS), "lower", "upper")
 
 
+@query()
+def cluster_bootstrap_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Intervals of the four surveyed metrics over 2,000 resamples of the clusters."""
+    return _round(bootstrap.metric_intervals(predictions(spark, d), "grp", bootstrap.surveyed(T), Scratch(spark, "bootstrap")), "lower", "upper")
+
+
+@query()
+def paired_bootstrap_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """The same of the difference between the scores and their complements."""
+    p = predictions(spark, d)
+    return _round(bootstrap.paired_metric_intervals(p, p.withColumn("score", 1 - F.col("score")), "grp", bootstrap.surveyed(T), Scratch(spark, "bootstrap")), "lower", "upper")
+
+
 @query()
 def logistic_baseline(spark: SparkSession, d: str) -> DataFrame:
     """Held-out scores of a balanced logistic regression on file features: a fit on the train rows, metrics of val and test at the threshold that val chose."""

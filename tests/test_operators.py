@@ -261,3 +261,37 @@ def test_large_components_are_named_by_their_members(spark):
     want = {"m0é": name(ids), "x": name(["x"]), "y": name(["y", "z"])}
     for most in (0, 1, 100, 100_000):
         assert {r["root"]: (r["component"], r["members"]) for r in components.member_names(m, "p:", most).collect()} == want
+
+
+@pytest.mark.parametrize("unit", ["g", "row"])
+def test_bootstrap_of_four_metrics(spark, scratch, unit):
+    import hashlib
+
+    import numpy as np
+
+    from corpusloom.operators import bootstrap
+
+    rows = [(k, k % 9, int(k * 7 % 5 < 2), round(((k * 37) % 41) / 41 * 0.7 + 0.3 * (k * 7 % 5 < 2), 2)) for k in range(60)]
+    got = {r["metric"]: r for r in bootstrap.metric_intervals(spark.createDataFrame(rows, "row long, g long, label int, score double"), unit, bootstrap.surveyed(0.5), scratch, 40).collect()}
+    want = {}
+    for rep in range(40):
+        w = lambda u: sum(int(hashlib.sha256(f"{rep}:{u}".encode()).hexdigest()[:8], 16) / 2**32 >= p for p in bootstrap.POISSON)
+        x = [r for r in rows for _ in range(w(r[1] if unit == "g" else r[0]))]
+        pos, neg = [s for *_, y, s in x if y], [s for *_, y, s in x if not y]
+        tp, fp = sum(s >= 0.5 for s in pos), sum(s >= 0.5 for s in neg)
+        fn, tn = len(pos) - tp, len(neg) - fp
+        want.setdefault("roc_auc", []).append(np.mean([(a > b) + (a == b) / 2 for a in pos for b in neg]))
+        want.setdefault("balanced_accuracy", []).append((tp / len(pos) + tn / len(neg)) / 2)
+        want.setdefault("macro_f1", []).append((2 * tp / (2 * tp + fp + fn) + 2 * tn / (2 * tn + fp + fn)) / 2)
+    for name, values in want.items():
+        assert got[name]["repeats"] == 40
+        assert abs(got[name]["lower"] - np.quantile(values, 0.025)) < 1e-9 and abs(got[name]["upper"] - np.quantile(values, 0.975)) < 1e-9
+    assert 0 <= got["fpr_at_tpr_95"]["lower"] <= got["fpr_at_tpr_95"]["upper"] <= 1
+
+
+def test_production_bootstrap(spark):
+    from corpusloom.plans import registry
+
+    for name in ("cluster_bootstrap_metrics", "paired_bootstrap_metrics"):
+        got = {r["metric"]: r["repeats"] for r in registry.queries()[name](spark, "/root/testdata/sf0.001").collect()}
+        assert got == dict.fromkeys(("roc_auc", "balanced_accuracy", "macro_f1", "fpr_at_tpr_95"), 2000)
