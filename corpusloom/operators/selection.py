@@ -106,3 +106,21 @@ def paired_sampler(df: DataFrame, group: str, label: str, kind: str, rank: Colum
         .agg(F.min_by("row", F.when(F.col(label) == 0, rank)).alias("real"), F.min_by("row", F.when(F.col(label) == 1, rank)).alias("fake"), F.min_by(kind, F.when(F.col(label) == 1, rank)).alias("kind"))
         .where("real is not null and fake is not null")
     )
+
+
+def balanced_pairs(df: DataFrame, group: str, label: str, kind: str, names: Sequence[str], group_rank: Column, rank: Column) -> DataFrame:
+    """``(group, real, fake, kind)``: one pair a group, its kind of fake dealt from the cycle of ``names`` over the hash-ranked groups.
+
+    Each kind comes floor(n/k) or ceil(n/k) times, however common it is; real and
+    fake are the hash-least rows of the group and of its assigned kind.  A group
+    without a real row or without one of the kinds raises, as does a null group.
+    """
+    g = F.when(F.col(group).isNull(), F.raise_error(F.lit("a row has no group"))).otherwise(F.col(group))
+    rows = df.select(g.alias("__g"), F.col("row"), F.when(F.col(label) == 1, F.col(kind)).when(F.col(label) == 0, "").alias("__kind"), rank.alias("__rank"))
+    best = rows.groupBy("__g", "__kind").agg(F.min_by("row", "__rank").alias("row"))
+    wanted = lambda n: F.max(F.when(F.col("__kind") == n, F.col("row")))
+    per = best.groupBy("__g").agg(wanted("").alias("real"), F.create_map(*[x for n in names for x in (F.lit(n), wanted(n))]).alias("__fakes"))
+    lacks = F.col("real").isNull() | F.exists(F.map_values("__fakes"), lambda v: v.isNull())
+    checked = per.withColumn("real", F.when(lacks, F.raise_error(F.concat(F.lit("group cannot form a pair: "), F.col("__g").cast("string")))).otherwise(F.col("real")))
+    dealt = round_robin(checked.withColumnRenamed("__g", group), group_rank, group, names)
+    return dealt.select(group, "real", F.element_at("__fakes", F.col("assigned")).alias("fake"), F.col("assigned").alias("kind"))

@@ -97,6 +97,16 @@ def paired_sampler(spark: SparkSession, d: str) -> DataFrame:
     return selection.paired_sampler(t, "parent_group", "label", "kind", stable_hash(F.lit("7"), F.col("row")))
 
 
+@query()
+def balanced_paired_sampler(spark: SparkSession, d: str) -> DataFrame:
+    """A pair of every group that holds a real row and every generator, generators dealt from a balanced cycle; other groups can't be paired."""
+    t = table(spark, d, "training_manifest").select("parent_group", "label", F.col("generator").alias("kind"), F.col("selection_id").alias("row")).where("parent_group is not null")
+    names = sorted(r[0] for r in t.where("label = 1 and kind is not null").select("kind").distinct().collect())
+    cells = F.when(F.col("label") == 0, "").otherwise(F.col("kind"))
+    whole = selection.complete_groups(t.withColumn("cell", cells), ["parent_group"], "cell", ["", *names]).where("complete").select("parent_group")
+    return selection.balanced_pairs(t.join(whole, "parent_group"), "parent_group", "label", "kind", names, stable_hash(F.lit("7"), F.col("parent_group")), stable_hash(F.lit("7"), F.col("row")))
+
+
 def _hash_sql(c: str) -> str:
     h = f"lower({sql_strip(c)})"
     return f"CASE WHEN NOT regexp_full_match({h}, '0*|f*') AND {h} != 'e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855' THEN {h} END"

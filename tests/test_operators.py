@@ -295,3 +295,22 @@ def test_production_bootstrap(spark):
     for name in ("cluster_bootstrap_metrics", "paired_bootstrap_metrics"):
         got = {r["metric"]: r["repeats"] for r in registry.queries()[name](spark, "/root/testdata/sf0.001").collect()}
         assert got == dict.fromkeys(("roc_auc", "balanced_accuracy", "macro_f1", "fpr_at_tpr_95"), 2000)
+
+
+def test_balanced_pairs(spark):
+    from collections import Counter
+
+    from corpusloom.functions.text import stable_hash
+    from corpusloom.operators import selection
+
+    # One generator holds most fakes of every group.
+    rows = [(f"g{g}", 0, "real", f"r{g}-{k}") for g in range(17) for k in range(2)] + [(f"g{g}", 1, n, f"{n}{g}-{k}") for g in range(17) for n, m in (("a", 20), ("b", 1), ("c", 1)) for k in range(m)]
+    df = spark.createDataFrame(rows, "grp string, label int, kind string, row string")
+    pairs = lambda x: selection.balanced_pairs(x, "grp", "label", "kind", ["a", "b", "c"], stable_hash(F.lit("7"), F.col("grp")), stable_hash(F.lit("7"), F.col("row"))).collect()
+    out = pairs(df)
+    assert len(out) == 17 and set(Counter(r["kind"] for r in out).values()) == {5, 6}
+    held = {(r[0], r[3]): r[2] for r in rows}
+    assert all(held[r["grp"], r["real"]] == "real" and held[r["grp"], r["fake"]] == r["kind"] for r in out)
+    assert sorted(map(str, pairs(df.repartition(5)))) == sorted(map(str, out))
+    with pytest.raises(Exception, match="cannot form a pair"):
+        pairs(df.where("grp != 'g3' or kind != 'b'"))
