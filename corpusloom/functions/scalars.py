@@ -50,11 +50,12 @@ def alias_key(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), "[^a-z0-9]+", "")
 
 
-def crop_fraction(seed: Column, part: int) -> Column:
-    """One of two numbers in [0, 1) from the SHA-256 of a seed: part 0 or 1 of its 64-bit words."""
-    return F.conv(F.substring(F.sha2(seed, 256), 1 + 16 * part, 16), 16, 10).cast("decimal(20,0)").cast("double") / float(2**64)
+def crop_fraction(seed: Column, group: Column, part: int) -> Column:
+    """One of two numbers in 0 to 1 from the SHA-256 of ``seed:group``: part 0 or 1 of its 64-bit words over the greatest such word; both ends can occur."""
+    digest = F.sha2(F.concat_ws(":", seed.cast("string"), F.coalesce(group.cast("string"), F.lit(""))), 256)
+    return F.conv(F.substring(digest, 1 + 16 * part, 16), 16, 10).cast("decimal(20,0)").cast("double") / float(2**64 - 1)
 
 
-def crop_offset(seed: Column, part: int, slack: Column) -> Column:
+def crop_offset(seed: Column, group: Column, part: int, slack: Column) -> Column:
     """An offset in 0 to ``slack``, the fraction of it rounded half to even."""
-    return F.bround(crop_fraction(seed, part) * slack).cast("int")
+    return F.rint(crop_fraction(seed, group, part) * slack).cast("int")

@@ -1,5 +1,6 @@
 """Small exact cases, brute force and failure paths of the core operators."""
 
+import hashlib
 import json
 import random
 import zipfile
@@ -104,7 +105,12 @@ def test_scalars(spark):
     assert len(set(h)) == 3 and h[0] == spark.sql("select sha2('cat a', 256)").first()[0]
     p, c = scalars.pair_of_name(F.col("f"))
     assert [tuple(r) for r in df.select(p, c).collect()] == [(12, 34), (None, None), (None, None)]
-    assert [r[0] for r in df.select(scalars.crop_offset(F.col("k"), 0, F.lit(0))).collect()] == [0, 0, 0]
+    for part in (0, 1):
+        want = []
+        for k in ("k1", "k2", "k3"):
+            word = int.from_bytes(hashlib.sha256(f"crop:7:{k}".encode()).digest()[8 * part : 8 * part + 8], "big")
+            want.append(round(word / (2**64 - 1) * 999))
+        assert [r[0] for r in df.select(scalars.crop_offset(F.lit("crop:7"), F.col("k"), part, F.lit(999))).collect()] == want
 
 
 def test_quotas_of_the_stratified_split(spark):
