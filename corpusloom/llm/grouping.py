@@ -62,7 +62,9 @@ def low_diameter_groups(edges: DataFrame, scratch: Scratch, beta: float = 0.4, r
         live = following
     if not maps:
         return live.select(F.col("u").alias("c"), F.col("v").alias("p"))
-    return compose(maps, scratch)
+    whole = compose(maps, scratch)
+    scratch.drop(*maps)
+    return whole
 
 
 def _save_edges(both_ways: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:

@@ -4,10 +4,12 @@ A text is cut into windows of a line or about 32 words.  Two measures give a
 few windows a first label: a collocation repeated beyond measure or a line of
 links, tags or short separated phrases is *outside* sentences, a line with
 sentence ends and few separators is *inside*.  Corpus counts of words and of
-neighbouring words are then taken in both kinds.  The association of a word
-with the one before it is compared under the two: a window of prose is coherent
-under the counts of sentences, word salad and lists only under those of lists.
-Windows are labelled anew by the mean of that difference, counts are taken
+neighbouring words are then taken in both kinds, and each window gets two mean
+pointwise mutual informations: that of its neighbours by the counts of
+sentences and by those of what stands outside, both against the same shares of
+words in the corpus.  Prose is coherent by the counts of sentences, word salad,
+repeated collocations and lists only by the others: a window whose mean PMI is the
+lower by the counts of sentences is outside.  Windows are labelled anew by that, counts are taken
 again, and a document is a case if most of its words lie in windows outside.
 
 The counts are exact sums over all documents, kept by the 64-bit hash of the
@@ -44,9 +46,10 @@ BACKOFF, MOST = 5.0, 6.0
 LEAST_WORDS = 8
 
 _INVISIBLE = re.compile("[­​-‏⁠﻿]")
-_URL = re.compile(r"(?:https?://|www\.)[^\s<>()\[\]|]+|(?<![\w.@-])[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:example|invalid|test|com|org|net|io|info|biz|shop)\b[^\s<>()\[\]|]*", re.I)
+#: A link with its scheme, or a host: names joined by dots, the last of letters; a file's name looks the same and counts as one word too.
+_URL = re.compile(r"(?:[a-z][a-z0-9+.-]*://|www\.)[^\s<>()\[\]|]+|(?<![\w.@/-])(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\.)+[a-z]{2,}(?![\w@-])(?:/[^\s<>()\[\]|]*)?", re.I)
 #: What every link holds; most texts hold none and are not searched for links.
-_HINT = re.compile(r"://|www\.|\.(?:example|invalid|test|com|org|net|io|info|biz|shop)\b")
+_HINT = re.compile(r"://|www\.|[a-z0-9]\.[a-z]{2}")
 _TAG = re.compile(r"#\w+")
 _BREAK = re.compile(r"\r\n|[\r\n  ]|<br */?>")
 _BULLET = re.compile(r"[\s>#*•»\-–—]*(?:\[\d+\]|\d+[.)](?=\s))?[\s*•»\-–—]*")
@@ -205,7 +208,7 @@ class Chunk:
 
 
 class Model:
-    """Log-odds of a chunk's words and neighbours, inside against outside sentences, from the corpus counts of its words and pairs."""
+    """Pointwise mutual information of a chunk's neighbouring words by the corpus counts of windows inside sentences, outside, and both."""
 
     def __init__(self, c: Chunk, sums: pa.Table, totals: tuple[int, int, int]):
         size = len(c.hashes)
@@ -219,6 +222,7 @@ class Model:
             self.before.append(u[:size])
             self.pair.append(u[size:])
             self.word.append((u[:size] + 0.5) / (t + 0.5 * different))
+        self.share = (self.before[0] + self.before[1] + 1.0) / (sum(self.totals) + different)
 
     def association(self, c: Chunk) -> np.ndarray:
         """Pointwise mutual information in bits of each word and the one before it over the whole corpus; 0 where there is none before."""
@@ -227,12 +231,17 @@ class Model:
         out[c.at] = np.log2(np.maximum(both[c.pair], 1.0) * max(1.0, sum(self.totals)) / (single[c.w[c.at - 1]] * single[c.w[c.at]]))
         return out
 
+    def pmi(self, c: Chunk, kind: int) -> tuple[np.ndarray, np.ndarray]:
+        """``log p(word | word before) / p(word)`` of each pair, and ``log p(word) / p(word)`` of each word that has none before: the former share by the counts inside (0) or outside (1), the latter that of the corpus."""
+        given = (self.pair[kind] + BACKOFF * self.word[kind][c.b]) / (self.before[kind][c.a] + BACKOFF)
+        return np.log(given / self.share[c.b]), np.log(self.word[kind] / self.share)
+
     def scores(self, c: Chunk) -> np.ndarray:
-        """The mean log-odds of each window."""
-        odds = (np.log(self.word[0]) - np.log(self.word[1]))[c.w]
-        given = [np.log((self.pair[k] + BACKOFF * self.word[k][c.b]) / (self.before[k][c.a] + BACKOFF)) for k in (0, 1)]
-        odds[c.at] = np.clip(given[0] - given[1], -MOST, MOST)[c.pair]
-        return np.bincount(c.of, odds, len(c.lengths)) / np.maximum(1, c.lengths)
+        """The mean PMI of each window by the counts inside, less that by the counts outside; one pair says ``MOST`` at most."""
+        inside, outside = self.pmi(c, 0), self.pmi(c, 1)
+        difference = (inside[1] - outside[1])[c.w]
+        difference[c.at] = np.clip(inside[0] - outside[0], -MOST, MOST)[c.pair]
+        return np.bincount(c.of, difference, len(c.lengths)) / np.maximum(1, c.lengths)
 
 
 _COUNTS = "chunk long, number int, a long, b long, inside long, outside long"
@@ -264,9 +273,9 @@ def _summed(counts: DataFrame, scratch: Scratch) -> tuple[DataFrame, tuple[int,
 def page_shares(df: DataFrame, record_id: str, text: str, scratch: Scratch, rounds: int = 2, chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """``(id, words, outside, mean_pmi)`` of every row: its words, those in windows outside sentences, and the mean PMI of its neighbouring words in bits.
 
-    The mean alone does not tell the kinds apart (lists of known phrases reach
-    that of prose), which is why windows are judged by the difference of the
-    association under both kinds' counts.
+    The mean over all counts does not tell the kinds apart (lists of known
+    phrases reach that of prose), which is why windows are judged by the
+    difference of their mean PMI by the counts of either kind.
     Null, empty and blank texts have no words.  Rows keep their number.  Where
     the corpus gives no window of one kind a first label, first labels count and
     undecided windows are inside.  ``chunk_words`` bounds memory, the result does not depend on it.

@@ -11,11 +11,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import folded
 from corpusloom.llm.graph import compose, follow, save_counting
+from corpusloom.llm.grouping import numbered
 from corpusloom.scratch import Scratch
 
 #: Group names that say nothing.
@@ -27,49 +28,43 @@ SPLITS = ("train", "val", "test")
 def spanning_forest(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Components of an undirected graph by minimum-edge contraction.
 
-    ``edges(u, v)``: strings; repeated and mirrored rows and loops are allowed,
+    ``edges(u, v)``: longs; repeated and mirrored rows and loops are allowed,
     rows with a null end count for nothing.  Returns ``labels(c, p)``, the root
     of every vertex of an edge that is no loop, and ``forest(u, v)``, one
-    spanning tree a component, both persisted.  Weights are hashes of the edge;
-    equal hashes are ordered by the ends themselves, so the forest is the same
-    on every run and partitioning.  No edges give two empty tables.
+    spanning tree a component, both persisted.  Weights are hashes of the edge
+    under the first seed that gives no two edges the same one, so the forest is
+    the same on every run and partitioning.  No edges give two empty tables.
 
     A round sends one minimum a component and partition over the network, so a
     vertex with a third of all edges costs no more than any other, and at least
-    halves the components that still have edges.
+    halves the components that still have edges.  Everything is a long, so
+    minima are hash-aggregated.
     """
-    live, left = save_counting(
-        edges.where(F.col("u").isNotNull() & F.col("v").isNotNull() & (F.col("u") != F.col("v")))
-        .select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
-        .distinct()
-        .select("a", "b", F.struct(F.xxhash64("a", "b").alias("w"), F.col("a").alias("u"), F.col("b").alias("v")).alias("e"), F.lit(True).alias("left")),
-        "left",
-        scratch,
-        "edges",
-    )
+    ends = edges.where(F.col("u").isNotNull() & F.col("v").isNotNull() & (F.col("u") != F.col("v")))
+    ends = ends.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+    for seed in range(100):
+        live, left = save_counting(ends.select("a", "b", F.xxhash64(F.lit(seed), "a", "b").alias("w"), F.col("a").alias("u"), F.col("b").alias("v"), F.lit(True).alias("left")), "left", scratch, "edges")
+        if live.groupBy("w").count().where("count > 1").isEmpty():
+            break
+        scratch.drop(live)
     maps: list[DataFrame] = []
     trees: list[DataFrame] = []
+    least = [F.min("w").alias("w"), *[F.min_by(x, "w").alias(x) for x in ("u", "v")]]
     while left:
-        chosen = scratch.save(
-            live.select("a", "b", "e")
-            .union(live.select(F.col("b"), F.col("a"), F.col("e")))
-            .groupBy(F.col("a").alias("c"))
-            .agg(F.min(F.struct("e", F.col("b").alias("to"))).alias("m"))
-            .select("c", F.col("m.to").alias("to"), F.col("m.e").alias("e")),
-            "chosen",
-        )
-        trees.append(chosen.select("e.u", "e.v"))
-        back = chosen.select(F.col("c").alias("to"), F.col("to").alias("back"))
+        both = live.select(F.col("a").alias("c"), F.col("b").alias("to"), "w", "u", "v").union(live.select("b", "a", "w", "u", "v"))
+        chosen = scratch.save(both.groupBy("c").agg(F.min_by("to", "w").alias("to"), *least), "chosen")
+        trees.append(chosen)
+        back = chosen.select(F.col("c").alias("to"), F.col("w").alias("back"))
         # Two components that chose each other chose the same edge; the smaller name is the root.
-        parent = chosen.join(back, "to").select("c", F.when((F.col("back") == F.col("c")) & (F.col("c") < F.col("to")), F.col("c")).otherwise(F.col("to")).alias("p"))
+        parent = chosen.join(back.hint("shuffle_hash"), "to").select("c", F.when((F.col("back") == F.col("w")) & (F.col("c") < F.col("to")), F.col("c")).otherwise(F.col("to")).alias("p"))
         root = follow(scratch.save(parent, "parent"), scratch)
         maps.append(root)
         following, left = save_counting(
-            live.join(root.toDF("a", "ra"), "a")
-            .join(root.toDF("b", "rb"), "b")
+            live.join(root.toDF("a", "ra").hint("shuffle_hash"), "a")
+            .join(root.toDF("b", "rb").hint("shuffle_hash"), "b")
             .where("ra != rb")
             .groupBy(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
-            .agg(F.min("e").alias("e"))
+            .agg(*least)
             .withColumn("left", F.lit(True)),
             "left",
             scratch,
@@ -80,20 +75,20 @@ def spanning_forest(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, Data
     if not maps:
         nothing = live.select(F.col("a").alias("c"), F.col("b").alias("p"))
         return nothing, nothing.toDF("u", "v")
-    forest = trees[0]
+    forest = trees[0].select("u", "v")
     for t in trees[1:]:
-        forest = forest.union(t)
-    return compose(maps, scratch), scratch.save(forest.distinct(), "forest")
+        forest = forest.union(t.select("u", "v"))
+    labels, forest = compose(maps, scratch), scratch.save(forest.distinct(), "forest")
+    scratch.drop(*trees, *maps)
+    return labels, forest
 
 
-def record_sets(records: DataFrame, record_id: str, group: str, parent: str, scratch: Scratch) -> DataFrame:
-    """``(id, set_id)``: the related set of every record with an id.
+def key_graph(records: DataFrame, record_id: str, group: str, parent: str, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every record's keys as numbers ``(id, lo, hi)``, the edges ``(u, v)`` between keys, and the keys' names ``(name, number)``.
 
-    Rows with the same id are one record.  Records are related if they share a
-    group (white space around it and case ignored; null, blank and placeholder
-    names relate nothing) or a parent number above 0, directly or through other
-    records.  A record without a key is a set of its own.  Rows with a null id
-    are no records; other columns are not looked at, whatever their names.
+    A record's keys are its group (white space around it and case ignored; null,
+    blank and placeholder names are none) and its parent number if above 0; rows
+    with the same id are one record, rows with a null id are none.
     """
     name = folded(F.col(group))
     rows = records.where(F.col(record_id).isNotNull()).select(
@@ -101,18 +96,39 @@ def record_sets(records: DataFrame, record_id: str, group: str, parent: str, scr
         F.when(~name.isin(*EMPTY_GROUPS), F.concat(F.lit("g:"), name)).alias("g"),
         F.when(F.col(parent) > 0, F.concat(F.lit("p:"), F.col(parent).cast("string"))).alias("p"),
     )
-    rows = scratch.save(rows.withColumn("k", F.coalesce("g", "p")).distinct(), "keys")
+    rows = scratch.save(rows.distinct(), "keys")
+    seed, names = numbered(rows.select(F.explode(F.array("g", "p"))), scratch)
+    number = lambda c: F.when(F.col(c).isNotNull(), F.xxhash64(F.lit(seed), c))
+    rows = rows.select("id", number("g").alias("g"), number("p").alias("p"))
+    ends = rows.groupBy("id").agg(F.min(F.least("g", "p")).alias("lo"), F.max(F.greatest("g", "p")).alias("hi"))
     both = rows.where("g is not null and p is not null").select(F.col("g").alias("u"), F.col("p").alias("v"))
     # A record delivered with different keys ties them together by its smallest one.
-    ends = rows.groupBy("id").agg(F.min("k").alias("lo"), F.max("k").alias("hi"))
-    ties = rows.join(ends.where("lo < hi"), "id").select(F.col("lo").alias("u"), F.col("k").alias("v"))
-    labels, _ = spanning_forest(both.union(ties).distinct(), scratch)
+    several = rows.select("id", F.explode(F.array_compact(F.array("g", "p"))).alias("k")).distinct().join(ends.where("lo < hi"), "id")
+    return ends, both.union(several.select("lo", "k")).distinct(), names
+
+
+def record_sets(records: DataFrame, record_id: str, group: str, parent: str, scratch: Scratch) -> DataFrame:
+    """``(id, set_id)``: the related set of every record with an id.
+
+    Records are related if they share a key of ``key_graph``, directly or
+    through other records.  A record without a key is a set of its own; other
+    columns are not looked at, whatever their names.
+    """
+    ends, edges, _ = key_graph(records, record_id, group, parent, scratch)
+    labels, _ = spanning_forest(edges, scratch)
     return (
-        ends.join(labels.select(F.col("c").alias("lo"), "p"), "lo", "left")
-        .select("id", F.coalesce("p", "lo", F.concat(F.lit("r:"), "id")).alias("set_id"))
+        ends.join(labels.select(F.col("c").alias("lo"), "p").hint("shuffle_hash"), "lo", "left")
+        .select("id", F.coalesce(F.concat(F.lit("k:"), F.coalesce("p", "lo").cast("string")), F.concat(F.lit("r:"), "id")).alias("set_id"))
     )
 
 
+def forest_summary(records: DataFrame, record_id: str, group: str, parent: str, scratch: Scratch) -> DataFrame:
+    """``(keys, trees, edges)``: the keys that an edge reaches, their spanning trees, and the edges of these; one row."""
+    _, edges, _ = key_graph(records, record_id, group, parent, scratch)
+    labels, forest = spanning_forest(edges, scratch)
+    return labels.agg(F.count(F.lit(1)).alias("keys"), F.count_distinct("p").alias("trees")).crossJoin(forest.agg(F.count(F.lit(1)).alias("edges")))  # one row each
+
+
 def split_name(c: Column) -> Column:
     """``train``, ``val`` or ``test`` without surrounding white space and case; null for all else."""
     s = folded(c)
@@ -127,67 +143,74 @@ def crossing_records(records: DataFrame, record_id: str, group: str, parent: str
     return sets.join(crossing, "set_id", "left_semi").select("id")
 
 
-def deal(sizes: DataFrame, targets: Sequence[tuple[str, float]], giant_share: float = 0.005, buckets: int = 1024) -> DataFrame:
+def deal(sizes: DataFrame, targets: Sequence[tuple[str, float]], bits: int = 10) -> DataFrame:
     """``(root, split)``: deal ``sizes(root, n)`` so that the splits hold their shares of the sum of ``n``.
 
-    Roots above ``giant_share`` of the sum (fewer than its reciprocal, so they
-    may be brought to the driver) go one by one, the largest first, to the
-    split that lacks most.  The others are stratified by band (powers of two);
-    within a band they stand in the order of their hashes, and each goes to the
-    split into whose part of the band's length its middle falls.  The band of
-    the smallest roots makes up for what the rounding of the others left.
-    Counts a band and hash bucket (at most 63 x ``buckets`` rows) give every
-    root its place without sorting a band in one task.
-    No targets, or targets that sum to nothing, raise ``ValueError``; no roots
-    give no rows.
+    Roots are stratified by band (powers of two).  Within a band they stand in
+    the order of their hashes and are dealt systematically: the band is cut
+    where the splits' parts of its length end.  Bands go from the largest roots
+    to the smallest, and each is cut by what the splits still lack, so it makes
+    up for what the rounding of those before left; a root that outweighs a
+    split's lack stands alone in its band and goes where its middle falls.
+
+    Cuts fall between hash prefixes of ``bits`` bits, in the last band between
+    single roots: the prefix that holds a cut is counted by further bits, level
+    by level.  At most ``64 * 2 ** bits`` counts reach the driver in a step,
+    and no rows are ordered anywhere.  No targets, or targets that sum to nothing, raise
+    ``ValueError``; no roots give no rows.  Equal hashes go together.
     """
     wanted = {k: float(v) for k, v in targets if v and v > 0}
     if not wanted:
         raise ValueError("no split has a positive share")
     names, whole = list(wanted), sum(wanted.values())
-    total = sizes.agg(F.sum("n")).first()[0] or 0
+    cells = sizes.select("root", "n", F.floor(F.log2(F.col("n").cast("double"))).cast("int").alias("band"), F.shiftrightunsigned(F.xxhash64("root"), 1).alias("h"))
+
+    def counts(rows: DataFrame, level: int) -> dict[int, list[tuple[int, int, int]]]:
+        """Of each band the prefixes in order, with the sum of ``n`` and the roots."""
+        at = F.shiftrightunsigned("h", 63 - bits * level)
+        out: dict[int, list[tuple[int, int, int]]] = {}
+        for r in rows.groupBy("band", at.alias("prefix")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("roots")).collect():
+            out.setdefault(r["band"], []).append((r["prefix"], r["n"], r["roots"]))
+        return {b: sorted(v) for b, v in out.items()}
+
+    by_band = counts(cells, 1)
+    total = sum(n for v in by_band.values() for _, n, _ in v)
     lack = {k: v / whole * total for k, v in wanted.items()}
-    giants: dict[str, str] = {}
-    for r in sorted(sizes.where(F.col("n") > giant_share * total).collect(), key=lambda r: (-r["n"], r["root"])):
-        giants[r["root"]] = s = max(names, key=lambda k: (lack[k], -names.index(k)))
-        lack[s] -= r["n"]
-    rest = sizes.where(F.col("n") <= giant_share * total).select(
-        "root", "n", F.floor(F.log2(F.col("n").cast("double"))).cast("int").alias("band"), F.xxhash64("root").alias("h")
-    ).withColumn("bucket", F.shiftrightunsigned("h", 64 - buckets.bit_length() + 1).cast("int"))
-    per_bucket = rest.groupBy("band", "bucket").agg(F.sum("n").alias("part"))
-    before = per_bucket.select("band", "bucket", (F.sum("part").over(Window.partitionBy("band").orderBy("bucket")) - F.col("part")).alias("before"))
-    place = F.col("before") + F.sum("n").over(Window.partitionBy("band", "bucket").orderBy("h", "root").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n") / 2
-    placed = rest.join(before, ["band", "bucket"]).select("root", "n", "band", place.alias("at"))
-    lengths = {r["band"]: r["n"] for r in rest.groupBy("band").agg(F.sum("n").alias("n")).collect()}
-
-    def cuts(share: dict[str, float]) -> list[float]:
-        parts = [max(0.0, share[k]) for k in names]
-        all_parts, out, run = sum(parts) or 1.0, [], 0.0
-        for p in parts:
-            run += p / all_parts
-            out.append(run)
-        return out
-
-    def pick(by_band: dict[int, list[float]]) -> Column:
-        out = F.lit(names[-1])
-        for band, at in by_band.items():
-            one = F.lit(names[-1])
-            for k, c in reversed(list(zip(names, at))[:-1]):
-                one = F.when(F.col("at") < c * lengths[band], k).otherwise(one)
-            out = F.when(F.col("band") == band, one).otherwise(out)
-        return out
-
-    plan = {b: cuts(lack) for b in lengths}
-    if lengths:
-        least = min(lengths)
-        left = dict(lack)
-        for r in placed.where(F.col("band") > least).select("n", pick(plan).alias("split")).groupBy("split").agg(F.sum("n").alias("n")).collect():
-            left[r["split"]] -= r["n"]
-        plan[least] = cuts(left)
-    dealt = placed.select("root", pick(plan).alias("split"))
-    if not giants:
-        return dealt
-    return dealt.union(sizes.sparkSession.createDataFrame(sorted(giants.items()), "root string, split string"))
+    ends: dict[int, list[int]] = {}  # of each band the hashes below which the splits but the last end
+    for band in sorted(by_band, reverse=True):
+        parts = [max(0.0, lack[k]) for k in names]
+        length, run, start, found = sum(n for _, n, _ in by_band[band]), 0.0, 0, []
+        for k, part in zip(names[:-1], parts):
+            run += part / (sum(parts) or 1.0) * length
+            at, hold = _cut(by_band[band], run, 63 - bits)
+            level, lo = 1, 0
+            while band == min(by_band) and hold is not None and hold[2] > 1 and (level + 1) * bits <= 60:
+                # The last band makes up for all the others: look into the prefix that the cut falls into.
+                lo += sum(n for p, n, _ in inner if p < hold[0]) if level > 1 else sum(n for p, n, _ in by_band[band] if p < hold[0])
+                level += 1
+                inner = counts(cells.where((F.col("band") == band) & (F.shiftrightunsigned("h", 63 - bits * (level - 1)) == hold[0])), level)[band]
+                at, hold = _cut(inner, run - lo, 63 - bits * level)
+            found.append(at)
+        ends[band] = found
+        for k, a, b in zip(names, [0, *found], [*found, 1 << 63]):
+            lack[k] -= sum(n for p, n, _ in by_band[band] if a <= p << (63 - bits) < b)
+    pick = F.lit(names[-1])
+    for band, found in ends.items():
+        one = F.lit(names[-1])
+        for k, a in reversed(list(zip(names, found))):
+            one = F.when(F.col("h") < F.lit(str(a)).cast("decimal(20,0)"), k).otherwise(one)
+        pick = F.when(F.col("band") == band, one).otherwise(pick)
+    return cells.select("root", pick.alias("split"))
+
+
+def _cut(prefixes: Sequence[tuple[int, int, int]], at: float, shift: int) -> tuple[int, tuple[int, int, int] | None]:
+    """The hash between two prefixes that lies nearest to the position ``at`` of the band, and the prefix that holds the position."""
+    run = 0
+    for p, n, roots in prefixes:
+        if run + n > at:
+            return ((p if at - run <= n / 2 else p + 1) << shift), (p, n, roots)
+        run += n
+    return 1 << 63, None
 
 
 def split_records(records: DataFrame, record_id: str, group: str, parent: str, targets: Sequence[tuple[str, float]], scratch: Scratch) -> DataFrame:

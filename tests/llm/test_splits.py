@@ -35,10 +35,15 @@ def graph(seed, n=250):
     return path + star + some + [("x", "x")] + star[:5] + [(b, a) for a, b in path[:5]]
 
 
+def in_numbers(seed):
+    number = {v: k - 100 for k, v in enumerate(sorted({v for e in graph(seed) for v in e}))}
+    return [(number[a], number[b]) for a, b in graph(seed)]
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_forest_equals_union_find(spark, scratch, seed):
-    edges = graph(seed)
-    labels, forest = splits.spanning_forest(spark.createDataFrame(edges + [(None, "x"), ("x", None)], "u string, v string"), scratch)
+    edges = in_numbers(seed)
+    labels, forest = splits.spanning_forest(spark.createDataFrame(edges + [(None, 1), (1, None)], "u long, v long"), scratch)
     got = {r["c"]: r["p"] for r in labels.collect()}
     want = unions([e for e in edges if e[0] != e[1]])
     assert set(got) == set(want)
@@ -49,9 +54,7 @@ def test_forest_equals_union_find(spark, scratch, seed):
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_decomposition_equals_union_find(spark, scratch, seed):
-    names = sorted({v for e in graph(seed) for v in e})
-    number = {v: k for k, v in enumerate(names)}
-    edges = [(number[a], number[b]) for a, b in graph(seed)]
+    edges = in_numbers(seed)
     got = {r["c"]: r["p"] for r in grouping.low_diameter_groups(spark.createDataFrame(edges, "u long, v long"), scratch).collect()}
     want = unions([e for e in edges if e[0] != e[1]])
     assert set(got) == set(want)
@@ -59,7 +62,7 @@ def test_decomposition_equals_union_find(spark, scratch, seed):
 
 
 def test_no_edges(spark, scratch):
-    labels, forest = splits.spanning_forest(spark.createDataFrame([], "u string, v string"), scratch)
+    labels, forest = splits.spanning_forest(spark.createDataFrame([], "u long, v long"), scratch)
     assert labels.count() == forest.count() == 0
     assert grouping.low_diameter_groups(spark.createDataFrame([(1, 1), (None, 2)], "u long, v long"), scratch).count() == 0
 
@@ -92,6 +95,21 @@ def test_shares_and_sets_stay_whole(spark, scratch):
         splits.deal(spark.createDataFrame([("a", 1)], "root string, n long"), [("train", 0.0)])
 
 
+@pytest.mark.parametrize("bits", [5, 10])
+def test_dealing_comes_as_near_as_the_roots_allow(spark, bits):
+    rng = random.Random(bits)
+    targets = [("train", 0.7), ("val", 0.15), ("test", 0.15), ("none", 0.0)]
+    sizes = {f"r{k}": rng.choice([1, 1, 1, 2, 3, 9, 40, 700]) for k in range(3000)} | {"giant": 40_000}
+    df = spark.createDataFrame(list(sizes.items()), "root string, n long")
+    got = {r["root"]: r["split"] for r in splits.deal(df, targets, bits).collect()}
+    assert set(got) == set(sizes) and set(got.values()) == {"train", "val", "test"}
+    whole = sum(sizes.values())
+    for name, share in targets[:3]:
+        assert abs(sum(n for r, n in sizes.items() if got[r] == name) - share * whole) <= 3
+    few = {r["root"]: r["split"] for r in splits.deal(spark.createDataFrame([("a", 50), ("b", 50)], "root string, n long"), targets).collect()}
+    assert set(few) == {"a", "b"} and splits.deal(df.where("false"), targets).count() == 0
+
+
 def test_groups(spark, scratch):
     links = spark.createDataFrame([(" A", "b", 1, 0), ("b", "C\t", 4, 0), ("c", "d", 5, 0), ("e", "E ", 0, 0), ("f", "", 1, 0), (None, "f", 1, 0), ("g", "h", None, 0), ("i", "j", -1, 0), ("b", "a", 0, 0)], "l string, r string, d int, p int")
     members = spark.createDataFrame([("x", " k1 "), ("Y", "k1"), ("z", " "), ("w", None), ("q", "lone"), (None, "k1"), ("d", "k2"), ("y", "k2")], "id string, c string")

@@ -1,6 +1,8 @@
 import random
 
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.llm import packing, spam, tokens
 from corpusloom.scratch import Scratch
@@ -10,20 +12,32 @@ PARTS = ["a", "B", " ", "  ", "\n", "\t", "\r\n", "'s", "'", "re", "'re", "。",
 
 
 @pytest.mark.parametrize("seed", range(4))
-def test_leaves_join_to_the_whole(seed):
+def test_the_tree_gives_the_ids_of_the_whole(seed):
     rng = random.Random(seed)
     for _ in range(1500):
         text = "".join(rng.choices(PARTS, k=rng.randint(0, 60)))
-        parts = list(tokens.leaves(text, rng.randint(1, 8), C.pattern))
-        assert "".join(p for _, p in parts) == text
-        assert tokens.joined(((k, tokens.leaf_ids(k, p, C)) for k, p in parts), C) == C.ids(text)
+        leaf = rng.randint(1, 8)
+        assert "".join(tokens.halves(text, leaf)) == text
+        assert C.ids(text, leaf) == C.plain(text)
 
 
-@pytest.mark.parametrize("alphabet", ["abcdefghij", "猫橋灯台市場", "01", "!?", "a"])
+@pytest.mark.parametrize("alphabet", ["abcdefghij", "猫橋灯台市場", "01", "!?", "a", " ", "\n", " \n", "a '"])
 def test_long_runs(alphabet):
     text = "".join(random.Random(1).choices(alphabet, k=4000))
-    parts = list(tokens.leaves(text, 60, C.pattern))
-    assert len(parts) > 50 and tokens.joined(((k, tokens.leaf_ids(k, p, C)) for k, p in parts), C) == C.ids(text)
+    C.joins = 0
+    assert all(C.ids(text, leaf) == C.plain(text) for leaf in (60, 1500)) and C.joins > 60
+
+
+def test_windows_at_joins_stay_small():
+    text = "".join(random.Random(2).choices("abcdefghij", k=20_000)) + " and so on" * 500
+    C.joins = C.widest = 0
+    left, right = (tokens.halves(text[:20_000], 10_000)[k] for k in (0, 1))
+    ids = tokens.join_run(C.plain(left), C.plain(right), C)
+    assert ids == C.plain(text[:20_000]) and C.widest < 100
+    with open("/root/testdata/sf0.001/documents.parquet", "rb") as f:
+        texts = [t for t in pq.read_table(f)["text"].to_pylist() if t]
+    C.joins = C.widest = 0
+    assert all(C.ids(t) == C.plain(t) for t in texts) and C.joins > 10 and C.widest < 100
 
 
 def test_encode(spark):
@@ -31,28 +45,45 @@ def test_encode(spark):
 
     texts = ["hello world", "", None, "  \n ", "x" * 9000, "word and <|endoftext|> " * 700, "猫" * 5000, "hello world"]
     df = spark.createDataFrame([(k % 7, t, "clash") for k, t in enumerate(texts)], "doc_id long, text string, ids string")
-    got = sorted((r["id"], list(r["ids"])) for r in tokens.encode(df, "doc_id", "text", long_chars=3000, leaf_chars=500).collect())
+    got = sorted((r["doc_id"], list(r["ids"])) for r in tokens.encode(df, ["doc_id"], "text", long_chars=3000, leaf_chars=500).collect())
     t = Tokenizer.from_file(tokens.TOKENIZER_DIR + "/byte_bpe_50k.json")
     t.encode_special_tokens = True
     assert got == sorted((k % 7, t.encode(x, add_special_tokens=False).ids if x else []) for k, x in enumerate(texts))
-    assert tokens.encode(df.where("false"), "doc_id", "text").count() == 0
+    sizes = sorted(tuple(r) for r in tokens.encode(df, ["doc_id"], "text", count_only=True, long_chars=3000).collect())
+    assert sizes == sorted((i, len(x)) for i, x in got)
+    assert tokens.encode(df.where("false"), ["doc_id"], "text").count() == 0
+
+
+def limits(items, room=1024, most=1):
+    return [(*x, room, most) for x in items]
 
 
 def test_bins():
     rng = random.Random(5)
     items = sorted(((rng.randint(1, 900), f"s{rng.randrange(40)}", rng.randrange(500)) for _ in range(2000)), reverse=True)
-    at = packing.pack(items, 2048)
+    at = packing.pack(limits(items), 2048)
     used = {}
-    for (size, _, cluster), b in zip(items, at):
-        used.setdefault(b, []).append((size, cluster))
-    assert all(sum(s for s, _ in v) <= 2048 and len({c for _, c in v}) == len(v) for v in used.values())
+    for (size, source, cluster), b in zip(items, at):
+        used.setdefault(b, []).append((size, source, cluster))
+    assert all(sum(s for s, _, _ in v) <= 2048 and len({c for _, _, c in v}) == len(v) for v in used.values())
+    for v in used.values():
+        for s in {x[1] for x in v}:
+            own = [x[0] for x in v if x[1] == s]
+            assert len(own) == 1 or sum(own) <= 1024
     assert len(used) <= 1.02 * sum(s for s, _, _ in items) / 2048 + 1
 
 
-def test_a_hot_source_and_cluster_waste_no_room():
-    items = [(100, "hot", 1)] * 600 + [(100, f"s{k}", k) for k in range(600)]
-    assert len(set(packing.pack(items, 2048))) <= 62
-    assert packing.pack([], 2048) == [] and len(set(packing.pack([(2000, None, None)] * 3, 2048))) == 3
+def test_copies_never_share_unless_they_must():
+    apart = packing.pack(limits([(100, None, 1)] * 40), 2048)
+    assert len(set(apart)) == 40
+    assert len(set(packing.pack(limits([(100, None, 1)] * 40, most=20), 2048))) == 2
+    assert packing.pack([], 2048) == [] and len(set(packing.pack(limits([(2000, None, None)] * 3), 2048))) == 3
+
+
+def test_a_hot_source_and_cluster_waste_no_room(spark, scratch):
+    rows = [(f"a{k}", "hot", 100, 1) for k in range(600)] + [(f"b{k}", f"s{k}", 100, 2 + k) for k in range(600)]
+    out = packing.fill(spark.createDataFrame(rows, "id string, source string, size long, cluster long"), scratch).collect()
+    assert len({r["container"] for r in out}) <= 62
 
 
 def test_fill(spark, scratch):
@@ -74,6 +105,26 @@ def test_fill(spark, scratch):
     assert packing.fill(df.where("false"), Scratch(spark, "none")).count() == 0
 
 
+@pytest.mark.parametrize("size", [1100, 700, 1950])
+def test_no_task_gets_more_than_its_share(spark, size):
+    # Nothing fits beside an item of 1,100 or 1,950 tokens, and two of 700 leave room for none.
+    df = spark.range(4000).select(F.col("id").cast("string").alias("id"), F.lit(None).cast("string").alias("source"), F.lit(size).cast("long").alias("size"), F.col("id").alias("cluster"))
+    s = Scratch(spark, "share")
+    out = s.save(packing.fill(df, s, shard_items=100), "out")
+    assert out.select("container").distinct().count() <= 4000 / (2048 // size) + 40
+    shard = F.substring_index("container", "-", 2)
+    assert out.groupBy(shard).count().agg(F.max("count")).first()[0] <= 160
+
+
+def test_audit_finds_what_is_wrong(spark, scratch):
+    items = spark.createDataFrame([("1", "s", 10, 1), ("2", "s", 2000, 1), ("3", None, 30, 2)], "id string, source string, size long, cluster long")
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, ""), (5, None)], "doc_id long, text string")
+    placed = spark.createDataFrame([("x", "1", 0, 10, 2010, "s", 1), ("x", "2", 0, 2000, 2010, "s", 1), ("y", "3", 0, 20, 20, None, 2)], "container string, id string, piece int, tokens long, used long, source string, cluster long")
+    got = {r["check"]: r["rows"] for r in packing.audit(placed, items, docs, "doc_id", "text").collect()}
+    assert got["documents with text"] == 3 and got["documents without text"] == 2 and got["tokens not placed once"] == 1 and got["containers over capacity or misstated"] == 0
+    assert {r["check"]: r["rows"] for r in packing.audit(placed.where("false"), items, docs, "doc_id", "text").collect()}["tokens not placed once"] == 3
+
+
 PROSE = ["the old lamp was found behind a fence and nobody asked for it", "we compared nine pictures before the test was opened", "please keep the index out of training because the sizes differ", "half of the bridge is missing, yet the note mentions it"]
 KEYS = ["ring light", "photo frame", "lens hood", "selfie stick", "camera bag"]
 
@@ -101,6 +152,12 @@ def test_stuffed_pages(spark, scratch):
     assert spam.stuffed_pages(only, "doc_id", "text", Scratch(spark, "g")).count() == 0
 
 
+def test_links():
+    links = ["https://a.b/c?d=e", "www.shop.de", "beispiel.de", "x-y.co.uk/p#q", "ftp://h", "img.png"]
+    assert all(spam._HINT.search(t) and spam._URL.sub("@", f"see {t} now") == "see @ now" for t in links)
+    assert all(spam._URL.sub("@", t) == t for t in ("3.5 times", "e.g. this", "me@mail.org", "end.Next!"[:4], "a/b"))
+
+
 def test_words():
     assert spam.words("see xlinkx now 12,345 w o r d s don't") == ["see", "xlinkx", "now", spam.NUMBER] + [spam.SPACED] * 5 + ["don't"]
     assert spam.words("猫の写真 ab") == ["猫", "の", "写", "真", "ab"]
