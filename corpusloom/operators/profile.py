@@ -2,8 +2,10 @@
 
 Values are generalised to masks of character classes.  The masks of a column
 over all loads give its dominant patterns; what stands under rare masks is
-reported, and so is how far the mix of masks moved from load to load.  Values
-with their masks are also held against the column's expectations.
+reported, and so is how far the mix of masks moved from load to load.  Where
+something is expected of a column, its allowed values have masks too: what
+stands under any other mask is invalid at once, and only values under one of
+theirs are looked at themselves.
 """
 
 from __future__ import annotations
@@ -28,28 +30,15 @@ MISSING_MASK = "(missing)"
 _HEX = "|".join(f"(?<![0-9{x}])(?=[0-9]*+[{x}])(?=[{x}]*+[0-9])[0-9{x}]{{16,}}+" for x in ("a-f", "A-F"))
 
 
-def mask(c: Column) -> Column:
-    """The mask of a value: runs of capitals ``A``, small letters ``a``, other letters ``x``, digits ``9``, white space ``_``; other characters stay.
-
-    A run counts once, so masks stay few however long the values are; values of
-    more than 24 runs keep the first 24 and ``...``, so this short form must not
-    stand for the value where patterns are counted (see ``whole_mask``).  Null
-    gives ``(null)``, the empty string the empty mask.
-    """
-
-    def short(m: Column) -> Column:
-        return F.when(F.length(m) > 24, F.concat(F.substring(m, 1, 24), F.lit("..."))).otherwise(m)
-
-    return F.coalesce(_once(_runs(c), short), F.lit(NULL_MASK))
-
-
 def whole_mask(c: Column) -> Column:
     """The mask of the whole value, nothing cut off, with hexadecimal runs as one class.
 
-    Runs are those of ``mask``.  A run of 16 or more hexadecimal digits of one
-    case, with a letter and a digit among them, is ``h{n}`` or ``H{n}``, n its
-    length: hashes share a mask, and one too long, too short or with a foreign
-    character has another.
+    Runs of capitals are ``A``, of small letters ``a``, of other letters ``x``,
+    of digits ``9``, of white space ``_``; other characters stay.  A run of 16
+    or more hexadecimal digits of one case, with a letter and a digit among
+    them, is ``h{n}`` or ``H{n}``, n its length: hashes share a mask, and one too
+    long, too short or with a foreign character has another.  Null gives
+    ``(null)``, the empty string the empty mask.
     """
 
     def hashes(t: Column) -> Column:
@@ -85,31 +74,44 @@ def is_missing(c: Column) -> Column:
     return c.isNull() | c.rlike(f"(?iu)^[{SPACE}]*({words})?[{SPACE}]*$")
 
 
-def value_counts(df: DataFrame, load: str, columns: Sequence[str]) -> DataFrame:
-    """``(load_no, column_name, value, n)``: every value as delivered with its rows a load.
+def masked(df: DataFrame, load: str, columns: Sequence[str]) -> DataFrame:
+    """``(load_no, column_name, value, n, mask)``: every distinct value of a load with its rows and its ``whole_mask``.
 
-    Rows with a null load count as a load of their own, null.
+    All missing values of a load are null under ``(missing)``.  Rows with a null
+    load count as a load of their own, null.  Rows are reduced to distinct
+    values before anything is looked at, so each value is masked once a load.
     """
-    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in columns]))
-    return df.select(F.col(load).alias("load_no"), cells.alias("x")).groupBy("load_no", "x.column_name", "x.value").agg(F.count(F.lit(1)).alias("n"))
+    cells = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).cast("string").alias("value")) for k, c in enumerate(columns)]))
+    values = df.select(F.col(load).alias("load_no"), cells.alias("x")).groupBy("load_no", "x.k", "x.value").agg(F.count(F.lit(1)).alias("n"))
+    known = values.select("load_no", F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("k") + 1).alias("column_name"), F.when(~is_missing(F.col("value")), F.col("value")).alias("value"), "n")
+    return known.withColumn("mask", F.when(F.col("value").isNull(), MISSING_MASK).otherwise(whole_mask(F.col("value"))))
 
 
-def classified(counts: DataFrame, expectations: DataFrame) -> DataFrame:
-    """``value_counts`` with ``mask`` and ``kind``: missing, valid, outside, invalid, or null where nothing is expected of the column.
+def classified(values: DataFrame, expectations: DataFrame) -> DataFrame:
+    """``masked`` values with ``kind`` (missing, valid, outside, invalid), ``numeric`` and ``valid``, by which shares of valid values are followed: the value, or the band of a number.
 
-    ``expectations(column_name, allowed_values, min_value, max_value)`` is a table of a row a column.  The mask decides
-    first: only values under the mask of a plain number can be numbers at all.
+    ``expectations(column_name, allowed_values, min_value, max_value)`` is a
+    table of a row a column; where it has none, or a row without values and
+    bounds, all three are null.  The mask decides first: a value under none of
+    the masks of the allowed values, or of a plain number, is invalid.
     """
     e = F.broadcast(expectations.select("column_name", F.split("allowed_values", r"\|").alias("allowed"), "min_value", "max_value"))
-    number = (F.col("mask") == "9") & F.col("value").rlike("^(0|[1-9][0-9]*)$")
-    size = F.when(number, F.expr("try_cast(value as decimal(38,0))"))
-    inside = size.between(F.col("min_value"), F.col("max_value"))
+    bounded = F.col("min_value").isNotNull() | F.col("max_value").isNotNull()
+    masks = F.coalesce(F.transform("allowed", whole_mask), F.when(bounded, F.array(F.lit("9"))))
+    e = e.withColumn("masks", masks)
+    number = F.col("value").rlike("^(0|[1-9][0-9]*)$")
+    inside = F.when(number, F.expr("try_cast(value as decimal(38,0))")).between(F.col("min_value"), F.col("max_value"))
     kind = (
-        F.when(is_missing(F.col("value")), "missing")
+        F.when(F.col("masks").isNull(), None)
+        .when(F.col("mask") == MISSING_MASK, "missing")
+        .when(~F.array_contains("masks", F.col("mask")), "invalid")
         .when(F.col("allowed").isNotNull(), F.when(F.array_contains("allowed", F.col("value")), "valid").otherwise("invalid"))
-        .when(F.col("min_value").isNotNull() | F.col("max_value").isNotNull(), F.when(~number, "invalid").when(F.coalesce(inside, F.lit(False)), "valid").otherwise("outside"))
+        .when(~number, "invalid")
+        .otherwise(F.when(F.coalesce(inside, F.lit(False)), "valid").otherwise("outside"))
     )
-    return counts.withColumn("mask", mask(F.col("value"))).join(e, "column_name", "left").withColumn("kind", kind)
+    numeric = F.when(F.col("masks").isNotNull(), F.col("allowed").isNull())
+    out = values.join(e, "column_name", "left").withColumns({"kind": kind, "numeric": numeric})
+    return out.select(*values.columns, "kind", "numeric", F.when(F.col("kind") == "valid", F.when(F.col("numeric"), band(F.col("value"))).otherwise(F.col("value"))).alias("valid"))
 
 
 def band(value: Column) -> Column:
@@ -132,9 +134,7 @@ def findings(
     next below in number, and the first load has none.  A load without valid values has no shares, so neither it nor the
     load after it shifts.
     """
-    k = kinds.where("kind is not null and load_no is not null")
-    numeric = F.col("allowed").isNull()
-    cells = k.select("load_no", "column_name", "kind", "n", numeric.alias("numeric"), F.when(F.col("kind") == "valid", F.when(numeric, band(F.col("value"))).otherwise(F.col("value"))).alias("valid"))
+    cells = kinds.where("kind is not null and load_no is not null").groupBy("load_no", "column_name", "kind", "numeric", "valid").agg(F.sum("n").alias("n"))
     part = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("n")).otherwise(0))
     loads = cells.groupBy("column_name", "load_no").agg(
         F.first("numeric").alias("numeric"), F.sum("n").alias("rows"), part("missing").alias("missing"), part("invalid").alias("invalid"), part("outside").alias("outside"), part("valid").alias("valid")
@@ -175,52 +175,62 @@ def findings(
     return all_.select("load_no", "column_name", F.explode(found).alias("finding")).where("finding is not null")
 
 
-def mask_counts(df: DataFrame, load: str, columns: Sequence[str]) -> DataFrame:
-    """``(load_no, column_name, mask, n, distinct_values, lo, hi, lo_n, hi_n)``: the rows of a load and column under each ``whole_mask``.
+def mask_counts(values: DataFrame) -> DataFrame:
+    """``(load_no, column_name, mask, n, distinct_values, lo, hi, lo_n, hi_n)`` from ``masked`` values, and what ``classified`` made of them: the rows of a load and column under each mask.
 
-    Missing values stand under ``(missing)`` without distinct values.  Rows are first reduced to
-    distinct values, so those are counted exactly and each is masked once a load.
+    Distinct values are counted exactly, missing ones don't count as such;
+    ``lo`` and ``hi`` are the ends in string order, ``lo_n`` and ``hi_n`` those of
+    numbers up to 64 bits.
     """
-    cells = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).cast("string").alias("value")) for k, c in enumerate(columns)]))
-    values = df.select(F.col(load).alias("load_no"), cells.alias("x")).groupBy("load_no", "x.k", "x.value").agg(F.count(F.lit(1)).alias("n"))
-    known = values.select("load_no", "k", "n", F.when(~is_missing(F.col("value")), F.col("value")).alias("value"))
-    number = F.when(F.col("value").rlike(r"^\p{Nd}+$"), F.expr("try_cast(value as decimal(38,0))"))
-    masked = known.withColumn("mask", F.when(F.col("value").isNull(), MISSING_MASK).otherwise(whole_mask(F.col("value"))))
-    per = masked.groupBy("load_no", "k", "mask").agg(
+    number = F.when(F.col("value").rlike(r"^[0-9]+$"), F.expr("try_cast(value as bigint)"))
+    keys = ["load_no", "column_name", "mask", *[c for c in ("kind", "numeric", "valid") if c in values.columns]]
+    return values.groupBy(*keys).agg(
         F.sum("n").alias("n"), F.count("value").alias("distinct_values"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.min(number).alias("lo_n"), F.max(number).alias("hi_n")
     )
-    return per.withColumn("column_name", F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("k") + 1)).drop("k")
 
 
 def with_dominance(masks: DataFrame, dominant_share: float) -> DataFrame:
-    """``mask_counts`` with ``dominant``: whether ``dominant_share`` of the column's non-missing rows over all loads bear the mask."""
-    there = F.col("mask") != MISSING_MASK
-    of_mask = F.sum("n").over(Window.partitionBy("column_name", "mask"))
-    of_column = F.sum(F.when(there, F.col("n")).otherwise(0)).over(Window.partitionBy("column_name"))
-    return masks.withColumn("dominant", there & (F.try_divide(of_mask, of_column) >= dominant_share))
+    """``mask_counts`` with ``dominant``: whether ``dominant_share`` of the column's non-missing rows over all loads bear the mask.
 
+    A column of free text has as many masks as values, so sums are joined back and no task holds a column.
+    """
+    there = masks.where(F.col("mask") != MISSING_MASK)
+    of_mask = there.groupBy("column_name", "mask").agg(F.sum("n").alias("__m"))
+    of_column = there.groupBy("column_name").agg(F.sum("n").alias("__c"))  # a row a column
+    often = of_mask.join(F.broadcast(of_column), "column_name").where(F.col("__m") / F.col("__c") >= dominant_share).select("column_name", "mask", F.lit(True).alias("dominant"))
+    return masks.join(often, ["column_name", "mask"], "left").withColumn("dominant", F.coalesce("dominant", F.lit(False)))
 
-def rare_masks(df: DataFrame, load: str, columns: Sequence[str], dominant_share: float = 0.01) -> DataFrame:
+
+def rare_masks(df: DataFrame, load: str, columns: Sequence[str], scratch: Scratch, dominant_share: float = 0.01) -> DataFrame:
     """``(load_no, column_name, mask, rows, distinct_values, example)``: what of each load and column stands under masks that are not dominant; the example is the least value."""
-    marked = with_dominance(mask_counts(df, load, columns), dominant_share).where((F.col("mask") != MISSING_MASK) & ~F.col("dominant"))
-    return marked.select("load_no", "column_name", "mask", F.col("n").alias("rows"), "distinct_values", F.col("lo").alias("example"))
+    masks = scratch.save(mask_counts(masked(df, load, columns)), "masks")
+    rare = with_dominance(masks, dominant_share).where((F.col("mask") != MISSING_MASK) & ~F.col("dominant"))
+    return rare.select("load_no", "column_name", "mask", F.col("n").alias("rows"), "distinct_values", F.col("lo").alias("example"))
 
 
-def column_profile(df: DataFrame, load: str, columns: Sequence[str], scratch: Scratch, dominant_share: float = 0.01) -> DataFrame:
-    """A row a load and column: rows, missing share, distinct values, range, masks, dominant and rare ones, divergence.
+def column_profile(df: DataFrame, load: str, columns: Sequence[str], scratch: Scratch, expectations: DataFrame | None = None, dominant_share: float = 0.01) -> DataFrame:
+    """A row a load and column: rows, missing share, distinct values, range, masks, dominant and rare ones, divergence, findings.
 
-    One pass over the table, reduced to distinct values and then to counts a
-    (load, column, mask).  ``distinct_values`` is exact, the range is that of the values in string order and,
-    for values that are plain numbers, in ``min_number`` and ``max_number``.  Masks are those of whole values.  A
+    One reading of the table, reduced to distinct values and then to counts a
+    (load, column, mask).  ``distinct_values`` is exact, the range is that of the
+    values in string order and, for values that are plain numbers of up to 64
+    bits, in ``min_number`` and ``max_number``.  Masks are those of whole values.  A
     mask is *dominant* if ``dominant_share`` of the column's non-missing rows
     over all loads bear it; ``rare_share`` is the share of a load's non-missing
     rows under other masks, ``rare_example`` the commonest of these masks.
     ``divergence`` is half the sum of absolute differences of mask shares from
-    the load before.  An empty table has no profile.
+    the load before.  ``findings`` joins what ``findings`` says in alphabetical order; it is
+    null where nothing is expected of the column.  An empty table has no profile.
     """
     names = [c for c in columns if c != load]
+    values = masked(df, load, names)
+    if expectations is not None:
+        values = classified(values, expectations)
     # Small beside the table and read several times from here on.
-    masks = scratch.save(mask_counts(df, load, names), "masks")
+    counts = scratch.save(mask_counts(values), "masks")
+    masks = counts.groupBy("load_no", "column_name", "mask").agg(
+        F.sum("n").alias("n"), F.sum("distinct_values").alias("distinct_values"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("lo_n").alias("lo_n"), F.max("hi_n").alias("hi_n")
+    )
     there = F.col("mask") != MISSING_MASK
     marked = with_dominance(masks, dominant_share)
     rare = there & ~F.col("dominant")
@@ -237,12 +247,20 @@ def column_profile(df: DataFrame, load: str, columns: Sequence[str], scratch: Sc
         F.sum(F.when(rare, F.col("n")).otherwise(0)).alias("rare"),
         F.max_by(F.when(rare, F.col("mask")), F.when(rare, F.struct("n", "mask"))).alias("rare_example"),
     )
-    order = Window.partitionBy("column_name").orderBy("load_no")
-    per = per.withColumn("no", F.row_number().over(order))
-    now = marked.where(there).join(per.select("load_no", "column_name", "no", "present"), ["load_no", "column_name"]).select("column_name", "no", "mask", (F.col("n") / F.col("present")).alias("share"))
+    order = Window.partitionBy("column_name").orderBy("load_no")  # a row a load
+    per = scratch.save(per.withColumn("no", F.row_number().over(order)), "loads")
+    now = masks.where(there).join(F.broadcast(per.select(F.col("load_no").alias("l"), F.col("column_name").alias("c"), "no", "present")), F.col("load_no").eqNullSafe(F.col("l")) & (F.col("column_name") == F.col("c")))
+    now = now.select("column_name", "no", "mask", (F.col("n") / F.col("present")).alias("share"))
     before = now.select("column_name", (F.col("no") + 1).alias("no"), "mask", F.col("share").alias("was"))
     moved = now.join(before, ["column_name", "no", "mask"], "full").groupBy("column_name", "no").agg((F.sum(F.abs(F.coalesce("share", F.lit(0.0)) - F.coalesce("was", F.lit(0.0)))) / 2).alias("divergence"))
-    return per.join(moved, ["column_name", "no"], "left").select(
+    out = per.join(moved, ["column_name", "no"], "left")
+    if expectations is None:
+        out = out.withColumn("findings", F.lit(None).cast("string"))
+    else:
+        said = findings(counts).groupBy("load_no", "column_name").agg(F.array_join(F.array_sort(F.collect_list("finding")), "+").alias("said"))
+        expected = counts.where("numeric is not null").select("column_name", F.lit(True).alias("expected")).distinct()
+        out = out.join(said, ["load_no", "column_name"], "left").join(expected, "column_name", "left").withColumn("findings", F.when(F.col("expected"), F.coalesce("said", F.lit(""))))
+    return out.select(
         "load_no",
         "column_name",
         "rows",
@@ -257,4 +275,5 @@ def column_profile(df: DataFrame, load: str, columns: Sequence[str], scratch: Sc
         F.round(F.when(F.col("present") > 0, F.col("rare") / F.col("present")).otherwise(0.0), 6).alias("rare_share"),
         "rare_example",
         F.when(F.col("no") > 1, F.round("divergence", 6)).alias("divergence"),
+        "findings",
     )

@@ -8,21 +8,30 @@ EXPECT = "column_name string, allowed_values string, min_value long, max_value l
 def found(spark, rows, **kw):
     df = spark.createDataFrame(rows, "load_no int, fmt string, width string")
     e = spark.createDataFrame([("fmt", "PNG|JPEG", None, None), ("width", None, 16, 16384)], EXPECT)
-    kinds = profile.classified(profile.value_counts(df, "load_no", ["fmt", "width"]), e)
+    kinds = profile.classified(profile.masked(df, "load_no", ["fmt", "width"]), e)
     return {tuple(r) for r in profile.findings(kinds, **kw).collect()}
 
 
 def test_masks(spark):
-    df = spark.createDataFrame([("PNG",), ("image/jpeg",), ("0x200",), (" a b",), ("猫",), ("",), (None,), ("A1" * 20,)], "v string")
-    assert [r[0] for r in df.select(profile.mask(F.col("v"))).collect()] == ["A", "a/a", "9a9", "_a_a", "x", "", "(null)", "A9" * 12 + "..."]
+    df = spark.createDataFrame([("PNG",), ("image/jpeg",), ("0x200",), (" a b",), ("猫",), ("",), (None,)], "v string")
+    assert [r[0] for r in df.select(profile.whole_mask(F.col("v"))).collect()] == ["A", "a/a", "9a9", "_a_a", "x", "", "(null)"]
+
+
+def test_the_mask_decides_before_the_value(spark):
+    # Under another mask the value isn't looked at, under one of the allowed values' masks it is.
+    values = [(1, "fmt", v, 1, m) for v, m in (("PNG", "A"), ("PNG", "other"), ("GIF", "A"))]
+    e = spark.createDataFrame([("fmt", "PNG|JPEG", None, None)], EXPECT)
+    got = profile.classified(spark.createDataFrame(values, "load_no int, column_name string, value string, n long, mask string"), e).collect()
+    assert [(r["value"], r["kind"]) for r in got] == [("PNG", "valid"), ("PNG", "invalid"), ("GIF", "invalid")]
 
 
 def test_kinds(spark):
     values = [None, "", " n/a ", "-", "?", "PNG", "png", "PNG ", "512", "0512", "+5", "0", "15", "99999", "9" * 60, "٣"]
     df = spark.createDataFrame([(1, v, v) for v in values], "load_no int, fmt string, width string")
     e = spark.createDataFrame([("fmt", "PNG|JPEG", None, None), ("width", None, 16, 16384)], EXPECT)
-    got = {(r["column_name"], r["value"]): r["kind"] for r in profile.classified(profile.value_counts(df, "load_no", ["fmt", "width"]), e).collect()}
-    assert [got["fmt", v] for v in values[:8]] == ["missing"] * 5 + ["valid", "invalid", "invalid"]
+    got = {(r["column_name"], r["value"]): r["kind"] for r in profile.classified(profile.masked(df, "load_no", ["fmt", "width"]), e).collect()}
+    assert got["fmt", None] == got["width", None] == "missing"
+    assert [got["fmt", v] for v in values[5:8]] == ["valid", "invalid", "invalid"]
     assert [got["width", v] for v in values[8:]] == ["valid", "invalid", "invalid", "outside", "outside", "outside", "outside", "invalid"]
 
 
@@ -67,6 +76,13 @@ def test_profile_sees_the_end_of_long_values(spark, scratch):
     assert out[2]["divergence"] == round(1 / 151, 6)
 
 
+def test_findings_stand_in_the_profile(spark, scratch):
+    df = spark.createDataFrame([(1, "PNG", "x")] * 20 + [(2, None, "x")] * 3 + [(2, "png", "y")] * 17, "load_no int, fmt string, findings string")
+    e = spark.createDataFrame([("fmt", "PNG|JPEG", None, None)], EXPECT)
+    out = {(r["load_no"], r["column_name"]): r["findings"] for r in profile.column_profile(df, "load_no", df.columns, scratch, e).collect()}
+    assert out == {(1, "fmt"): "", (2, "fmt"): "invalid+missing", (1, "findings"): None, (2, "findings"): None}
+
+
 def test_distinct_values_are_exact(spark, scratch):
     df = spark.range(20_011).select(F.lit(1).alias("load_no"), F.concat(F.lit("im"), "id").alias("name"))
     df = df.union(df)
@@ -78,5 +94,5 @@ def test_rare_masks_of_all_columns(spark, tmp_path):
 
     rows = [(1 + k % 2, f"set@{SHA}:{k}", SHA2, "ok") for k in range(300)] + [(2, "set@main:1", SHA2[1:], None), (2, "set@main:2", "", "ok")]
     spark.createDataFrame(rows, "load_no int, locator string, prompt_hash string, format string").write.parquet(f"{tmp_path}/source_catalog.parquet")
-    got = {tuple(r) for r in profile_queries.p2_all_rare_masks(spark, str(tmp_path)).collect()}
+    got = {tuple(r) for r in profile_queries.p2_rare_masks(spark, str(tmp_path)).collect()}
     assert got == {(2, "locator", "a@a:9", 2, 2, "set@main:1"), (2, "prompt_hash", "h{39}", 1, 1, SHA2[1:])}
