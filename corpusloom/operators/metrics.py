@@ -3,13 +3,14 @@
 Every function takes predictions with the columns ``label`` (0 or 1) and
 ``score`` and gives a row for each combination of ``keys``.  Curves work on the
 counts of distinct scores; running sums go by score bucket, so no task sorts
-all scores of a key.
+all scores of a key.  Buckets are the finer the nearer a score is to 0 or 1.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +21,23 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(b != 0, a / b).otherwise(float("nan"))
 
 
+def score_bucket(score: Column, bits: int = 9) -> Column:
+    """A bucket that falls as the score (0 to 1) rises: from either end, 2 to the ``bits`` buckets for each halving of the distance down to 2 to the -60."""
+    near = F.least(score, 1 - score)
+    half = F.least(F.floor(-F.log2(F.greatest(near, F.lit(2.0**-60)))), F.lit(60))
+    # 0 at the end, rising to the middle: the halving, then the place within it.
+    at = (60 - half) * (1 << bits) + F.least(F.floor((near * F.pow(F.lit(2.0), half + 1) - 1) * (1 << bits)), F.lit((1 << bits) - 1))
+    return F.when(score <= 0.5, -at).otherwise(at - (1 << 40)).cast("long")
+
+
+def ranged(df: DataFrame, column: str, cuts: Sequence[float], name: str) -> DataFrame:
+    """``df`` with the number of its range between ascending ``cuts``; a cut belongs to the range above it."""
+    if not cuts:
+        return df.withColumn(name, F.lit(0))
+    edges = [-float("inf"), *map(float, cuts), float("inf")]
+    return Bucketizer(splits=edges, inputCol=column, outputCol=name).transform(df).withColumn(name, F.col(name).cast("int"))
+
+
 def confusion(df: DataFrame, keys: Sequence[str], threshold: float | Column) -> DataFrame:
     """Counts at a threshold (predicted 1 from it upwards) and what follows from them; NaN where a class is absent."""
     hit = F.col("score") >= threshold
@@ -51,10 +69,10 @@ def calibration_error(df: DataFrame, keys: Sequence[str], bins: int = 15) -> Dat
     return per.groupBy(*keys).agg((F.sum(F.col("n") * F.abs(F.col("y") - F.col("p"))) / F.sum("n")).alias("ece"))
 
 
-def curve(df: DataFrame, keys: Sequence[str], buckets: int = 4096) -> DataFrame:
+def curve(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``(keys, score, p, n, tp, fp, positives, negatives)``: a row a distinct score with the counts at it and from it upwards."""
     per = df.groupBy(*keys, "score").agg(F.sum(F.col("label").cast("long")).alias("p"), F.count_if(F.col("label") == 0).alias("n"))
-    run = running(per, keys, [F.col("score").desc()], -F.floor(F.col("score") * buckets), {"tp": "p", "fp": "n"})
+    run = running(per, keys, [F.col("score").desc()], score_bucket(F.col("score")), {"tp": "p", "fp": "n"})
     sums = per.groupBy(*keys).agg(F.sum("p").alias("positives"), F.sum("n").alias("negatives"))
     return run.join(sums, list(keys)) if keys else run.crossJoin(F.broadcast(sums))  # one row
 
@@ -70,9 +88,9 @@ def average_precision(points: DataFrame, keys: Sequence[str]) -> DataFrame:
     return points.groupBy(*keys).agg(ratio(F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))), F.first("positives")).alias("pr_auc"))
 
 
-def fpr_at_tpr(points: DataFrame, keys: Sequence[str], tpr: float = 0.95, buckets: int = 4096) -> DataFrame:
+def fpr_at_tpr(points: DataFrame, keys: Sequence[str], tpr: float = 0.95) -> DataFrame:
     """False positive rate at the first corner of the ROC curve whose true positive rate reaches ``tpr``; points on a straight stretch are no corners."""
-    rows = points.withColumn("__b", -F.floor(F.col("score") * buckets))
+    rows = points.withColumn("__b", score_bucket(F.col("score")))
     step = F.struct("p", "n")
     inside = Window.partitionBy(*keys, "__b").orderBy(F.col("score").desc())
     heads = rows.groupBy(*keys, "__b").agg(F.max_by(step, "score").alias("head"))
@@ -95,12 +113,12 @@ def log_loss(df: DataFrame, keys: Sequence[str], eps: float = 1e-7) -> DataFrame
     return df.groupBy(*keys).agg(F.avg(-(F.col("label") * F.log(p) + (1 - F.col("label")) * F.log(1 - p))).alias("log_loss"))
 
 
-def group_ranking(df: DataFrame, keys: Sequence[str], group: str, buckets: int = 4096) -> DataFrame:
+def group_ranking(df: DataFrame, keys: Sequence[str], group: str) -> DataFrame:
     """How often a group's positive outscores its negative, ties half: the mean of the groups' rates, the rate over all pairs, pairs and groups.
 
     Pairs are counted from running sums, never formed.  Groups without both labels, and null groups, count for nothing.
     """
-    c = curve(df.where(F.col(group).isNotNull()), [*keys, group], buckets)
+    c = curve(df.where(F.col(group).isNotNull()), [*keys, group])
     won = F.sum(F.col("p") * (F.col("negatives") - F.col("fp") + F.col("n") / 2))
     per = c.groupBy(*keys, group).agg(won.alias("won"), (F.first("positives") * F.first("negatives")).alias("pairs")).where("pairs > 0")
     return per.groupBy(*keys).agg(F.avg(F.col("won") / F.col("pairs")).alias("macro_rate"), (F.sum("won") / F.sum("pairs")).alias("micro_rate"), F.sum("pairs").alias("pairs"), F.count(F.lit(1)).alias("groups"))

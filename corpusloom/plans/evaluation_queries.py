@@ -161,40 +161,96 @@ def log_loss(spark: SparkSession, d: str) -> DataFrame:
     return _round(metrics.log_loss(predictions(spark, d), ["condition"]), "log_loss")
 
 
-_DRAW = "(" + " + ".join(f"(u >= {p})::INT" for p in bootstrap.POISSON) + ")"
-_REPEATS = 200
+_REPEATS = 2000
+_U64 = "18446744073709551616::UHUGEINT"
 
 
-def _replicates(name: str, score: str) -> str:
-    return (
-        f"{name}_k AS (SELECT grp AS cluster, count(*) FILTER (label = 1 AND {score} >= {T}) AS tp, count(*) FILTER (label = 0 AND {score} >= {T}) AS fp, count(*) FILTER (label = 1 AND {score} < {T}) AS fn, count(*) FILTER (label = 0 AND {score} < {T}) AS tn FROM p GROUP BY 1), "
-        f"{name}_w AS (SELECT *, {_DRAW} AS w FROM (SELECT *, ('0x' || substr(sha256(r.replicate::VARCHAR || ':' || cluster::VARCHAR), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM {name}_k, range({_REPEATS}) r(replicate))), "
-        f"{name} AS (SELECT replicate, (sum(tp * w) / (sum(tp * w) + sum(fn * w)) + sum(tn * w) / (sum(tn * w) + sum(fp * w))) / 2 AS value FROM {name}_w GROUP BY 1)"
-    )
+def _mixed(z: str, shift: int, by: int) -> str:
+    return f"(xor({z}, {z} >> {shift})::UHUGEINT * {by}::UHUGEINT % {_U64})::UBIGINT"
 
 
-@query(f"WITH {_P}, {_replicates('a', 'score')} SELECT round(quantile_cont(value, 0.025), 6) AS lower, round(quantile_cont(value, 0.975), 6) AS upper, count(value) AS repeats FROM a")
+#: Draws of every cluster of ``p``: splitmix64 of the cluster's number and the replicate, as a Poisson number.
+_DRAWS = f"""
+z0 AS (SELECT grp, replicate, (('0x' || substr(sha256(grp::VARCHAR), 1, 16))::UBIGINT::UHUGEINT + (replicate + 1)::UHUGEINT * {bootstrap.STEP}::UHUGEINT % {_U64}) % {_U64} AS z FROM (SELECT DISTINCT grp FROM p), range({_REPEATS}) r(replicate)),
+z1 AS (SELECT grp, replicate, {_mixed("z::UBIGINT", 30, bootstrap.MIX[0])} AS z FROM z0), z2 AS (SELECT grp, replicate, {_mixed("z", 27, bootstrap.MIX[1])} AS z FROM z1),
+w AS (SELECT * FROM (SELECT grp, replicate, {" + ".join(f"(u >= {x!r}::DOUBLE)::INT" for x in bootstrap.POISSON)} AS w FROM (SELECT grp, replicate, (xor(z, z >> 31) >> 11)::DOUBLE / 9007199254740992.0::DOUBLE AS u FROM z2)) WHERE w > 0)"""
+
+
+def _drawn(name: str, source: str, key: str) -> str:
+    """Metrics of every replicate of ``source(key, grp, label, score)`` as ``name(key, metric, replicate, value)``."""
+    return f"""
+{name}_s AS (SELECT {key}, replicate, score, sum(w * label) AS p, sum(w * (1 - label)) AS n FROM {source} JOIN w USING (grp) GROUP BY 1, 2, 3),
+{name}_c AS (SELECT *, sum(p) OVER o AS tp, sum(n) OVER o AS fp, sum(p) OVER k AS pos, sum(n) OVER k AS neg FROM {name}_s WINDOW o AS (PARTITION BY {key}, replicate ORDER BY score DESC ROWS UNBOUNDED PRECEDING), k AS (PARTITION BY {key}, replicate)),
+{name}_m AS (SELECT {key}, replicate, sum(p * (neg - fp + n / 2)) / any_value(pos * neg) AS roc_auc, coalesce(sum(p) FILTER (score >= {T}), 0) AS tp, coalesce(sum(n) FILTER (score >= {T}), 0) AS fp, any_value(pos) AS pos, any_value(neg) AS neg,
+  min(fp) FILTER (tp >= 0.95 * pos) / any_value(neg) AS fpr FROM {name}_c WHERE pos > 0 AND neg > 0 GROUP BY 1, 2),
+{name} AS (UNPIVOT (SELECT {key}, replicate, roc_auc, (tp / pos + (neg - fp) / neg) / 2 AS balanced_accuracy, (2 * tp / (pos + tp + fp) + 2 * (neg - fp) / (neg + neg - fp + pos - tp)) / 2 AS macro_f1, fpr::DOUBLE AS fpr_at_tpr_95 FROM {name}_m)
+  ON roc_auc, balanced_accuracy, macro_f1, fpr_at_tpr_95 INTO NAME metric VALUE value)"""
+
+
+def _point(name: str, source: str, key: str) -> str:
+    """The metrics of ``source`` itself as ``name(key, metric, value)``."""
+    return f"""
+{name}_q AS (SELECT {key}, score, sum(label) AS p, sum(1 - label) AS n FROM {source} GROUP BY 1, 2),
+{name}_c AS (SELECT *, sum(p) OVER w AS tp, sum(n) OVER w AS fp, sum(p) OVER k AS pos, sum(n) OVER k AS neg, lead(p) OVER o AS np, lead(n) OVER o AS nn FROM {name}_q
+  WINDOW w AS (PARTITION BY {key} ORDER BY score DESC ROWS UNBOUNDED PRECEDING), o AS (PARTITION BY {key} ORDER BY score DESC), k AS (PARTITION BY {key})),
+{name}_m AS (SELECT {key}, sum(p * (neg - fp + n / 2)) / any_value(pos * neg) AS roc_auc, coalesce(sum(p) FILTER (score >= {T}), 0) AS tp, coalesce(sum(n) FILTER (score >= {T}), 0) AS fp, any_value(pos) AS pos, any_value(neg) AS neg,
+  min(fp) FILTER ((np IS NULL OR np != p OR nn != n) AND tp >= 0.95 * pos) / any_value(neg) AS fpr FROM {name}_c GROUP BY 1),
+{name} AS (UNPIVOT (SELECT {key}, roc_auc, (tp / pos + (neg - fp) / neg) / 2 AS balanced_accuracy, (2 * tp / (pos + tp + fp) + 2 * (neg - fp) / (neg + neg - fp + pos - tp)) / 2 AS macro_f1, fpr::DOUBLE AS fpr_at_tpr_95 FROM {name}_m)
+  ON roc_auc, balanced_accuracy, macro_f1, fpr_at_tpr_95 INTO NAME metric VALUE value)"""
+
+
+_ENDS = "round(quantile_cont({v}, 0.025), 6) AS lower, round(quantile_cont({v}, 0.975), 6) AS upper"
+
+
+@query(f"WITH {_P}, a0 AS (SELECT 0 AS k, grp, label, score FROM p), {_DRAWS}, {_drawn('a', 'a0', 'k')}, {_point('e', 'a0', 'k')} SELECT metric, round(any_value(e.value), 6) AS estimate, {_ENDS.format(v='a.value')}, count(a.value) AS repeats FROM e JOIN a USING (metric) GROUP BY 1")
 def cluster_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    return _round(bootstrap.cluster_interval(predictions(spark, d), [], "grp", T, _REPEATS), "lower", "upper")
+    """Estimates and intervals of the four surveyed metrics over 2,000 resamples of the clusters."""
+    return _round(bootstrap.cluster_intervals(predictions(spark, d), [], "grp", T, Scratch(spark, "bootstrap"), _REPEATS), "estimate", "lower", "upper")
 
 
-@query(f"WITH {_P}, {_replicates('a', 'score')}, {_replicates('b', '(1 - score)')} SELECT round(quantile_cont(a.value - b.value, 0.025), 6) AS lower, round(quantile_cont(a.value - b.value, 0.975), 6) AS upper, count(*) AS repeats FROM a JOIN b USING (replicate)")
+@query(
+    f"WITH {_P}, a0 AS (SELECT 0 AS k, grp, label, score FROM p), b0 AS (SELECT 0 AS k, grp, label, 1 - score AS score FROM p), {_DRAWS}, {_drawn('a', 'a0', 'k')}, {_drawn('b', 'b0', 'k')}, {_point('e', 'a0', 'k')}, {_point('f', 'b0', 'k')}, "
+    f"d AS (SELECT metric, a.value - b.value AS value FROM a JOIN b USING (metric, replicate)) SELECT metric, round(any_value(e.value - f.value), 6) AS estimate, {_ENDS.format(v='d.value')}, count(d.value) AS repeats FROM e JOIN f USING (metric) JOIN d USING (metric) GROUP BY 1"
+)
 def paired_bootstrap(spark: SparkSession, d: str) -> DataFrame:
+    """The same of the difference between the scores and their complements, over the same draws."""
     p = predictions(spark, d)
-    return _round(bootstrap.paired_interval(p, p.withColumn("score", 1 - F.col("score")), "grp", T, _REPEATS), "lower", "upper")
+    return _round(bootstrap.paired_intervals(p, p.withColumn("score", 1 - F.col("score")), "event_id", "grp", (T, T), Scratch(spark, "bootstrap"), _REPEATS), "estimate", "lower", "upper")
 
 
-@query()
-def cluster_bootstrap_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """Intervals of the four surveyed metrics over 2,000 resamples of the clusters."""
-    return _round(bootstrap.metric_intervals(predictions(spark, d), "grp", bootstrap.surveyed(T), Scratch(spark, "bootstrap")), "lower", "upper")
+@query(f"""
+WITH {_P}, l AS (SELECT event_id, label, grp FROM p WHERE event_id % 50 != 0), r AS (SELECT event_id, CASE WHEN event_id % 70 = 1 THEN 1 - label ELSE label END AS label, CASE WHEN event_id % 90 = 1 THEN grp + 1 ELSE grp END AS grp FROM p WHERE event_id % 60 != 0
+  UNION ALL SELECT event_id, label, grp FROM p WHERE event_id % 500 = 7),
+a AS (SELECT event_id, count(*) AS n, min(label) AS label, min(grp) AS grp FROM l GROUP BY 1), b AS (SELECT event_id, count(*) AS n, min(label) AS label, min(grp) AS grp FROM r GROUP BY 1),
+j AS (SELECT a.n AS an, b.n AS bn, a.label AS al, b.label AS bl, a.grp AS ag, b.grp AS bg FROM a FULL JOIN b USING (event_id))
+SELECT unnest(['left keys repeated', 'right keys repeated', 'only left', 'only right', 'labels differ', 'groups differ']) AS "check", unnest([count(*) FILTER (an > 1), count(*) FILTER (bn > 1), count(*) FILTER (bn IS NULL), count(*) FILTER (an IS NULL),
+  count(*) FILTER (an > 0 AND bn > 0 AND al != bl), count(*) FILTER (an > 0 AND bn > 0 AND ag != bg)]) AS rows FROM j""")
+def paired_alignment(spark: SparkSession, d: str) -> DataFrame:
+    """What keeps the predictions from being paired with a copy that lacks, repeats and changes some."""
+    p = predictions(spark, d).select("event_id", "label", "grp")
+    at = lambda n, k: F.col("event_id") % n == k
+    changed = p.where(~at(60, 0)).select("event_id", F.when(at(70, 1), 1 - F.col("label")).otherwise(F.col("label")).alias("label"), F.when(at(90, 1), F.col("grp") + 1).otherwise(F.col("grp")).alias("grp"))
+    return bootstrap.alignment_problems(p.where(~at(50, 0)), changed.union(p.where(at(500, 7))), "event_id", "label", "grp")
+
+
+@query(
+    f"WITH {_P}, s AS (SELECT scope, grp, label, score FROM (SELECT 'all' AS scope, grp, label, score FROM p WHERE condition = 'c0' UNION ALL SELECT 'real_vs_' || g, grp, label, score FROM p, (VALUES ('g0'), ('g1'), ('g2'), ('g3')) v(g) WHERE condition = 'c0' AND (label = 0 OR generator = g))), "
+    f"{_DRAWS}, {_drawn('a', 's', 'scope')}, i AS (SELECT scope, metric, {_ENDS.format(v='value')}, count(value) AS repeats FROM a GROUP BY 1, 2) SELECT scope, "
+    + ", ".join(f"max({c}) FILTER (metric = '{m}') AS {m}_{n}" for m in bootstrap.SURVEYED for c, n in (("lower", "ci_lower"), ("upper", "ci_upper"), ("repeats", "bootstrap_repeats")))
+    + " FROM i GROUP BY 1"
+)
+def scope_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """Flattened intervals of the scopes of the first condition, over resampled groups."""
+    rows = metrics.scopes(predictions(spark, d).where("condition = 'c0'"), "generator", _NAMES)
+    i = bootstrap.interval(bootstrap.replicate_values(rows, ["scope"], "grp", T, Scratch(spark, "bootstrap"), _REPEATS), ["scope", "metric"])
+    return bootstrap.flattened(_round(i, "lower", "upper"), ["scope"])
 
 
 @query()
-def paired_bootstrap_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """The same of the difference between the scores and their complements."""
+def row_bootstrap(spark: SparkSession, d: str) -> DataFrame:
+    """Intervals of any metric given as a function (here the mean score of the positives) over resampled rows."""
     p = predictions(spark, d)
-    return _round(bootstrap.paired_metric_intervals(p, p.withColumn("score", 1 - F.col("score")), "grp", bootstrap.surveyed(T), Scratch(spark, "bootstrap")), "lower", "upper")
+    return _round(bootstrap.metric_intervals(p, "event_id", {"mean_score_of_positives": lambda x: x.groupBy("replicate").agg((F.sum(F.col("p") * F.col("score")) / F.sum("p")).alias("value"))}, Scratch(spark, "bootstrap"), 200), "lower", "upper")
 
 
 @query()

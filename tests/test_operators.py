@@ -177,8 +177,23 @@ def test_metrics_of_a_perfect_and_a_single_class_table(spark):
     assert (r["macro_rate"], r["pairs"], r["groups"]) == (1.0, 2, 2)
     one = metrics.summary(df.where("label = 1"), ["label"], 0.5).first()
     assert one["roc_auc"] != one["roc_auc"] and one["balanced_accuracy"] != one["balanced_accuracy"]
-    i = bootstrap.cluster_interval(df, [], "g", 0.5, 30).first()
-    assert (i["lower"], i["upper"]) == (1.0, 1.0)
+
+
+def test_intervals_of_a_perfect_score(spark, scratch):
+    df = predictions(spark, [(f"{g}{k}", y, s) for k in range(9) for g, y, s in (("a", 0, 0.05), ("a", 1, 0.8), ("b", 0, 0.2), ("b", 1, 0.95))] + [("c", 1, None)])
+    got = {r["metric"]: tuple(r)[1:] for r in bootstrap.cluster_intervals(df.na.drop(), [], "g", 0.5, scratch, 30).collect()}
+    assert got["roc_auc"] == got["balanced_accuracy"] == got["macro_f1"] == (1.0, 1.0, 1.0, 30) and got["fpr_at_tpr_95"] == (0.0, 0.0, 0.0, 30)
+    with pytest.raises(Exception, match="no cluster"):
+        bootstrap.cluster_intervals(df.withColumn("g", F.lit(None).cast("string")), [], "g", 0.5, scratch, 3).collect()
+    with pytest.raises(ValueError, match="only left: 1"):
+        bootstrap.paired_intervals(df.withColumn("k", F.col("g")).limit(3).dropDuplicates(["k"]), df.withColumn("k", F.col("g")).where("false"), "k", "g", (0.5, 0.5), scratch, 3)
+
+
+def test_score_buckets_follow_the_scores(spark):
+    rng = random.Random(4)
+    values = sorted({0.0, 1.0, 0.5, 0.25, *(rng.random() for _ in range(300)), *(2.0**-k for k in range(70)), *(1 - 2.0**-k for k in range(50)), *(1e-9 * rng.random() for _ in range(300))})
+    got = [r["b"] for r in spark.createDataFrame([(v,) for v in values], "score double").select("score", metrics.score_bucket(F.col("score")).alias("b")).orderBy("score").collect()]
+    assert got == sorted(got, reverse=True) and len(set(got)) > 0.8 * len(values)
 
 
 def test_auc_equals_pair_counting(spark):
@@ -269,38 +284,34 @@ def test_large_components_are_named_by_their_members(spark):
         assert {r["root"]: (r["component"], r["members"]) for r in components.member_names(m, "p:", most).collect()} == want
 
 
-@pytest.mark.parametrize("unit", ["g", "row"])
-def test_bootstrap_of_four_metrics(spark, scratch, unit):
-    import hashlib
+def splitmix(number, replicate):
+    m = (1 << 64) - 1
+    z = (number + (replicate + 1) * bootstrap.STEP) & m
+    for shift, by in ((30, bootstrap.MIX[0]), (27, bootstrap.MIX[1])):
+        z = (z ^ z >> shift) * by & m
+    return z ^ z >> 31
 
-    import numpy as np
-
-    from corpusloom.operators import bootstrap
 
+@pytest.mark.parametrize("ranges,cells", [(3, 1), (50, 1 << 22)])
+def test_bootstrap_of_four_metrics(spark, scratch, monkeypatch, ranges, cells):
+    monkeypatch.setattr(bootstrap, "RANGES", ranges)
+    monkeypatch.setattr(bootstrap, "CELLS", cells)
     rows = [(k, k % 9, int(k * 7 % 5 < 2), round(((k * 37) % 41) / 41 * 0.7 + 0.3 * (k * 7 % 5 < 2), 2)) for k in range(60)]
-    got = {r["metric"]: r for r in bootstrap.metric_intervals(spark.createDataFrame(rows, "row long, g long, label int, score double"), unit, bootstrap.surveyed(0.5), scratch, 40).collect()}
+    got = {r["metric"]: r for r in bootstrap.cluster_intervals(spark.createDataFrame(rows, "row long, g long, label int, score double"), [], "g", 0.5, scratch, 40).collect()}
     want = {}
     for rep in range(40):
-        w = lambda u: sum(int(hashlib.sha256(f"{rep}:{u}".encode()).hexdigest()[:8], 16) / 2**32 >= p for p in bootstrap.POISSON)
-        x = [r for r in rows for _ in range(w(r[1] if unit == "g" else r[0]))]
+        w = {g: sum((splitmix(int(hashlib.sha256(str(g).encode()).hexdigest()[:16], 16), rep) >> 11) / 2**53 >= p for p in bootstrap.POISSON) for g in range(9)}
+        x = [r for r in rows for _ in range(w[r[1]])]
         pos, neg = [s for *_, y, s in x if y], [s for *_, y, s in x if not y]
         tp, fp = sum(s >= 0.5 for s in pos), sum(s >= 0.5 for s in neg)
         fn, tn = len(pos) - tp, len(neg) - fp
         want.setdefault("roc_auc", []).append(np.mean([(a > b) + (a == b) / 2 for a in pos for b in neg]))
         want.setdefault("balanced_accuracy", []).append((tp / len(pos) + tn / len(neg)) / 2)
         want.setdefault("macro_f1", []).append((2 * tp / (2 * tp + fp + fn) + 2 * tn / (2 * tn + fp + fn)) / 2)
+        want.setdefault("fpr_at_tpr_95", []).append(min(sum(n >= t for n in neg) / len(neg) for t in pos if sum(p >= t for p in pos) >= 0.95 * len(pos)))
     for name, values in want.items():
         assert got[name]["repeats"] == 40
         assert abs(got[name]["lower"] - np.quantile(values, 0.025)) < 1e-9 and abs(got[name]["upper"] - np.quantile(values, 0.975)) < 1e-9
-    assert 0 <= got["fpr_at_tpr_95"]["lower"] <= got["fpr_at_tpr_95"]["upper"] <= 1
-
-
-def test_production_bootstrap(spark):
-    from corpusloom.plans import registry
-
-    for name in ("cluster_bootstrap_metrics", "paired_bootstrap_metrics"):
-        got = {r["metric"]: r["repeats"] for r in registry.queries()[name](spark, "/root/testdata/sf0.001").collect()}
-        assert got == dict.fromkeys(("roc_auc", "balanced_accuracy", "macro_f1", "fpr_at_tpr_95"), 2000)
 
 
 def test_balanced_pairs(spark):
