@@ -167,3 +167,60 @@ def frame_differences(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"a.{c}").alias("left"), F.col(f"b.{c}").alias("right")) for c in columns]))
     whole = a.join(b, key, "full").withColumn("x", cells)
     return whole.where(~F.col("x.left").eqNullSafe(F.col("x.right")) | F.col("a").isNull() | F.col("b").isNull()).select(key, "x.*")
+
+
+def gate_reasons(df: DataFrame, conditions: dict[str, Column]) -> DataFrame:
+    """``(reasons, rows)``: rows by the gates that they fail, in order and joined by bars; the empty string for those that pass all."""
+    failed = [F.when(~F.coalesce(c, F.lit(False)), F.lit(k)) for k, c in sorted(conditions.items())]
+    return df.groupBy(F.concat_ws("|", *failed).alias("reasons")).agg(_n().alias("rows"))
+
+
+def resolution_counts(df: DataFrame, cell: str, width: str, height: str) -> DataFrame:
+    """``(cell, resolution, rows)`` and the rows of each resolution over all cells, under a null cell."""
+    rows = df.select(F.col(cell).alias("cell"), F.concat_ws("x", F.col(width).cast("string"), F.col(height).cast("string")).alias("resolution"))
+    return rows.groupingSets([[F.col("cell"), F.col("resolution")], [F.col("resolution")]], "cell", "resolution").agg(_n().alias("rows"), F.grouping("cell").alias("g")).select(F.when(F.col("g") == 0, F.coalesce("cell", F.lit("(null)"))).alias("cell"), "resolution", "rows")
+
+
+def incomplete_parents(df: DataFrame, parent: str, cell: str, real: str, fakes: Sequence[str], good: Column) -> DataFrame:
+    """``(parent, real_rows, fake_rows, fake_cells, bad_rows)`` of the parents that don't have exactly one good real row and one good row of each fake cell."""
+    is_real = F.col(cell) == real
+    per = df.groupBy(parent).agg(F.count_if(is_real & good).alias("real_rows"), F.count_if(~is_real).alias("fake_rows"), F.count_distinct(F.when(F.col(cell).isin(*fakes), F.col(cell))).alias("fake_cells"), F.count_if(~is_real & ~F.coalesce(good, F.lit(False))).alias("bad_rows"))
+    return per.where((F.col("real_rows") != 1) | (F.col("fake_rows") != len(fakes)) | (F.col("fake_cells") != len(fakes)) | (F.col("bad_rows") > 0))
+
+
+def spread(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """``(keys, rows, least, median, greatest)`` of a value; the exact median, nulls left out."""
+    return df.where(F.col(value).isNotNull()).groupBy(*keys).agg(_n().alias("rows"), F.min(value).alias("least"), F.percentile(value, F.lit(0.5)).alias("median"), F.max(value).alias("greatest"))
+
+
+def compared_to(df: DataFrame, key: str, base: str, value: str) -> DataFrame:
+    """``df`` with ``ratio``, the base key's value over the row's (a speed-up where values are times), and ``delta``, the row's less the base's; nulls without a base."""
+    b = df.where(F.col(key) == base).agg(F.first(value).alias("__base"))  # one row
+    return df.crossJoin(F.broadcast(b)).withColumns({"ratio": F.try_divide("__base", value), "delta": F.col(value) - F.col("__base")}).drop("__base")
+
+
+def confusion_rates(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``(keys, actual, predicted, rows, rate)`` from ``tp, fp, fn, tn``: each row of the matrix sums to 1, or is null without rows."""
+    cells = [(0, 0, "tn", "fp"), (0, 1, "fp", "tn"), (1, 0, "fn", "tp"), (1, 1, "tp", "fn")]
+    return counts.select(*keys, F.explode(F.array(*[F.struct(F.lit(a).alias("actual"), F.lit(p).alias("predicted"), F.col(c).alias("rows"), F.try_divide(F.col(c), F.col(c) + F.col(o)).alias("rate")) for a, p, c, o in cells])).alias("x")).select(*keys, "x.*")
+
+
+def with_optional(runs: DataFrame, results: DataFrame, key: str, value: str) -> DataFrame:
+    """``runs`` with the value that ``results`` has for them, and ``missing`` where it has none."""
+    found = results.select(key, F.col(value).alias("__v"), F.lit(True).alias("__there"))
+    return runs.join(found, key, "left").select(*runs.columns, F.col("__v").alias(value), F.col("__there").isNull().alias("missing"))
+
+
+def consistent_lookup(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """``(key, variants, <column>...)``: how many different combinations of the columns a key has over all rows, and the one where there is just one."""
+    per = df.where(F.col(key).isNotNull()).select(key, F.struct(*columns).alias("v")).groupBy(key).agg(F.count_distinct("v").alias("variants"), F.min("v").alias("v"))
+    return per.select(key, "variants", *[F.when(F.col("variants") == 1, F.col(f"v.{c}")).alias(c) for c in columns])
+
+
+def lineage(left: DataFrame, right: DataFrame, key: str, columns: dict[str, str]) -> DataFrame:
+    """``left`` with columns (new name: column) of the row of ``right`` that has its key; a key that comes twice on either side, or has no partner, raises when it is read."""
+    once = lambda df: df.groupBy(key).agg(_n().alias("__n"))
+    other = right.select(key, *[F.col(c).alias(n) for n, c in columns.items()]).join(once(right).withColumnRenamed("__n", "__r"), key)
+    j = left.join(once(left), key).join(other, key, "full")
+    good = (F.col("__n") == 1) & (F.col("__r") == 1)
+    return j.withColumn("__n", F.when(F.coalesce(good, F.lit(False)), 1).otherwise(F.raise_error(F.lit("rows don't pair one to one")))).where("__n = 1").select(*left.columns, *columns)

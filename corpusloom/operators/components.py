@@ -5,11 +5,12 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator, Sequence
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from corpusloom.operators.numbering import numbered
+from corpusloom.operators.selection import largest_remainder_split
 from corpusloom.scratch import Scratch
 
 
@@ -22,7 +23,7 @@ def key_edges(df: DataFrame, record_id: str, keys: Sequence[str]) -> DataFrame:
 
 
 def connected(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """``(id, root)``: the least vertex of the component of every vertex of an edge, by alternating large and small stars.
+    """``(id, root)``: the least vertex (a number) of the component of every vertex of an edge, by alternating large and small stars.
 
     A large star ties a vertex's greater neighbours to the least one around
     it, a small star its lesser ones; edges only move towards the root, and
@@ -53,25 +54,15 @@ def connected(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def components(df: DataFrame, record_id: str, edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """``(id, root)`` of every record; one without an edge is its own root."""
-    found = connected(edges, scratch)
-    return df.select(F.col(record_id).alias("id")).distinct().join(found, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
+    """``(id, root)`` of every record, the root being the least id of its component; one without an edge is its own root.
 
-
-def component_names(members: DataFrame, prefix: str, most: int = 100_000) -> DataFrame:
-    """``(root, component, members)``: the prefix and the first 24 digits of the SHA-256 of the sorted members' lines.
-
-    That needs all members in one row; a component of more than ``most``
-    members is named by the SHA-256 of its least member and their number
-    instead, and its members are never gathered.  That name does not follow the
-    members, so queries and audits use ``member_names``.
+    The ends of the edges must be ids of ``df``; the rounds work on their numbers.
     """
-    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
-    lines = F.concat_ws("\n", F.array_sort(F.collect_list(F.col("id").cast("string"))))
-    name = lambda c: F.concat(F.lit(prefix), F.substring(F.sha2(c, 256), 1, 24)).alias("component")
-    small = members.join(sizes.where(F.col("members") <= most), "root").groupBy("root").agg(name(lines), F.count(F.lit(1)).alias("members"))
-    large = sizes.where(F.col("members") > most).select("root", name(F.concat_ws("\n", F.col("root").cast("string"), F.col("members").cast("string"))), "members")
-    return small.unionByName(large)
+    seed, names = numbered(df.select(record_id), scratch)
+    found = connected(edges.select(F.xxhash64(F.lit(seed), "u").alias("u"), F.xxhash64(F.lit(seed), "v").alias("v")), scratch)
+    placed = names.join(found.withColumnRenamed("id", "number"), "number", "left").select(F.col("name").alias("id"), F.coalesce("root", "number").alias("r"))
+    least = placed.groupBy("r").agg(F.min("id").alias("root"))
+    return placed.join(least, "r").select("id", "root")
 
 
 def member_names(members: DataFrame, prefix: str, most: int = 100_000) -> DataFrame:
@@ -115,20 +106,30 @@ def crossings(members: DataFrame, records: DataFrame, record_id: str, split: str
     return stood.groupBy("root").agg(F.count(F.lit(1)).alias("rows"), F.array_join(F.array_sort(F.collect_set("s")), "+").alias("splits"), F.count_distinct("s").alias("n")).where("n > 1").drop("n")
 
 
-def allocate(sizes: Sequence[tuple[str, Sequence[float]]], shares: Sequence[float], seed: int) -> dict[str, int]:
-    """Greedy allocation of components (name, count by kind) to splits: big ones first after a seeded shuffle, each to the split that leaves the least squared relative error.
+def excluded_components(members: DataFrame, records: DataFrame, record_id: str, split: str, caption: str) -> DataFrame:
+    """``(root, rows, captions, splits)`` of the components that stand in more than one split and must be left out."""
+    stood = records.select(F.col(record_id).alias("id"), F.col(split).alias("s"), F.col(caption).alias("c")).join(members, "id")
+    return stood.groupBy("root").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("c").alias("captions"), F.array_join(F.array_sort(F.collect_set("s")), "+").alias("splits"), F.count_distinct("s").alias("n")).where("n > 1").drop("n")
+
+
+def sizes_by_split(members: DataFrame, records: DataFrame, record_id: str, split: str) -> DataFrame:
+    """``(split, components, rows, largest)``: components and rows that stand in each split, and the most rows of one component there."""
+    stood = records.select(F.col(record_id).alias("id"), F.col(split).alias("split")).join(members, "id").groupBy("split", "root").agg(F.count(F.lit(1)).alias("n"))
+    return stood.groupBy("split").agg(F.count(F.lit(1)).alias("components"), F.sum("n").alias("rows"), F.max("n").alias("largest"))
+
+
+def allocate(members: DataFrame, records: DataFrame, record_id: str, kind: str, shares: Sequence[tuple[str, float]], pooled: int = 20) -> DataFrame:
+    """``(root, stratum, split)``: every component in one split, the kinds spread over the splits by their shares.
 
-    Runs on the driver over one short vector a component; for components by the
-    million use the dealing of whole bands instead.
+    Components of the same numbers of rows by kind form a stratum; within it the
+    splits are filled by largest remainder in the order of the roots' hashes, so
+    each split gets its share of every kind up to one component a stratum.
+    Strata of fewer than ``pooled`` components, whose remainders would all go to
+    the largest split, are dealt together by size (powers of two).
     """
-    order = np.random.default_rng(seed).permutation(len(sizes))
-    counts = np.array([s for _, s in sizes], float)
-    want = np.outer(shares, counts.sum(0))
-    have = np.zeros_like(want)
-    out: dict[str, int] = {}
-    for k in sorted(order, key=lambda i: -counts[i].sum()):
-        errors = [(((np.where(np.arange(len(shares))[:, None] == s, have + counts[k], have) - want) / np.maximum(want, 1)) ** 2).sum() for s in range(len(shares))]
-        best = int(np.argmin(errors))
-        have[best] += counts[k]
-        out[sizes[k][0]] = best
-    return out
+    counted = records.select(F.col(record_id).alias("id"), F.coalesce(F.col(kind).cast("string"), F.lit("")).alias("k")).join(members, "id").groupBy("root", "k").agg(F.count(F.lit(1)).alias("n"))
+    vectors = counted.groupBy("root").agg(F.sum("n").alias("n"), F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "k", "n"))), "|").alias("vector"))
+    often = vectors.groupBy("vector").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= pooled)
+    band = F.concat(F.lit("size "), F.floor(F.log2(F.col("n").cast("double"))).cast("string"))
+    placed = vectors.join(often, "vector", "left").select("root", F.when(F.col("c").isNotNull(), F.col("vector")).otherwise(band).alias("stratum"))
+    return largest_remainder_split(placed, "stratum", F.sha2(F.col("root").cast("string"), 256), "root", shares)

@@ -19,6 +19,12 @@ def exact_matches(left: DataFrame, right: DataFrame, key: str, left_id: str, rig
     return a.join(right.select(F.col(right_id).alias("right_id"), key), key)
 
 
+def exact_classes(left: DataFrame, right: DataFrame, key: str, left_id: str, right_id: str) -> DataFrame:
+    """``(key, left_first, left_records, right_first, right_records)`` of the keys that both sides have: a row stands for all pairs of ``exact_matches`` with that key."""
+    side = lambda df, i, name: df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(i).alias(f"{name}_first"), F.count_distinct(i).alias(f"{name}_records"))
+    return side(left, left_id, "left").join(side(right, right_id, "right"), key)
+
+
 def piece_plan(distance: int, left: int, right: int, bits: int = 64) -> list[tuple[int, int, int]]:
     """``(shift, width, radius)`` of the pieces of a hash, for sides of ``left`` and ``right`` values.
 
@@ -94,3 +100,22 @@ def near_links(df: DataFrame, record_id: str, group: str, value: str, distance:
     left, right = rows.toDF("ia", "ga", "tv"), rows.toDF("ib", "gb", "ev")
     pairs = near.join(left, "tv").join(right, "ev").where("ia != ib and not (ga <=> gb)")
     return pairs.select(F.least("ia", "ib").alias("left_id"), F.greatest("ia", "ib").alias("right_id"), "differing").distinct()
+
+
+def near_classes(df: DataFrame, record_id: str, group: str, value: str, distance: int = 4) -> tuple[DataFrame, DataFrame]:
+    """``near_links`` without its pairs of copies: the near pairs of classes, and every record's class.
+
+    A class holds the records of one group and value and is named by the least
+    of them.  ``links(left_class, right_class, differing, pairs)`` has a row for
+    two classes of different groups within ``distance``, with the number of
+    pairs of records behind it; ``members(id, class, records)`` a row a record.
+    """
+    rows = df.select(F.col(record_id).alias("id"), F.col(group).alias("g"), F.col(value).alias("x")).where("x is not null").distinct()
+    classes = rows.groupBy("g", "x").agg(F.min("id").alias("class"), F.count(F.lit(1)).alias("records"))
+    values = classes.select("x").distinct()
+    n = values.count()
+    near = near_values(values.select("x", F.lit(True).alias("in_train"), F.lit(True).alias("in_eval")), distance, n, n).where("tv <= ev")
+    left, right = classes.toDF("ga", "tv", "ca", "na"), classes.toDF("gb", "ev", "cb", "nb")
+    pairs = near.join(left, "tv").join(right, "ev").where("not (ga <=> gb)").select(F.least("ca", "cb").alias("left_class"), F.greatest("ca", "cb").alias("right_class"), "differing", (F.col("na") * F.col("nb")).alias("pairs"))
+    members = rows.join(classes, (rows["x"] == classes["x"]) & rows["g"].eqNullSafe(classes["g"])).select("id", "class", "records")
+    return pairs.distinct(), members

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.prefix import hash_bucket, ranked, running
+from corpusloom.operators.metrics import ranged
 
 
 def first_by_hash(df: DataFrame, keys: Sequence[str], rank: Column, tie: Column) -> DataFrame:
@@ -53,13 +56,17 @@ def round_robin(groups: DataFrame, rank: Column, tie: str, names: Sequence[str])
     return out.withColumn("assigned", F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("position") % len(names) + 1).cast("int"))).select(*groups.columns, "position", "assigned")
 
 
-def running_budget(df: DataFrame, size: str, tie: str, cap: float, levels: int = 4096) -> DataFrame:
-    """``df`` with ``before`` and ``peak`` (before plus twice the size), largest sizes first, and whether the running total is within ``cap``."""
-    top = df.agg(F.max(size), F.min(size)).first()
-    width = ((top[0] or 0) - (top[1] or 0)) / levels or 1
-    bucket = F.floor((F.lit(top[0] or 0) - F.col(size)) / width)
-    out = running(df, [], [F.col(size).desc(), F.col(tie)], bucket, {"total": size})
-    return out.select(*df.columns, (F.col("total") - F.col(size)).alias("before"), (F.col("total") + F.col(size)).alias("peak"), (F.col("total") <= cap).alias("within"))
+def running_budget(df: DataFrame, size: str, tie: str, cap: float, levels: int = 1024) -> DataFrame:
+    """``df`` with ``processing_order`` (1, 2, ... the largest sizes first), ``before`` and ``peak`` (before plus twice the size), and whether the running total is within ``cap``.
+
+    Sizes are spread over ranges of about as many rows each, whatever their
+    distribution; equal sizes share a range.  A null size counts as 0.
+    """
+    rows = df.withColumn("__size", F.coalesce(F.col(size), F.lit(0)))
+    cuts = sorted(set(rows.agg(F.percentile_approx("__size", [k / levels for k in range(1, levels)], 10 * levels)).first()[0] or []))
+    placed = ranged(rows.withColumn("__s", F.col("__size").cast("double")), "__s", cuts, "__range")
+    out = running(placed.withColumn("__one", F.lit(1)), [], [F.col("__size").desc(), F.col(tie)], -F.col("__range"), {"total": "__size", "processing_order": "__one"})
+    return out.select(*df.columns, "processing_order", (F.col("total") - F.col("__size")).alias("before"), (F.col("total") + F.col("__size")).alias("peak"), (F.col("total") <= cap).alias("within"))
 
 
 def stride_groups(df: DataFrame, group: str, index: str, rows: int, stride: int) -> DataFrame:
@@ -69,29 +76,56 @@ def stride_groups(df: DataFrame, group: str, index: str, rows: int, stride: int)
     return gaps.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("gap") != stride).alias("bad"), F.max(index).alias("last")).where((F.col("n") == rows) & (F.col("bad") == 0)).select(group, "last")
 
 
-def pack_ranges(df: DataFrame, group: str, index: str, longest: int) -> DataFrame:
+def pack_ranges(df: DataFrame, group: str, index: str, longest: int, blocks: int = 4096) -> DataFrame:
     """``(group, first, length)``: each group's distinct indexes covered by ranges of at most ``longest``, greedily from the least.
 
-    Indexes more than ``longest`` apart never share a range, so a group is cut
-    there first, and only runs between such gaps are packed one after another.
+    Where a range begins depends on all before it, so this is a scan of maps: a
+    group is cut into chunks of ``blocks * longest`` indexes, and a task finds
+    for its chunk, for each of the ``longest`` ways in which a range may reach
+    into it, how far one reaches out.  These maps, a row a chunk, are chained,
+    and every chunk then knows where its first range begins.  No task holds more
+    rows than a chunk.  Null indexes and groups have no ranges.
     """
-    import pandas as pd
-
-    steps = Window.partitionBy(group).orderBy(index)
-    rows = df.select(group, index).where(F.col(index).isNotNull()).distinct().withColumn("far", (F.col(index) - F.lag(index).over(steps) >= longest).cast("int"))
-    runs = rows.withColumn("run", F.sum(F.coalesce("far", F.lit(0))).over(steps))
     kind = df.schema[group].dataType.simpleString()
-
-    def greedy(p: pd.DataFrame) -> pd.DataFrame:
-        out: list[list[int]] = []
-        for i in sorted(p[index].tolist()):
-            if not out or i >= out[-1][0] + longest:
-                out.append([i, 1])
-            else:
-                out[-1][1] = i - out[-1][0] + 1
-        return pd.DataFrame({"group": [p[group].iloc[0]] * len(out), "first": [x[0] for x in out], "length": [x[1] for x in out]})
-
-    return runs.groupBy(group, "run").applyInPandas(greedy, f"group {kind}, first long, length long").withColumnRenamed("group", group)
+    span = blocks * longest
+    rows = df.where(F.col(group).isNotNull() & F.col(index).isNotNull()).select(F.col(group).alias("g"), F.col(index).cast("long").alias("i")).distinct().withColumn("chunk", F.floor(F.col("i") / span))
+
+    def reach(table: pa.Table) -> pa.Table:
+        at, chunk = np.sort(table["i"].to_numpy()), table["chunk"][0].as_py()
+        following = np.searchsorted(at, at + longest)
+        last = np.arange(len(at))
+        for k in range(len(at) - 1, -1, -1):
+            if following[k] < len(at):
+                last[k] = last[following[k]]
+        entered = np.searchsorted(at, chunk * span + np.arange(longest))
+        # Past the last index nothing begins, and what reaches in ends within the chunk.
+        out = np.where(entered < len(at), np.maximum(0, at[last[np.minimum(entered, len(at) - 1)]] + longest - (chunk + 1) * span), 0)
+        return pa.table({"g": table["g"].slice(0, 1), "chunk": table["chunk"].slice(0, 1), "out": pa.array([out], pa.list_(pa.int64()))})
+
+    def chained(table: pa.Table) -> pa.Table:
+        table = table.sort_by("chunk")
+        entry, before = [], None
+        for chunk, out in zip(table["chunk"].to_pylist(), table["out"]):
+            entry.append(before[1][entry[-1]].as_py() if before and before[0] == chunk - 1 else 0)
+            before = (chunk, out)
+        return pa.table({"g": table["g"], "chunk": table["chunk"], "entry": pa.array(entry, pa.int64())})
+
+    def ranges(rows: pa.Table, entries: pa.Table) -> pa.Table:
+        at, chunk, entry = np.sort(rows["i"].to_numpy()), rows["chunk"][0].as_py(), entries["entry"][0].as_py()
+        start = chunk * span + entry
+        k = int(np.searchsorted(at, start))
+        out = [(start - longest, at[k - 1])] if k else []
+        while k < len(at):
+            end = int(np.searchsorted(at, at[k] + longest))
+            out.append((at[k], at[end - 1]))
+            k = end
+        return pa.table({"g": pa.array(rows["g"].to_pylist()[:1] * len(out), rows["g"].type), "first": pa.array([a for a, _ in out], pa.int64()), "last": pa.array([b for _, b in out], pa.int64())})
+
+    maps = rows.groupBy("g", "chunk").applyInArrow(reach, f"g {kind}, chunk long, out array<long>")
+    entries = maps.groupBy("g").applyInArrow(chained, f"g {kind}, chunk long, entry long")
+    parts = rows.groupBy("g", "chunk").cogroup(entries.groupBy("g", "chunk")).applyInArrow(ranges, f"g {kind}, first long, last long")
+    # A range that reaches into the next chunk has a part in each.
+    return parts.groupBy("g", "first").agg(F.max("last").alias("last")).select(F.col("g").alias(group), "first", (F.col("last") - F.col("first") + 1).alias("length"))
 
 
 def missing_rows(wanted: DataFrame, done: DataFrame, key: str) -> DataFrame:
@@ -124,3 +158,62 @@ def balanced_pairs(df: DataFrame, group: str, label: str, kind: str, names: Sequ
     checked = per.withColumn("real", F.when(lacks, F.raise_error(F.concat(F.lit("group cannot form a pair: "), F.col("__g").cast("string")))).otherwise(F.col("real")))
     dealt = round_robin(checked.withColumnRenamed("__g", group), group_rank, group, names)
     return dealt.select(group, "real", F.element_at("__fakes", F.col("assigned")).alias("fake"), F.col("assigned").alias("kind"))
+
+
+def complete_pairs(df: DataFrame, parent: str, pair: str, cell: str, required: Sequence[str], rank: Column) -> DataFrame:
+    """``(parent, pair)``: of each parent's pairs that have every required cell the one of least ``rank`` (the lesser pair among equals); parents without one have no row."""
+    whole = complete_groups(df, [parent, pair], cell, required).where("complete")
+    return whole.groupBy(parent).agg(F.min_by(pair, F.struct(rank, F.col(pair))).alias(pair))
+
+
+def lowest_complete(df: DataFrame, parent: str, cell: str, required: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """The rows of the least parent that has every required cell, in the order of the cells; of several rows of a cell the least."""
+    first = complete_groups(df.where(F.col(parent).isNotNull()), [parent], cell, required).where("complete").orderBy(parent).limit(1).select(parent)
+    place = F.array_position(F.array(*[F.lit(c) for c in required]), F.col(cell))
+    rows = df.join(F.broadcast(first), parent, "left_semi").where(F.col(cell).isin(*required))
+    return rows.groupBy(parent, cell).agg(F.min(F.struct(*columns)).alias("r")).select(parent, cell, place.alias("position"), "r.*").orderBy("position")
+
+
+def in_named_order(df: DataFrame, orders: Sequence[tuple[str, Sequence[str] | None]]) -> DataFrame:
+    """``df`` sorted by columns, those with a list of names by their place in it; other names and nulls come last."""
+    place = lambda c, names: F.col(c).asc_nulls_last() if names is None else F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(n) for n in names]), F.col(c)), F.lit(0)), F.lit(len(names) + 1))
+    return df.orderBy(*[place(c, names) for c, names in orders])
+
+
+def first_shards(df: DataFrame, shard: str, limit: int | None) -> tuple[DataFrame, dict]:
+    """The rows of the first ``limit`` shards by name and the scope to record with them: a prefix is partial even if it holds all shards."""
+    names = df.select(shard).where(F.col(shard).isNotNull()).distinct()
+    if limit is None:
+        return df, {"limit": None, "partial": False}
+    return df.join(F.broadcast(names.orderBy(shard).limit(limit)), shard, "left_semi"), {"limit": limit, "partial": True}
+
+
+def epoch_pairs(df: DataFrame, unit: str, label: str, kind: str, epoch: int, seed: int = 0) -> DataFrame:
+    """``(unit, real, fake, kind, position)``: one real and one fake row of every unit that has both, drawn anew each epoch, and the unit's place in the epoch's order.
+
+    Draws and order are hashes of seed, epoch and row or unit, so an epoch is the same on every run and partitioning.
+    """
+    key = lambda c: F.sha2(F.concat_ws(":", F.lit(seed), F.lit(epoch), F.col(c).cast("string")), 256)
+    pairs = paired_sampler(df.where(F.col(unit).isNotNull()), unit, label, kind, key("row"))
+    rows = pairs.withColumn("__h", key(unit))
+    return ranked(rows, [], [F.col("__h"), F.col(unit)], hash_bucket(F.col("__h")), "position").drop("__h")
+
+
+def weighted_draws(df: DataFrame, label: str, draws: int, epoch: int, seed: int = 0) -> DataFrame:
+    """``df`` with ``times``: how often each row comes in an epoch of about ``draws`` rows drawn with replacement, both labels being as likely in sum.
+
+    The number is the whole part of the row's expectation and a Poisson draw of
+    the rest from a hash of seed, epoch and ``row``, so rows are drawn where
+    they lie; null labels never come.
+    """
+    n = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
+    labels = n.agg(F.count(F.lit(1)).alias("__k"))  # one row
+    rows = df.join(F.broadcast(n), label).crossJoin(F.broadcast(labels)).withColumn("__mean", F.lit(draws) / F.col("__k") / F.col("__n"))
+    rest = F.col("__mean") - F.floor("__mean")
+    u = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(seed), F.lit(epoch), F.col("row").cast("string")), 256), 1, 13), 16, 10).cast("double") / float(2**52)
+    # The number of terms of the cumulative distribution that the uniform number reaches; the rest is below 1, where 20 terms exhaust a double.
+    steps = F.aggregate(
+        F.sequence(F.lit(1), F.lit(20)), F.struct(F.exp(-rest).alias("term"), F.exp(-rest).alias("sum"), F.floor("__mean").cast("int").alias("times")),
+        lambda a, k: F.struct((a["term"] * rest / k).alias("term"), (a["sum"] + a["term"] * rest / k).alias("sum"), (a["times"] + F.when(u >= a["sum"], 1).otherwise(0)).alias("times")),
+    )
+    return rows.withColumn("times", steps["times"]).select(*df.columns, "times")

@@ -87,11 +87,17 @@ def catalog_cell_counts(spark: SparkSession, d: str) -> DataFrame:
     return catalog.cell_counts(table(spark, d, "selection_catalog"), [("split", "label"), ("cell",), ("label", "official_coco_license_id")])
 
 
-@query("""
-SELECT column_name, count(*) FILTER (trim(v) != '') AS present, count(*) - count(*) FILTER (trim(v) != '') AS missing FROM (
-  SELECT 'nsfw_flag' AS column_name, nsfw_flag AS v FROM source_catalog UNION ALL SELECT 'real_source', real_source FROM source_catalog UNION ALL SELECT 'row_index', row_index::VARCHAR FROM source_catalog) GROUP BY 1""")
+_COLUMNS = (
+    "locator", "repository_id", "revision", "shard_path", "row_index", "image_name", "format", "source_width", "source_height", "mode", "model_name", "nsfw_flag", "prompt_hash", "prompt_present", "content_group_id",
+    "real_source", "subset", "source_split", "label", "architecture", "load_no", "loaded_at",
+)
+
+
+@query("SELECT column_name, count(*) FILTER (trim(v) != '') AS present, count(*) - count(*) FILTER (trim(v) != '') AS missing FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS column_name, {c}::VARCHAR AS v FROM source_catalog" for c in _COLUMNS) + ") GROUP BY 1")
 def catalog_completeness(spark: SparkSession, d: str) -> DataFrame:
-    return catalog.completeness(table(spark, d, "source_catalog"), ["nsfw_flag", "real_source", "row_index"])
+    """Of every column."""
+    rows = table(spark, d, "source_catalog")
+    return catalog.completeness(rows, rows.columns)
 
 
 @query("SELECT generator, count(*) FILTER (label = 0) AS n_0, count(*) FILTER (label = 1) AS n_1 FROM selection_catalog GROUP BY 1")
@@ -242,12 +248,22 @@ def parse_lineage(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "selection_catalog").select("selection_id", "batch_no", parent.alias("parent"), caption.alias("caption"))
 
 
-@query("""
-SELECT source_id, round(ln(1 + source_width), 6) AS log_width, round(ln(1 + source_height), 6) AS log_height, round(ln(1 + source_file_bytes), 6) AS log_bytes, round(source_width / source_height, 6) AS ratio,
-  (upper(source_format) = 'PNG')::INT AS is_png, (upper(source_format) IN ('JPEG', 'JPG'))::INT AS is_jpeg, loaded_at FROM highres_manifest""")
+_KINDS = {"JPEG": "is_jpeg", "PNG": "is_png", "WEBP": "is_webp"}
+_MODES = {"RGB": "is_rgb", "L": "is_grey", "RGBA": "is_rgba"}
+
+
+@query(
+    "SELECT selection_id, loaded_at, round(ln(1 + decoded_width), 6) AS log_width, round(ln(1 + decoded_height), 6) AS log_height, round(ln(1 + encoded_size_bytes), 6) AS log_bytes, round(decoded_width / greatest(decoded_height, 1), 6) AS ratio, "
+    + ", ".join(f"({c} = '{v}')::INT AS {n}" for c, of in (("f", _KINDS), ("m", _MODES)) for v, n in of.items())
+    + ", ".join(["", *(f"({c} NOT IN ({', '.join(repr(v) for v in of)}))::INT AS {n}" for c, of, n in (("f", _KINDS, "is_other_format"), ("m", _MODES, "is_other_mode")))])
+    + " FROM (SELECT *, coalesce(upper(decoded_format), 'OTHER') AS f, coalesce(upper(decoded_mode), '') AS m FROM training_manifest)"
+)
 def file_features(spark: SparkSession, d: str) -> DataFrame:
-    w, h, b, f = F.col("source_width"), F.col("source_height"), F.col("source_file_bytes"), F.upper("source_format")
-    return table(spark, d, "highres_manifest").select(
-        "source_id", F.round(F.log1p(w), 6).alias("log_width"), F.round(F.log1p(h), 6).alias("log_height"), F.round(F.log1p(b), 6).alias("log_bytes"), F.round(w / h, 6).alias("ratio"),
-        (f == "PNG").cast("int").alias("is_png"), f.isin("JPEG", "JPG").cast("int").alias("is_jpeg"), "loaded_at",
+    """The twelve control features of a file: logarithms of its extent and bytes, its ratio, and one-hot format and mode; nothing of what it shows."""
+    w, h = F.col("decoded_width"), F.col("decoded_height")
+    f, m = F.coalesce(F.upper("decoded_format"), F.lit("OTHER")), F.coalesce(F.upper("decoded_mode"), F.lit(""))
+    hot = [(c == v).cast("int").alias(n) for c, of in ((f, _KINDS), (m, _MODES)) for v, n in of.items()]
+    return table(spark, d, "training_manifest").select(
+        "selection_id", "loaded_at", F.round(F.log1p(w), 6).alias("log_width"), F.round(F.log1p(h), 6).alias("log_height"), F.round(F.log1p("encoded_size_bytes"), 6).alias("log_bytes"), F.round(w / F.greatest(h, F.lit(1)), 6).alias("ratio"),
+        *hot, (~f.isin(*_KINDS)).cast("int").alias("is_other_format"), (~m.isin(*_MODES)).cast("int").alias("is_other_mode"),
     )

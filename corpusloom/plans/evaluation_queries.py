@@ -253,20 +253,55 @@ def row_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     return _round(bootstrap.metric_intervals(p, "event_id", {"mean_score_of_positives": lambda x: x.groupBy("replicate").agg((F.sum(F.col("p") * F.col("score")) / F.sum("p")).alias("value"))}, Scratch(spark, "bootstrap"), 200), "lower", "upper")
 
 
-@query()
-def logistic_baseline(spark: SparkSession, d: str) -> DataFrame:
-    """Held-out scores of a balanced logistic regression on file features: a fit on the train rows, metrics of val and test at the threshold that val chose."""
+def _file_rows(spark: SparkSession, d: str) -> DataFrame:
     from corpusloom.functions.text import folded
 
     t = table(spark, d, "highres_manifest").select(
-        folded(F.col("split")).alias("split"), "label", *[F.log1p(F.col(c).cast("double")).alias(c) for c in ("source_width", "source_height", "source_file_bytes")], (F.upper("source_format") == "PNG").cast("double").alias("png")
-    ).where("label in (0, 1)").na.fill(0.0)
-    return ml.baseline(t, "split", "label", ["source_width", "source_height", "source_file_bytes", "png"])
+        "source_id", "loaded_at", folded(F.col("split")).alias("split"), "label", *[F.log1p(F.col(c).cast("double")).alias(c) for c in ("source_width", "source_height", "source_file_bytes")],
+        (F.col("source_width") / F.greatest("source_height", F.lit(1))).alias("ratio"), *[(F.upper("source_format") == f).cast("double").alias(n) for f, n in (("PNG", "png"), ("JPEG", "jpeg"), ("WEBP", "webp"))],
+    )
+    return t.where("label in (0, 1)").na.fill(0.0)
+
+
+_FEATURES = ("source_width", "source_height", "source_file_bytes", "ratio", "png", "jpeg", "webp")
 
 
 @query()
+def logistic_baseline(spark: SparkSession, d: str) -> DataFrame:
+    """Held-out scores of a balanced logistic regression on file features: a fit on the train rows, metrics of val and test at the threshold that val chose."""
+    return ml.baseline(_file_rows(spark, d), "split", "label", list(_FEATURES))
+
+
+#: A model given by its coefficients, to hold the scaling and scoring against SQL.
+_WEIGHTS, _BIAS = (0.5, -0.25, 1.5, 0.1, -0.75, 0.3, 0.0), 0.2
+_SCALED = " + ".join(f"{w} * ({f} - m.{f}_m) / m.{f}_s" for f, w in zip(_FEATURES, _WEIGHTS))
+
+
+@query(
+    "WITH r AS (SELECT source_id, loaded_at, lower(regexp_replace(split, '^[\\s\\x1c-\\x1f\\x85\\p{Z}]+|[\\s\\x1c-\\x1f\\x85\\p{Z}]+$', '', 'g')) AS split, coalesce(ln(1 + source_width), 0) AS source_width, coalesce(ln(1 + source_height), 0) AS source_height, "
+    "coalesce(ln(1 + source_file_bytes), 0) AS source_file_bytes, coalesce(source_width / greatest(source_height, 1), 0) AS ratio, coalesce((upper(source_format) = 'PNG')::INT, 0) AS png, coalesce((upper(source_format) = 'JPEG')::INT, 0) AS jpeg, coalesce((upper(source_format) = 'WEBP')::INT, 0) AS webp "
+    "FROM highres_manifest WHERE label IN (0, 1)), m AS (SELECT "
+    + ", ".join(f"avg({f}) AS {f}_m, CASE WHEN stddev_pop({f}) = 0 THEN 1 ELSE stddev_pop({f}) END AS {f}_s" for f in _FEATURES)
+    + f" FROM r WHERE split = 'train') SELECT source_id, loaded_at, round(1 / (1 + exp(-({_BIAS} + {_SCALED}))), 6) AS score FROM r, m WHERE split IN ('val', 'test')"
+)
+def logistic_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of val and test by given coefficients over features scaled by the train rows."""
+    rows = _file_rows(spark, d)
+    model = (ml.Scaler(rows.where("split = 'train'"), list(_FEATURES)), list(_WEIGHTS), _BIAS)
+    return _round(ml.score(model, rows.where("split in ('val', 'test')"), ["source_id", "loaded_at"]), "score")
+
+
+@query("""
+WITH e AS (SELECT vec_id, i // 8 AS y, i % 8 AS x, v FROM (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings WHERE len(embedding) = 64)),
+f AS (SELECT vec_id, (a.u + 4) % 8 AS y, (a.v + 4) % 8 AS x, ln(1 + sqrt(pow(sum(e.v * cos(2 * pi() * (a.u * e.y + a.v * e.x) / 8)), 2) + pow(sum(e.v * sin(2 * pi() * (a.u * e.y + a.v * e.x) / 8)), 2))) AS m
+  FROM e, (SELECT u.range AS u, v.range AS v FROM range(8) u, range(8) v) a GROUP BY vec_id, a.u, a.v),
+p AS (SELECT vec_id, quantile_cont(m, 0.01) AS lo, quantile_cont(m, 0.99) AS hi FROM f GROUP BY 1),
+s AS (SELECT f.vec_id, greatest(0, least(1, (m - lo) / (hi - lo))) AS m, sqrt(pow(y - 3.5, 2) + pow(x - 3.5, 2)) AS r FROM f JOIN p ON f.vec_id = p.vec_id),
+b AS (SELECT vec_id, ring.range AS ring, coalesce(avg(m) FILTER (r >= ring.range * sqrt(24.5) / 64 AND r < (ring.range + 1) * sqrt(24.5) / 64), 0) AS v FROM s, range(64) ring GROUP BY 1, 2)
+SELECT vec_id, ring::INT AS ring, round(v, 3) AS mean FROM b""")
 def radial_spectrum(spark: SparkSession, d: str) -> DataFrame:
-    """The embeddings read as 8 by 8 rasters: radial means of their log magnitude spectrum."""
+    """The embeddings read as 8 by 8 rasters: means of their log magnitude spectrum over 64 rings, a row a ring."""
     from corpusloom.operators import kernels
 
-    return kernels.radial_features(table(spark, d, "embeddings"), "vec_id", "embedding", 8, 8, bins=4)
+    rows = kernels.radial_features(table(spark, d, "embeddings"), "vec_id", "embedding", 8, 8)
+    return rows.where("radial is not null").select("vec_id", F.posexplode("radial").alias("ring", "v")).select("vec_id", "ring", F.round(F.col("v").cast("double"), 3).alias("mean"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.plans import catalog_queries, evaluation_queries, profile_queries, selection_queries
+from corpusloom.plans import catalog_queries, evaluation_queries, manifest_queries, profile_queries, selection_queries
 
-MODULES = (profile_queries, catalog_queries, selection_queries, evaluation_queries)
+MODULES = (profile_queries, catalog_queries, manifest_queries, selection_queries, evaluation_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

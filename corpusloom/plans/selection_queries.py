@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import folded, hex64, informative_hash, perceptual_hash, stable_hash
 from corpusloom.operators import components, dedup, selection
+from corpusloom.plans import audits
 from corpusloom.plans.catalog_queries import sql_strip
 from corpusloom.scratch import Scratch
 from corpusloom.sources.tables import table
@@ -32,6 +33,7 @@ def argmin_by_hash(spark: SparkSession, d: str) -> DataFrame:
     return selection.first_by_hash(t, ["parent_coco_image_id", "cell"], stable_hash(F.lit("7"), F.col("selection_id")), F.struct("locator", "batch_no")).select("parent_coco_image_id", "cell", "selection_id")
 
 
+#: The five cells.
 _CELLS = ("real_coco", "fake_sdxl_t2i", "fake_sdxl_i2i", "fake_sdxl_ti2i", "fake_dalle3_t2i")
 
 
@@ -72,7 +74,7 @@ def stride_check(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 WITH f AS (SELECT selection_id, max(encoded_size_bytes) AS size FROM training_manifest GROUP BY 1), r AS (SELECT *, sum(size) OVER (ORDER BY size DESC, selection_id ROWS UNBOUNDED PRECEDING) AS total FROM f)
-SELECT selection_id, size, (total - size)::BIGINT AS before, (total + size)::BIGINT AS peak, total <= 500000000 AS within FROM r""")
+SELECT selection_id, size, row_number() OVER (ORDER BY size DESC, selection_id) AS processing_order, (total - size)::BIGINT AS before, (total + size)::BIGINT AS peak, total <= 500000000 AS within FROM r""")
 def running_budget_peak(spark: SparkSession, d: str) -> DataFrame:
     f = table(spark, d, "training_manifest").groupBy("selection_id").agg(F.max("encoded_size_bytes").alias("size"))
     return selection.running_budget(f, "size", "selection_id", 500_000_000)
@@ -83,7 +85,10 @@ def resume_missing(spark: SparkSession, d: str) -> DataFrame:
     return selection.missing_rows(table(spark, d, "selection_catalog"), table(spark, d, "training_manifest"), "selection_id").groupBy("selection_id").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query()
+@query("""
+WITH RECURSIVE d AS (SELECT DISTINCT shard_path, row_index FROM selection_catalog WHERE shard_path IS NOT NULL AND row_index IS NOT NULL),
+r AS (SELECT shard_path, min(row_index) AS first FROM d GROUP BY 1 UNION ALL SELECT r.shard_path, min(d.row_index) FROM r JOIN d ON d.shard_path = r.shard_path AND d.row_index >= r.first + 100 GROUP BY r.shard_path, r.first)
+SELECT r.shard_path, r.first, max(d.row_index) - r.first + 1 AS length FROM r JOIN d ON d.shard_path = r.shard_path AND d.row_index >= r.first AND d.row_index < r.first + 100 GROUP BY 1, 2""")
 def range_packing(spark: SparkSession, d: str) -> DataFrame:
     return selection.pack_ranges(table(spark, d, "selection_catalog"), "shard_path", "row_index", 100)
 
@@ -120,6 +125,16 @@ def exact_hash_matches(spark: SparkSession, d: str) -> DataFrame:
     return dedup.exact_matches(t.where("split = 'train'"), t.where("split = 'test'"), "pixel_sha256", "source_id", "source_id").groupBy("left_id", "right_id", "pixel_sha256").agg(F.count(F.lit(1)).alias("rows"))
 
 
+@query(f"""
+WITH h AS (SELECT source_id, lower({sql_strip("split")}) AS split, {_hash_sql("pixel_sha256")} AS k FROM highres_manifest),
+c AS (SELECT k, split, min(source_id) AS first, count(DISTINCT source_id) AS n FROM h WHERE k IS NOT NULL GROUP BY 1, 2)
+SELECT a.k AS pixel_sha256, a.first AS left_first, a.n AS left_records, b.first AS right_first, b.n AS right_records FROM c a JOIN c b USING (k) WHERE a.split = 'train' AND b.split = 'test'""")
+def exact_hash_classes(spark: SparkSession, d: str) -> DataFrame:
+    """The same with a row a hash, copies counted."""
+    t = table(spark, d, "highres_manifest").select("source_id", folded(F.col("split")).alias("split"), informative_hash(F.col("pixel_sha256")).alias("pixel_sha256"))
+    return dedup.exact_classes(t.where("split = 'train'"), t.where("split = 'test'"), "pixel_sha256", "source_id", "source_id")
+
+
 _P = f"lower({sql_strip('decoded_phash_rgb')})"
 
 
@@ -133,6 +148,18 @@ def near_hash_links(spark: SparkSession, d: str) -> DataFrame:
     return dedup.near_links(t, "selection_id", "parent_group", "x", 4)
 
 
+@query(f"""
+WITH m AS (SELECT DISTINCT selection_id AS id, parent_group AS g, ('0x' || substr(h, 1, 8))::BIGINT AS hi, ('0x' || substr(h, 9, 8))::BIGINT AS lo FROM (
+  SELECT selection_id, parent_group, lpad({_P}, 16, '0') AS h FROM training_manifest WHERE regexp_full_match({_P}, '[0-9a-f]{{1,16}}') AND NOT regexp_full_match({_P}, '0+|f+'))),
+c AS (SELECT g, hi, lo, min(id) AS c, count(*) AS n FROM m GROUP BY 1, 2, 3)
+SELECT DISTINCT least(a.c, b.c) AS left_class, greatest(a.c, b.c) AS right_class, (bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)))::INT AS differing, a.n * b.n AS pairs
+FROM c a JOIN c b ON (a.hi, a.lo) <= (b.hi, b.lo) AND a.g IS DISTINCT FROM b.g AND bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 4""")
+def near_hash_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Near links between classes of records of one group and hash, with the pairs behind each."""
+    t = table(spark, d, "training_manifest").select("selection_id", "parent_group", hex64(perceptual_hash(F.col("decoded_phash_rgb"))).alias("x"))
+    return dedup.near_classes(t, "selection_id", "parent_group", "x", 4)[0]
+
+
 _KEYS = ("group_id", "pixel_sha256", "source_sha256")
 
 
@@ -163,3 +190,34 @@ def leakage_components(spark: SparkSession, d: str) -> DataFrame:
 @query(_COMPONENTS + " SELECT root, count(*) AS rows, string_agg(DISTINCT split, '+' ORDER BY split) AS splits FROM r JOIN m USING (id) GROUP BY 1 HAVING count(DISTINCT split) > 1")
 def component_split_crossings(spark: SparkSession, d: str) -> DataFrame:
     return components.crossings(_members(spark, d), _records(spark, d), "source_id", "split")
+
+
+@query(_COMPONENTS + """ , kinds AS (SELECT source_id AS id, generator FROM highres_manifest), v0 AS (SELECT root, coalesce(generator, '') AS g, count(*) AS n FROM kinds JOIN m USING (id) GROUP BY 1, 2),
+v AS (SELECT root, sum(n)::BIGINT AS n, string_agg(g || '=' || n, '|' ORDER BY g || '=' || n) AS vector FROM v0 GROUP BY 1), o AS (SELECT vector FROM v GROUP BY 1 HAVING count(*) >= 20),
+s AS (SELECT root, CASE WHEN o.vector IS NOT NULL THEN v.vector ELSE 'size ' || floor(log2(n))::BIGINT END AS stratum FROM v LEFT JOIN o ON v.vector = o.vector),
+p AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY sha256(root), root) AS r FROM s), c AS (SELECT stratum, count(*) AS n FROM s GROUP BY 1),
+q AS (SELECT stratum, k, name, floor(n * w + 1e-9) AS base, round(n * w - floor(n * w + 1e-9), 9) AS frac, n FROM c, (VALUES (0, 'train', 0.7::DOUBLE), (1, 'val', 0.15::DOUBLE), (2, 'test', 0.15::DOUBLE)) s(k, name, w)),
+g AS (SELECT stratum, k, name, base + (row_number() OVER (PARTITION BY stratum ORDER BY frac DESC, k) <= n - sum(base) OVER (PARTITION BY stratum))::INT AS quota FROM q),
+e2 AS (SELECT stratum, name, sum(quota) OVER (PARTITION BY stratum ORDER BY k) AS hi, sum(quota) OVER (PARTITION BY stratum ORDER BY k) - quota AS lo FROM g)
+SELECT p.root, p.stratum, e2.name AS split FROM p JOIN e2 ON p.stratum = e2.stratum AND p.r > e2.lo AND p.r <= e2.hi""")
+def component_allocation(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "highres_manifest").select("source_id", "generator")
+    return components.allocate(_members(spark, d), rows, "source_id", "generator", _SHARES)
+
+
+@query(_COMPONENTS + " , n AS (SELECT split, root, count(*) AS n FROM r JOIN m USING (id) GROUP BY 1, 2) SELECT split, count(*) AS components, sum(n)::BIGINT AS rows, max(n) AS largest FROM n GROUP BY 1")
+def component_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return components.sizes_by_split(_members(spark, d), _records(spark, d), "source_id", "split")
+
+
+@query(_COMPONENTS + " SELECT root, count(*) AS rows, count(DISTINCT r.group_id) AS captions, string_agg(DISTINCT split, '+' ORDER BY split) AS splits FROM r JOIN m USING (id) GROUP BY 1 HAVING count(DISTINCT split) > 1")
+def excluded_components(spark: SparkSession, d: str) -> DataFrame:
+    """Components that stand in several splits, with the caption groups they take along."""
+    return components.excluded_components(_members(spark, d), _records(spark, d), "source_id", "split", "group_id")
+
+
+@query(_COMPONENTS + " , x AS (SELECT root FROM r JOIN m USING (id) GROUP BY 1 HAVING count(DISTINCT split) > 1) SELECT r.id AS source_id, root, split, count(*) AS rows FROM r JOIN m USING (id) WHERE root NOT IN (SELECT root FROM x) GROUP BY 1, 2, 3")
+def single_role_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of the components of one split."""
+    kept, _ = audits.single_role(_records(spark, d), _members(spark, d), "source_id", "split")
+    return kept.groupBy("source_id", "root", "split").agg(F.count(F.lit(1)).alias("rows"))
