@@ -28,7 +28,7 @@ def nonblank(c: Column) -> Column:
 
 def collapse(c: Column) -> Column:
     """Runs of white space become one blank, ends are stripped, case is folded."""
-    return F.lower(strip(F.regexp_replace(c, f"[{SPACE}]+", " ")))
+    return F.lower(F.trim(F.regexp_replace(c, f"[{SPACE}]+", " ")))
 
 
 def stable_hash(*parts: Column) -> Column:
