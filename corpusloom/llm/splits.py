@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import folded
 from corpusloom.llm.graph import compose, follow, save_counting
-from corpusloom.llm.grouping import numbered
+from corpusloom.operators.numbering import number, separating_seed
 from corpusloom.scratch import Scratch
 
 #: Group names that say nothing.
@@ -83,8 +83,8 @@ def spanning_forest(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, Data
     return labels, forest
 
 
-def key_graph(records: DataFrame, record_id: str, group: str, parent: str, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Every record's keys as numbers ``(id, lo, hi)``, the edges ``(u, v)`` between keys, and the keys' names ``(name, number)``.
+def key_graph(records: DataFrame, record_id: str, group: str, parent: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Every record's least and greatest key as numbers ``(id, lo, hi)``, and the edges ``(u, v)`` between keys.
 
     A record's keys are its group (white space around it and case ignored; null,
     blank and placeholder names are none) and its parent number if above 0; rows
@@ -97,14 +97,13 @@ def key_graph(records: DataFrame, record_id: str, group: str, parent: str, scrat
         F.when(F.col(parent) > 0, F.concat(F.lit("p:"), F.col(parent).cast("string"))).alias("p"),
     )
     rows = scratch.save(rows.distinct(), "keys")
-    seed, names = numbered(rows.select(F.explode(F.array("g", "p"))), scratch)
-    number = lambda c: F.when(F.col(c).isNotNull(), F.xxhash64(F.lit(seed), c))
-    rows = rows.select("id", number("g").alias("g"), number("p").alias("p"))
+    seed = separating_seed(rows.select(F.explode(F.array("g", "p"))))
+    rows = rows.select("id", number(seed, F.col("g")).alias("g"), number(seed, F.col("p")).alias("p"))
     ends = rows.groupBy("id").agg(F.min(F.least("g", "p")).alias("lo"), F.max(F.greatest("g", "p")).alias("hi"))
     both = rows.where("g is not null and p is not null").select(F.col("g").alias("u"), F.col("p").alias("v"))
     # A record delivered with different keys ties them together by its smallest one.
-    several = rows.select("id", F.explode(F.array_compact(F.array("g", "p"))).alias("k")).distinct().join(ends.where("lo < hi"), "id")
-    return ends, both.union(several.select("lo", "k")).distinct(), names
+    several = rows.join(ends.where("lo < hi"), "id").select("lo", F.explode(F.array_compact(F.array("g", "p"))).alias("k")).where("lo != k")
+    return ends, both.union(several)
 
 
 def record_sets(records: DataFrame, record_id: str, group: str, parent: str, scratch: Scratch) -> DataFrame:
@@ -114,7 +113,7 @@ def record_sets(records: DataFrame, record_id: str, group: str, parent: str, scr
     through other records.  A record without a key is a set of its own; other
     columns are not looked at, whatever their names.
     """
-    ends, edges, _ = key_graph(records, record_id, group, parent, scratch)
+    ends, edges = key_graph(records, record_id, group, parent, scratch)
     labels, _ = spanning_forest(edges, scratch)
     return (
         ends.join(labels.select(F.col("c").alias("lo"), "p").hint("shuffle_hash"), "lo", "left")
@@ -124,7 +123,7 @@ def record_sets(records: DataFrame, record_id: str, group: str, parent: str, scr
 
 def forest_summary(records: DataFrame, record_id: str, group: str, parent: str, scratch: Scratch) -> DataFrame:
     """``(keys, trees, edges)``: the keys that an edge reaches, their spanning trees, and the edges of these; one row."""
-    _, edges, _ = key_graph(records, record_id, group, parent, scratch)
+    _, edges = key_graph(records, record_id, group, parent, scratch)
     labels, forest = spanning_forest(edges, scratch)
     return labels.agg(F.count(F.lit(1)).alias("keys"), F.count_distinct("p").alias("trees")).crossJoin(forest.agg(F.count(F.lit(1)).alias("edges")))  # one row each
 
