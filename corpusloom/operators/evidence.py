@@ -47,3 +47,23 @@ def same_signature(runs: Sequence[Mapping], fields: Sequence[str]) -> None:
     for f in fields:
         if len({repr(r.get(f)) for r in runs}) > 1:
             raise ContractError(f"runs differ in {f}")
+
+
+def archive_record(files: DataFrame, name: str, expected_sha256: str | None = None, expected_bytes: int | None = None) -> dict:
+    """What is known of one archive of a hashed listing: size, both hashes, and whether they are those expected (None where nothing is)."""
+    rows = files.where(files["path"].endswith("/" + name)).select("path", "size", "sha256", "md5").collect()
+    if len(rows) != 1:
+        raise ContractError(f"{len(rows)} files are named {name}")
+    r = rows[0]
+    return {
+        "name": name, "bytes": r["size"], "sha256": r["sha256"], "md5": r["md5"], "bytes_match": None if expected_bytes is None else r["size"] == expected_bytes,
+        "sha256_matches": None if expected_sha256 is None else r["sha256"] == expected_sha256,
+    }
+
+
+def environment(spark) -> dict:
+    """What a run depends on: versions and the session's settings that change plans."""
+    import platform
+
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.session.timeZone", "spark.sql.ansi.enabled")
+    return {"python": platform.python_version(), "spark": spark.version, "master": spark.sparkContext.master, "settings": {n: spark.conf.get(n, None) for n in names}}

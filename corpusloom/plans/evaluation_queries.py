@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.operators import bootstrap, experiments, metrics, ml
+from corpusloom.operators import bootstrap, catalog, experiments, metrics, ml
 from corpusloom.scratch import Scratch
 from corpusloom.sources.tables import table
 
@@ -56,6 +56,13 @@ def binary_metrics(spark: SparkSession, d: str) -> DataFrame:
     return _round(metrics.confusion(predictions(spark, d), ["condition"], T), "brier", "accuracy", "recall1", "recall0", "balanced_accuracy", "precision", "macro_f1")
 
 
+@query(f"""
+WITH {_P}, c AS ({_counts('condition')}), m AS (SELECT condition, unnest([0, 0, 1, 1]) AS actual, unnest([0, 1, 0, 1]) AS predicted, unnest([tn, fp, fn, tp]) AS rows, unnest([tn + fp, tn + fp, tp + fn, tp + fn]) AS n FROM c)
+SELECT condition, actual, predicted, rows, round(rows / n, 6) AS rate FROM m""")
+def confusion_matrix(spark: SparkSession, d: str) -> DataFrame:
+    return _round(catalog.confusion_rates(metrics.confusion(predictions(spark, d), ["condition"], T), ["condition"]), "rate")
+
+
 @query(f"""
 WITH {_P}, b AS (SELECT condition, (SELECT max(i) FROM range(15) r(i) WHERE score >= i / 15.0::DOUBLE) AS bin, label, score FROM p),
 a AS (SELECT condition, bin, count(*) AS n, avg(label) AS y, avg(score) AS s FROM b GROUP BY 1, 2) SELECT condition, round(sum(n * abs(y - s)) / sum(n), 6) AS ece FROM a GROUP BY 1""")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import io
+import hashlib
 import json
 import zipfile
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,14 +49,68 @@ def projected(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFra
     return spark.read.parquet(path).select(*[F.col(c).alias(c.replace(".", "_")) for c in columns])
 
 
+def _place(path: str):
+    """The file system of a path and the path on it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+
+
+def leaf_problems(spark: SparkSession, path: str, leaves: Sequence[str]) -> list[str]:
+    """Which of the leaves (``image.path``) a Parquet table's footer lacks, and which are no leaves."""
+    schema, out = spark.read.parquet(path).schema, []
+    for leaf in leaves:
+        at: T.DataType | None = schema
+        for name in leaf.split("."):
+            at = at[name].dataType if isinstance(at, T.StructType) and name in at.fieldNames() else None
+        if at is None:
+            out.append(f"missing {leaf}")
+        elif isinstance(at, T.StructType):
+            out.append(f"{leaf} is no leaf")
+    return out
+
+
+def row_groups(spark: SparkSession, path: str) -> DataFrame:
+    """``(file, group, first, rows)`` of the row groups of a Parquet file or folder, from the footers alone; a task reads its files' footers."""
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(path).select("path")
+
+    def footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for p in b.column(0).to_pylist():
+                fs, where = _place(p)
+                with fs.open_input_file(where) as f:
+                    meta, first = pq.ParquetFile(f).metadata, 0
+                for g in range(meta.num_row_groups):
+                    rows.append((p, g, first, meta.row_group(g).num_rows))
+                    first += rows[-1][3]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int32(), pa.int64(), pa.int64()))], ["file", "group", "first", "rows"])
+
+    return listed.mapInArrow(footers, "file string, group int, first long, rows long")
+
+
 def exact_rows(spark: SparkSession, path: str, wanted: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """The rows whose numbers within the file are in ``wanted(row_index)``; raises when read if a number isn't there.
+    """``(row_index, columns)`` of the rows whose numbers within the file are in ``wanted(row_index)``; raises when read if a number isn't there.
 
-    ``wanted`` is joined as Spark sees fit; it is broadcast only if it is known to be small.
+    Only row groups that hold a wanted row are opened, and of them only the
+    columns asked for.  ``path`` is one file, or a folder of one; a task takes a
+    group.  A row group's bounds are a row each and are broadcast only if Spark finds them small.
     """
-    rows = spark.read.parquet(path).select(F.col("_metadata.row_index").alias("row_index"), *columns).withColumn("__found", F.lit(True))
-    out = wanted.select("row_index").distinct().join(rows, "row_index", "left")
-    return out.withColumn("__found", F.when(F.col("__found"), True).otherwise(F.raise_error(F.lit("a wanted row is not in the file")).cast("boolean"))).where("__found").drop("__found")
+    found = spark.read.parquet(path)
+    kinds = ", ".join(f"`{c}` {found.schema[c].dataType.simpleString()}" for c in columns)
+    groups = row_groups(spark, path)
+    numbers = wanted.select(F.col("row_index").cast("long").alias("row_index")).where("row_index is not null").distinct()
+    inside = (F.col("row_index") >= F.col("first")) & (F.col("row_index") < F.col("first") + F.col("rows"))
+    placed = numbers.join(groups, inside, "left").withColumn("file", F.when(F.col("file").isNull(), F.raise_error(F.lit("a wanted row is not in the file"))).otherwise(F.col("file")))
+
+    def read(table: pa.Table) -> pa.Table:
+        fs, where = _place(table["file"][0].as_py())
+        at = pa.compute.subtract(table["row_index"], table["first"])
+        with fs.open_input_file(where) as f:
+            rows = pq.ParquetFile(f).read_row_group(table["group"][0].as_py(), columns=list(columns)).select(list(columns)).take(at)
+        return pa.table({"row_index": table["row_index"], **{c: rows[c] for c in columns}})
+
+    return placed.groupBy("file", "group").applyInArrow(read, f"row_index long, {kinds}")
 
 
 MAPPING = "map<string, struct<image_id: bigint, image_name: string, captions: array<struct<caption_id: bigint, caption: string>>>>"
@@ -73,17 +130,18 @@ def mapping_problems(mapping: DataFrame) -> DataFrame:
 
 
 def archive_members(spark: SparkSession, path: str, suffix: str = ".json") -> DataFrame:
-    """``(archive, member, content)``: the text members of zip files, each archive unpacked by one task, its checksums verified."""
+    """``(archive, member, content)``: the text members of zip files, each archive opened by one task where it lies and read a member at a time, its checksums verified."""
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for where, raw in zip(b["path"], b["content"]):
-                with zipfile.ZipFile(io.BytesIO(raw)) as z:
+            for where in b["path"]:
+                fs, at = _place(where)
+                with fs.open_input_file(at) as f, zipfile.ZipFile(f) as z:
                     for name in z.namelist():
                         if name.endswith(suffix):
                             yield pd.DataFrame({"archive": [where], "member": [name], "content": [z.read(name).decode()]})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(unpack, "archive string, member string, content string")
+    return spark.read.format("binaryFile").load(path).select("path").mapInPandas(unpack, "archive string, member string, content string")
 
 
 ANNOTATIONS = "struct<licenses: array<struct<id: int, name: string, url: string>>, images: array<struct<id: bigint, file_name: string, license: int>>, annotations: array<struct<id: bigint, image_id: bigint, caption: string>>>"
@@ -95,11 +153,35 @@ def annotations(members: DataFrame) -> dict[str, DataFrame]:
     return {k: parsed.select("member", F.explode(f"a.{k}").alias("x")).select("member", "x.*") for k in ("licenses", "images", "annotations")}
 
 
-def files(spark: SparkSession, path: str, glob: str = "*", hashes: bool = False) -> DataFrame:
-    """``(path, size, modified)`` of files below a folder, with ``sha256`` and ``md5`` of their bytes if asked for."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
-    out = rows.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), *([F.sha2("content", 256).alias("sha256"), F.md5("content").alias("md5")] if hashes else []))
-    return out
+def files(spark: SparkSession, path: str, glob: str = "*", hashes: bool = False, chunk: int = 8 << 20) -> DataFrame:
+    """``(path, size, modified)`` of files below a folder, with ``sha256`` and ``md5`` of their bytes if asked for.
+
+    Bytes are read ``chunk`` by ``chunk`` where the file lies, so a file may be of
+    any size.  Files without bytes are not listed.
+    """
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+    if not hashes:
+        return rows
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sums: list[tuple[str, str]] = []
+            for p in b.column(0).to_pylist():
+                fs, where = _place(p)
+                both = hashlib.sha256(), hashlib.md5()
+                with fs.open_input_stream(where) as f:
+                    while part := f.read(chunk):
+                        for d in both:
+                            d.update(part)
+                sums.append(tuple(d.hexdigest() for d in both))
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([x[k] for x in sums], pa.string()) for k in (0, 1))], ["path", "size", "modified", "sha256", "md5"])
+
+    return rows.mapInArrow(digest, "path string, size long, modified timestamp, sha256 string, md5 string")
+
+
+def missing_files(rows: DataFrame, path: str, found: DataFrame) -> DataFrame:
+    """The rows whose path no listed file has."""
+    return rows.join(found.select(F.col("path").alias("__found")), F.col(path) == F.col("__found"), "left_anti")
 
 
 def verified(found: DataFrame, lock: DataFrame) -> DataFrame:
@@ -119,15 +201,32 @@ def load_json(path: str, version: str) -> dict:
 
 
 def images(spark: SparkSession, path: str, aliases: DataFrame, most_bytes: int = 12_000_000) -> DataFrame:
-    """``(path, generator, source_id, bytes, sha256)`` of the image files below a folder of generator folders.
+    """``(path, generator, source_id, bytes, sha256, oversized)`` of the image files below a folder of generator folders.
 
     A folder's name is reduced to its letters and digits and looked up in
     ``aliases(key, generator)``; files of unknown folders have a null generator.
-    Files above ``most_bytes`` are left out before their bytes are looked at.
+    A file above ``most_bytes`` has a row, marked, but its bytes are not read.
     """
     from corpusloom.functions.scalars import alias_key
 
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{png,jpg,jpeg,webp,tif,tiff,bmp}").load(path).where(F.col("length") <= most_bytes)
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{png,jpg,jpeg,webp,tif,tiff,bmp}").load(path)
+    small = rows.where(F.col("length") <= most_bytes).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    large = rows.where(F.col("length") > most_bytes).select("path", "length", F.lit(None).cast("string").alias("sha256"))
     folder = F.element_at(F.split("path", "/"), -2)
-    named = rows.select("path", alias_key(folder).alias("key"), F.regexp_extract("path", r"([^/]+)\.[^.]+$", 1).alias("source_id"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-    return named.join(aliases.select("key", "generator"), "key", "left").select("path", "generator", "source_id", "bytes", "sha256")
+    named = small.union(large).select("path", alias_key(folder).alias("key"), F.regexp_extract("path", r"([^/]+)\.[^.]+$", 1).alias("source_id"), F.col("length").alias("bytes"), "sha256", (F.col("length") > most_bytes).alias("oversized"))
+    return named.join(aliases.select("key", "generator"), "key", "left").select("path", "generator", "source_id", "bytes", "sha256", "oversized")
+
+
+def completed_run(spark: SparkSession, folder: str, group: str = "leakage_group") -> tuple[DataFrame, float]:
+    """The predictions of a finished run (``predictions.csv``) and its threshold (``threshold.json``); raises unless every prediction has a group."""
+    names = header(spark, f"{folder}/predictions.csv")
+    lacking = [c for c in ("path", "label", "score", group) if c not in names]
+    if lacking:
+        raise ContractError(f"predictions lack {lacking}")
+    rows = text_csv(spark, f"{folder}/predictions.csv", names, nulls_as_empty=False)
+    rows = rows.withColumns({"label": F.col("label").try_cast("int"), "score": F.col("score").try_cast("double")})
+    bad = rows.where(F.col(group).isNull() | (F.trim(group) == "") | F.col("label").isNull() | F.col("score").isNull())
+    if not bad.isEmpty():
+        raise ContractError("a prediction has no group, label or score")
+    with open(f"{folder.removeprefix('file://')}/threshold.json", encoding="utf-8") as f:
+        return rows, float(json.load(f)["threshold"])

@@ -59,3 +59,30 @@ def append_missing(spark: SparkSession, wanted: DataFrame, path: str, key: str)
         rows = rows.join(spark.read.parquet(path).select(key), key, "left_anti").select(*wanted.columns)
     rows.write.mode("append").parquet(path)
     return spark.read.parquet(path).count() - before
+
+
+def promote(spark: SparkSession, partial: str, final: str, wanted: DataFrame, key: str, columns: Sequence[str], order: Sequence[str]) -> int:
+    """Write a table that ``append_missing`` filled to its final folder, sorted, once it holds every wanted key and no other; returns how many keys it still lacks.
+
+    Nothing is written before that, and a final folder that is there already raises.
+    """
+    have = spark.read.parquet(partial)
+    lacking = wanted.select(key).distinct().join(have.select(key), key, "left_anti").count()
+    if lacking:
+        return lacking
+    if not have.select(key).join(wanted.select(key).distinct(), key, "left_anti").isEmpty():
+        raise ContractError("the partial table holds keys that nobody asked for")
+    write_locked(have.select(*columns), final, columns, order, "parquet")
+    return 0
+
+
+def write_evaluation(predictions: DataFrame, metrics: DataFrame, protocol: dict, folder: str) -> str:
+    """Predictions as CSV, a metric table and a protocol as canonical JSON, in a folder that must not exist; returns the protocol's SHA-256.
+
+    The metric table is a row a condition and scope, short by nature.
+    """
+    local = folder.removeprefix("file://")
+    os.makedirs(local)
+    predictions.write.mode("errorifexists").option("header", True).csv(f"file://{local}/predictions")
+    write_evidence({"rows": [r.asDict(True) for r in metrics.collect()]}, f"{local}/metrics.json")
+    return write_evidence(protocol, f"{local}/protocol.json")
