@@ -46,10 +46,10 @@ BACKOFF, MOST = 5.0, 6.0
 LEAST_WORDS = 8
 
 _INVISIBLE = re.compile("[­​-‏⁠﻿]")
-#: A link with its scheme, or a host: names joined by dots, the last of letters; a file's name looks the same and counts as one word too.
-_URL = re.compile(r"(?:[a-z][a-z0-9+.-]*://|www\.)[^\s<>()\[\]|]+|(?<![\w.@/-])(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\.)+[a-z]{2,}(?![\w@-])(?:/[^\s<>()\[\]|]*)?", re.I)
+#: A link with its scheme, or a host (in small letters): names joined by dots, the last of letters; a file's name looks the same and counts as one word too.
+_URL = re.compile(r"(?:https?|ftp)://[^\s<>()\[\]|]+|www\.[^\s<>()\[\]|]+|(?<![\w.@/-])[a-z0-9][a-z0-9-]*\.(?:[a-z0-9][a-z0-9-]*\.)*[a-z]{2,}(?![\w@-])(?:/[^\s<>()\[\]|]*)?")
 #: What every link holds; most texts hold none and are not searched for links.
-_HINT = re.compile(r"://|www\.|[a-z0-9]\.[a-z]{2}")
+_HINT = re.compile(r"\.[a-z]{2}|://")
 _TAG = re.compile(r"#\w+")
 _BREAK = re.compile(r"\r\n|[\r\n  ]|<br */?>")
 _BULLET = re.compile(r"[\s>#*•»\-–—]*(?:\[\d+\]|\d+[.)](?=\s))?[\s*•»\-–—]*")
