@@ -51,3 +51,23 @@ def baseline(df: DataFrame, split: str, label: str, features: Sequence[str]) ->
     scored = score(model, df.where(F.col(split).isin("val", "test")), [split, label]).withColumnRenamed(label, "label")
     t = metrics.best_threshold(metrics.curve(scored.where(F.col(split) == "val"), []), []).first()["threshold"]
     return metrics.summary(scored, [split], t).withColumn("threshold", F.lit(t))
+
+
+def score_vectors(df: DataFrame, vector: str, scaling: Sequence[tuple[float, float]], weights: Sequence[float], intercept: float) -> DataFrame:
+    """``df`` with ``score``, the probability of class 1 from an array column: means and deviations, weights and intercept are a model's own.
+
+    An array that is null or of another length has a null score.
+    """
+    mean, deviation, w = (F.array(*[F.lit(float(x)) for x in xs]) for xs in ([m for m, _ in scaling], [s or 1.0 for _, s in scaling], weights))
+    x = F.zip_with(F.zip_with(F.col(vector).cast("array<double>"), mean, lambda a, m: a - m), deviation, lambda a, s: a / s)
+    z = F.aggregate(F.zip_with(x, w, lambda a, b: a * b), F.lit(float(intercept)), lambda t, v: t + v)
+    return df.withColumn("score", F.when(F.size(vector) == len(weights), 1 / (1 + F.exp(-z))))
+
+
+def fit_vectors(train: DataFrame, label: str, vector: str, length: int, c: float = 1.0) -> tuple[list[tuple[float, float]], list[float], float]:
+    """Scaling, weights and intercept of ``fit`` over the entries of an array column, as ``score_vectors`` takes them."""
+    names = [f"x{k}" for k in range(length)]
+    rows = train.select(F.col(label).alias("label"), *[F.col(vector)[k].cast("double").alias(n) for k, n in enumerate(names)])
+    one = rows.agg(*[f(n).alias(f"{k}_{n}") for n in names for k, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    _, weights, intercept = fit(rows, "label", names, c)
+    return [(one[f"m_{n}"] or 0.0, one[f"s_{n}"] or 1.0) for n in names], weights, intercept

@@ -102,7 +102,12 @@ def paired_sampler(spark: SparkSession, d: str) -> DataFrame:
     return selection.paired_sampler(t, "parent_group", "label", "kind", stable_hash(F.lit("7"), F.col("row")))
 
 
-@query()
+@query("""
+WITH x AS (SELECT parent_group AS g, label, generator, selection_id, sha256('7:' || selection_id) AS h FROM training_manifest WHERE parent_group IS NOT NULL),
+n AS (SELECT list(DISTINCT generator ORDER BY generator) AS names FROM x WHERE label = 1 AND generator IS NOT NULL),
+c AS (SELECT g FROM x GROUP BY 1 HAVING count(*) FILTER (label = 0) > 0 AND count(DISTINCT generator) FILTER (label = 1) = (SELECT len(names) FROM n)),
+p AS (SELECT g, row_number() OVER (ORDER BY sha256('7:' || g), g) - 1 AS position FROM c), a AS (SELECT g, names[(position % len(names) + 1)::INT] AS kind FROM p, n)
+SELECT g AS parent_group, arg_min(selection_id, h) FILTER (label = 0) AS "real", arg_min(selection_id, h) FILTER (label = 1 AND generator = kind) AS fake, kind FROM a JOIN x USING (g) GROUP BY g, kind""")
 def balanced_paired_sampler(spark: SparkSession, d: str) -> DataFrame:
     """A pair of every group that holds a real row and every generator, generators dealt from a balanced cycle; other groups can't be paired."""
     t = table(spark, d, "training_manifest").select("parent_group", "label", F.col("generator").alias("kind"), F.col("selection_id").alias("row")).where("parent_group is not null")

@@ -267,6 +267,42 @@ def test_logistic_separates(spark):
     assert metrics.roc_auc(metrics.curve(s, []), []).first()[0] > 0.85
 
 
+def test_scores_of_vectors(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(y), [float(y * 2 + rng.normal()), 1.0, float(rng.normal())]) for y in rng.integers(0, 2, 300)]
+    df = spark.createDataFrame(rows + [(1, [1.0]), (0, None)], "label int, v array<double>")
+    whole = df.where(F.size("v") == 3)
+    scaling, weights, intercept = ml.fit_vectors(whole, "label", "v", 3)
+    got = ml.score_vectors(df, "v", scaling, weights, intercept)
+    assert got.where("score is null").count() == 2 and metrics.roc_auc(metrics.curve(got.where("score is not null"), []), []).first()[0] > 0.85
+    v = rows[0][1]
+    z = intercept + sum(w * (x - m) / s for x, w, (m, s) in zip(v, weights, scaling))
+    assert abs(got.first()["score"] - 1 / (1 + np.exp(-z))) < 1e-9
+
+
+def test_external_records_know_their_family(spark):
+    families = spark.createDataFrame([("sdxl", "SDXL", "diffusion", "new")], "key string, generator string, family string, relation string")
+    listing = spark.createDataFrame([("file:/data/ext/SDXL/a.b.png", "sdxl"), ("file:/data/ext/Other/c.jpg", "other")], "path string, key string")
+    got = {tuple(r) for r in manifests.external_records(listing, families, "/data/ext").collect()}
+    assert got == {("SDXL/a.b.png", "a.b", "SDXL", "diffusion", "new"), ("Other/c.jpg", "c", None, None, None)}
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from corpusloom.__main__ import main
+
+    assert main([]) == 0 and "p2_profile" in capsys.readouterr().out.split()
+    assert main(["no_such_query", "x"]) == 2
+    assert main(["catalog_class_balance", "/root/testdata/sf0.001", f"{tmp_path}/out"]) == 0
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 1
+
+
+def test_custom_order_and_scopes(spark):
+    df = spark.createDataFrame([("test", 2), ("val", 1), ("train", 3), ("else", 0), (None, 9), ("train", 1)], "split string, n int")
+    assert [tuple(r) for r in selection.in_named_order(df, [("split", ["train", "val", "test"]), ("n", None)]).collect()] == [("train", 1), ("train", 3), ("val", 1), ("test", 2), ("else", 0), (None, 9)]
+    rows, scope = selection.first_shards(df, "split", None)
+    assert rows is df and scope == {"limit": None, "partial": False}
+
+
 def test_kernels(spark):
     rng = np.random.default_rng(1)
     stack = rng.random((5, 7, 9))
@@ -378,8 +414,8 @@ def test_images_by_folder(spark, tmp_path):
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_bytes(b"x" * (50 if "big" in name else 5))
     aliases = spark.createDataFrame([("dalle3", "dalle3")], "key string, generator string")
-    got = {(r["source_id"], r["generator"]) for r in files.images(spark, str(tmp_path), aliases, 20).collect()}
-    assert got == {("a", "dalle3"), ("b", None)}
+    got = {(r["source_id"], r["generator"], r["oversized"]) for r in files.images(spark, str(tmp_path), aliases, 20).collect()}
+    assert got == {("a", "dalle3", False), ("b", None, False), ("big", "dalle3", True)}
 
 
 def test_large_components_are_named_by_their_members(spark):
