@@ -35,13 +35,13 @@ def text_hash(c: Column, blank: Column) -> Column:
 
 def geometry(width: Column, height: Column) -> Column:
     """``WxH`` of two positive whole numbers, else ``(invalid)``."""
-    ok = width.rlike("^[1-9][0-9]*$") & height.rlike("^[1-9][0-9]*$")
+    ok = width.rlike("^[1-9][0-9]*\\z") & height.rlike("^[1-9][0-9]*\\z")
     return F.when(ok, F.concat(width, F.lit("x"), height)).otherwise("(invalid)")
 
 
 def pair_of_name(name: Column) -> tuple[Column, Column]:
     """Parent and caption number of ``<parent>_<caption>.jpg``; nulls if the name has another form."""
-    pattern = r"^([1-9][0-9]*)_([1-9][0-9]*)\.jpg$"
+    pattern = r"^([1-9][0-9]*)_([1-9][0-9]*)\.jpg\z"
     return tuple(nonblank(F.regexp_extract(name, pattern, k)).try_cast("long") for k in (1, 2))
 
 

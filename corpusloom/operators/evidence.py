@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 
 from corpusloom.operators.contracts import ContractError
+from corpusloom.operators.gates import check_record
 from corpusloom.sources.sinks import file_sha256
 
 
@@ -67,3 +68,19 @@ def environment(spark) -> dict:
 
     names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.session.timeZone", "spark.sql.ansi.enabled")
     return {"python": platform.python_version(), "spark": spark.version, "master": spark.sparkContext.master, "settings": {n: spark.conf.get(n, None) for n in names}}
+
+
+def launch_record(path: str, counts: DataFrame, options: Mapping[str, object], resolved: Mapping[str, object]) -> dict:
+    """The identity of a manifest file at a launch, its rows a split (``gates.row_counts``), and the options as asked for and as resolved."""
+    rows = {r["split"]: r["rows"] for r in counts.collect()}  # a row a split
+    total = rows.pop(None, 0)
+    return {"schema_version": "launch-v1", "path": path, "sha256": file_sha256(path), "rows": {"total": total, "by_split": rows}, "requested": dict(options), "resolved": dict(resolved)}
+
+
+def validated_manifest(path: str, summary: Mapping, version: str, rows: int) -> None:
+    """Raise ``ContractError`` unless a summary of that version names this very file and its number of rows."""
+    import os
+
+    problems = check_record(summary, {"schema_version": version, "artifacts.manifest": os.path.basename(path), "manifest_sha256": file_sha256(path), "counts.rows": rows})
+    if problems:
+        raise ContractError("; ".join(problems))

@@ -50,7 +50,7 @@ def row_semantics(df: DataFrame, cells: Mapping[str, tuple[int, str, str]], spli
     known = F.lit(False)
     for cell, (label, model, kind) in cells.items():
         known = known | ((F.col("cell") == cell) & (F.col("label") == label) & (F.col("model") == model) & (F.col("gen_type") == kind))
-    sha = lambda c: F.col(c).rlike("^[0-9a-f]{64}$")
+    sha = lambda c: F.col(c).rlike("^[0-9a-f]{64}\\z")
     path = F.col("materialized_path")
     return violations(
         df,
@@ -61,7 +61,7 @@ def row_semantics(df: DataFrame, cells: Mapping[str, tuple[int, str, str]], spli
             "geometry": (F.col("decoded_width") == extent) & (F.col("decoded_height") == extent),
             "encoded hash": sha("encoded_sha256"),
             "pixel hash": sha("decoded_pixel_sha256_rgb"),
-            "perceptual hash": F.col("decoded_phash_rgb").rlike("^[0-9a-f]{16}$"),
+            "perceptual hash": F.col("decoded_phash_rgb").rlike("^[0-9a-f]{16}\\z"),
             "path": ~path.startswith("/") & ~F.array_contains(F.split(path, "/"), ".."),
         },
     )
@@ -73,7 +73,7 @@ def candidate_checks(df: DataFrame, index: str, index_hash: Column, repository:
         df,
         {
             "id": F.coalesce(strip(F.col("selection_id")), F.lit("")) != "",
-            "index": F.col(index).rlike("^(0|[1-9][0-9]*)$"),
+            "index": F.col(index).rlike("^(0|[1-9][0-9]*)\\z"),
             "index hash": F.col("source_index_hash") == index_hash,
             "repository": F.col("repository_id") == repository,
             "revision": F.col("revision") == revision,

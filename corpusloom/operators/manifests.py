@@ -19,7 +19,7 @@ SPLIT_NAMES = {"validation": "val", "validation_split": "val"}
 
 def canonical_integer(c: Column, least: int = 0) -> Column:
     """A whole number written without sign, blanks or leading zeros and not below ``least``; null for all else."""
-    n = F.when(c.rlike("^(0|[1-9][0-9]*)$"), c).try_cast("long")
+    n = F.when(c.rlike("^(0|[1-9][0-9]*)\\z"), c).try_cast("long")
     return F.when(n >= least, n)
 
 
@@ -58,7 +58,7 @@ def output_name(source_id: Column) -> Column:
 
 def shard_url(base: str, repository: Column, revision: Column, path: Column) -> Column:
     """The address of a file at a revision that can't move (40 hexadecimal digits); null for any other."""
-    return F.when(revision.rlike("^[0-9a-f]{40}$"), F.format_string(base.rstrip("/") + "/%s/resolve/%s/%s", repository, revision, F.regexp_replace(F.url_encode(path), "%2F", "/")))
+    return F.when(revision.rlike("^[0-9a-f]{40}\\z"), F.format_string(base.rstrip("/") + "/%s/resolve/%s/%s", repository, revision, F.regexp_replace(F.url_encode(path), "%2F", "/")))
 
 
 def catalogue_rows(df: DataFrame, reference: str, index: str, name: str, prefix: str) -> DataFrame:

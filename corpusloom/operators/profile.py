@@ -99,7 +99,7 @@ def classified(values: DataFrame, expectations: DataFrame) -> DataFrame:
     bounded = F.col("min_value").isNotNull() | F.col("max_value").isNotNull()
     masks = F.coalesce(F.transform("allowed", whole_mask), F.when(bounded, F.array(F.lit("9"))))
     e = e.withColumn("masks", masks)
-    number = F.col("value").rlike("^(0|[1-9][0-9]*)$")
+    number = F.col("value").rlike("^(0|[1-9][0-9]*)\\z")
     inside = F.when(number, F.expr("try_cast(value as decimal(38,0))")).between(F.col("min_value"), F.col("max_value"))
     kind = (
         F.when(F.col("masks").isNull(), None)
@@ -182,7 +182,7 @@ def mask_counts(values: DataFrame) -> DataFrame:
     ``lo`` and ``hi`` are the ends in string order, ``lo_n`` and ``hi_n`` those of
     numbers up to 64 bits.
     """
-    number = F.when(F.col("value").rlike(r"^[0-9]+$"), F.expr("try_cast(value as bigint)"))
+    number = F.when(F.col("value").rlike(r"^[0-9]+\z"), F.expr("try_cast(value as bigint)"))
     keys = ["load_no", "column_name", "mask", *[c for c in ("kind", "numeric", "valid") if c in values.columns]]
     return values.groupBy(*keys).agg(
         F.sum("n").alias("n"), F.count("value").alias("distinct_values"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.min(number).alias("lo_n"), F.max(number).alias("hi_n")

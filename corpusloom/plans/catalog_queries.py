@@ -192,8 +192,8 @@ def row_provenance_violations(spark: SparkSession, d: str) -> DataFrame:
         table(spark, d, "source_catalog"),
         {
             "locator": F.col("locator") == scalars.locator(F.col("repository_id"), F.col("revision"), F.col("shard_path"), F.col("row_index")),
-            "revision": F.col("revision").rlike("^[0-9a-f]{40}$"),
-            "prompt_hash": F.col("prompt_hash").rlike("^[0-9a-f]{64}$"),
+            "revision": F.col("revision").rlike("^[0-9a-f]{40}\\z"),
+            "prompt_hash": F.col("prompt_hash").rlike("^[0-9a-f]{64}\\z"),
             "label": F.col("label").isin("0", "1"),
             "row_index": F.col("row_index") >= 0,
         },

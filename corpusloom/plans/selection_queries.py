@@ -226,3 +226,63 @@ def single_role_rows(spark: SparkSession, d: str) -> DataFrame:
     """The rows of the components of one split."""
     kept, _ = audits.single_role(_records(spark, d), _members(spark, d), "source_id", "split")
     return kept.groupBy("source_id", "root", "split").agg(F.count(F.lit(1)).alias("rows"))
+
+
+_ONE = "(SELECT * FROM highres_manifest QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY loaded_at, path) = 1)"
+_NAMES = ("sd21", "sd3", "sdxl")
+
+
+def _crop(part: int, side: str) -> str:
+    return f"round_even(('0x' || substr(sha256('7:crop:' || l.group_id), {1 + 16 * part}, 16))::UBIGINT::DOUBLE / 18446744073709551615.0::DOUBLE * (source_{side} - 384), 0)::INT"
+
+
+_CORPUS = f"""
+WITH RECURSIVE l AS (SELECT *, CASE WHEN label = 0 AND generator = 'real' THEN 'real' WHEN label = 1 AND generator != 'real' THEN generator END AS role FROM {_ONE} WHERE least(source_width, source_height) >= 512 AND generator IN ('real', 'sd21', 'sd3', 'sdxl')),
+h AS (SELECT group_id FROM l WHERE role IS NOT NULL AND group_id IS NOT NULL GROUP BY 1 HAVING count(DISTINCT role) = 4),
+a AS (SELECT group_id, ['sd21', 'sd3', 'sdxl'][((row_number() OVER (ORDER BY sha256('7:allocation:' || group_id), group_id) - 1) % 3 + 1)::INT] AS kind FROM h),
+t AS (SELECT group_id, role, arg_min(source_id, (sha256('7:row:' || group_id || ':' || role || ':' || source_id), source_id)) AS id FROM l JOIN a USING (group_id) WHERE role = 'real' OR role = kind GROUP BY 1, 2),
+r AS (SELECT l.source_id AS id, l.group_id AS group_id, l.role AS role, official_split AS split, {_hash_sql("pixel_sha256")} AS p, {_hash_sql("source_sha256")} AS s, {_crop(0, "width")} AS crop_left, {_crop(1, "height")} AS crop_top,
+  CASE WHEN regexp_full_match({_P.replace("decoded_phash_rgb", "phash")}, '[0-9a-f]{{1,16}}') AND NOT regexp_full_match({_P.replace("decoded_phash_rgb", "phash")}, '0+|f+') THEN lpad({_P.replace("decoded_phash_rgb", "phash")}, 16, '0') END AS x FROM l JOIN t ON l.source_id = t.id AND l.role = t.role),
+k AS (SELECT id, 'g' || group_id AS k FROM r UNION SELECT id, 'p' || p FROM r WHERE p IS NOT NULL UNION SELECT id, 's' || s FROM r WHERE s IS NOT NULL),
+n AS (SELECT id, group_id, ('0x' || substr(x, 1, 8))::BIGINT AS hi, ('0x' || substr(x, 9, 8))::BIGINT AS lo FROM r WHERE x IS NOT NULL),
+d0 AS (SELECT a.id AS u, b.id AS v FROM k a JOIN k b USING (k) WHERE a.id != b.id UNION SELECT a.id, b.id FROM n a JOIN n b ON a.group_id != b.group_id AND bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 8),
+w(id, root) AS (SELECT id, id FROM r UNION SELECT d0.v, w.root FROM w JOIN d0 ON d0.u = w.id), m AS (SELECT id, min(root) AS root FROM w GROUP BY 1),
+z AS (SELECT root, count(*) AS rows, count(DISTINCT group_id) AS captions, string_agg(DISTINCT split, '+' ORDER BY split) AS splits, count(DISTINCT split) AS s, 'corpus:' || substr(sha256(string_agg(id, chr(10) ORDER BY id)), 1, 24) AS component FROM r JOIN m USING (id) GROUP BY 1)"""
+
+
+def _corpus(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, dict]:
+    rows = table(spark, d, "highres_manifest")
+    one = selection.first_by_hash(rows, ["source_id"], F.col("loaded_at"), F.col("path"))
+    return audits.corpus_build(one, _NAMES, Scratch(spark, "corpus"))
+
+
+@query(_CORPUS + " SELECT r.id AS source_id, group_id, role, split, component, crop_left, crop_top FROM r JOIN m USING (id) JOIN z USING (root) WHERE z.s = 1")
+def corpus_build(spark: SparkSession, d: str) -> DataFrame:
+    """The whole build of a paired corpus: filter, complete groups, dealt generators, crops, components, source splits kept."""
+    return _corpus(spark, d)[0].select("source_id", "group_id", "role", "split", "component", "crop_left", "crop_top")
+
+
+@query(_CORPUS + " SELECT root, rows, captions, splits FROM z WHERE s > 1")
+def corpus_left_out(spark: SparkSession, d: str) -> DataFrame:
+    """The components that the build leaves out."""
+    return _corpus(spark, d)[1]
+
+
+_SHA = "regexp_full_match({}, '[0-9a-f]{{64}}')"
+_PARTS = {
+    "label": "label IN (0, 1)", "real has label 0": "(generator = 'real') = (label = 0)", "split": "split IN ('train', 'val', 'test')", "extent": "width = crop_size AND height = crop_size",
+    "crop lies inside": "crop_left >= 0 AND crop_top >= 0 AND crop_left + crop_size <= source_width AND crop_top + crop_size <= source_height", "file hash": _SHA.format("sha256"), "pixel hash": _SHA.format("pixel_sha256"),
+    "perceptual hash": "regexp_full_match(phash, '[0-9a-f]{16}')",
+}
+_KEYED = " UNION ALL ".join(f"SELECT '{k}' AS key, {r} AS required, CASE WHEN {sql_strip(k)} != '' THEN {k} END AS v, coalesce(split, '(null)') AS s FROM highres_manifest" for k, r in (("leakage_group", True), ("group_id", True), ("sha256", False), ("pixel_sha256", False)))
+
+
+@query(
+    " UNION ALL ".join(f"SELECT '{k}' AS \"check\", count(*) FILTER (NOT coalesce({c}, false)) AS rows FROM highres_manifest" for k, c in _PARTS.items())
+    + "".join(f" UNION ALL SELECT '{c} again', count({c}) - count(DISTINCT {c}) FROM highres_manifest" for c in ("source_id", "path"))
+    + f" UNION ALL SELECT key || ' blank', count(*) FROM ({_KEYED}) WHERE v IS NULL AND required GROUP BY key"
+    + f" UNION ALL SELECT key || ' crossing', sum(n)::BIGINT FROM (SELECT key, v, count(*) AS n FROM ({_KEYED}) WHERE v IS NOT NULL GROUP BY 1, 2 HAVING min(s) < max(s)) GROUP BY key"
+)
+def corpus_problems(spark: SparkSession, d: str) -> DataFrame:
+    """What keeps the delivered manifest from being a finished corpus."""
+    return audits.corpus_problems(table(spark, d, "highres_manifest"))

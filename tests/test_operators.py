@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from corpusloom.functions import scalars
 from corpusloom.operators import bootstrap, catalog, components, contracts, dedup, evidence, experiments, gates, kernels, manifests, metrics, ml, selection
 from corpusloom.plans import audits
+from corpusloom.scratch import Scratch
 from corpusloom.sources import files, paged, sinks
 from corpusloom.streaming import increments
 
@@ -101,6 +102,8 @@ def test_stream_appends_once(spark, tmp_path):
 
 def test_scalars(spark):
     df = spark.createDataFrame([(" Cat  A ", "k1", "12_34.jpg"), ("", "k2", "012_3.jpg"), (None, "k3", None)], "t string, k string, f string")
+    ends = spark.createDataFrame([("512\n", "5_6.jpg\n")], "n string, f string")
+    assert tuple(ends.select(manifests.canonical_integer(F.col("n")), scalars.geometry(F.col("n"), F.col("n")), scalars.pair_of_name(F.col("f"))[0]).first()) == (None, "(invalid)", None)
     h = [r[0] for r in df.select(scalars.text_hash(F.col("t"), F.col("k"))).collect()]
     assert len(set(h)) == 3 and h[0] == spark.sql("select sha2('cat a', 256)").first()[0]
     p, c = scalars.pair_of_name(F.col("f"))
@@ -369,6 +372,46 @@ def test_lineage_pairs_one_to_one(spark):
             catalog.lineage(a, other, "id", {"u": "w"}).collect()
 
 
+def test_corpus_build_records_what_it_lacks(spark, scratch):
+    sha = lambda k: hashlib.sha256(str(k).encode()).hexdigest()
+    rows = []
+    for g in range(12):
+        for y, name in ((0, "real"), (1, "a"), (1, "b")):
+            k = 3 * g + "rab".index(name[0])
+            rows.append((f"s{k:02}", f"g{g}", y, name, ("train", "val", "test")[g % 3], 600, 700, sha("shared" if k in (0, 3) else k), None, f"{k * 0x9E3779B97F4A7C15 % 2**64:016x}"))
+    rows += [("small", "g0", 0, "real", "train", 100, 700, None, None, None), ("lone", "x", 1, "a", "train", 600, 600, None, None, None)]
+    df = spark.createDataFrame(rows, "source_id string, group_id string, label int, generator string, official_split string, source_width int, source_height int, pixel_sha256 string, source_sha256 string, phash string")
+    kept, out, record = audits.corpus_build(df, ["a", "b"], scratch)
+    # The real rows of the groups 0 (train) and 1 (val) show the same picture.
+    assert record["groups"] == 12 and record["left_out"] == {"components": 1, "rows": 4} and record["rows"] == 20 and record["empty"] == []
+    assert {r["splits"] for r in out.collect()} == {"train+val"}
+    got = kept.collect()
+    assert {r["role"] for r in got} == {"real", "a", "b"} and len({r["component"] for r in got}) == 10 and all(r["split"] == r["official_split"] and 0 <= r["crop_left"] <= 216 for r in got)
+    assert audits.corpus_build(df.where("generator != 'b'"), ["a", "b"], Scratch(spark, "empty"))[2]["rows"] == 0
+
+
+def test_launches_and_summaries(spark, tmp_path):
+    path = tmp_path / "m.csv"
+    path.write_text("x")
+    df = spark.createDataFrame([("train",), ("val",), ("val",)], "split string")
+    record = evidence.launch_record(str(path), gates.row_counts(df, "split"), {"seed": 7}, {"seed": 7, "sampler": "pairs"})
+    digest = hashlib.sha256(b"x").hexdigest()
+    assert record["sha256"] == digest and record["rows"] == {"total": 3, "by_split": {"train": 1, "val": 2}}
+    summary = {"schema_version": "v", "artifacts": {"manifest": "m.csv"}, "manifest_sha256": digest, "counts": {"rows": 3}}
+    evidence.validated_manifest(str(path), summary, "v", 3)
+    path.write_text("y")
+    with pytest.raises(contracts.ContractError, match="manifest_sha256"):
+        evidence.validated_manifest(str(path), summary, "v", 3)
+
+
+def test_corpus_files_are_checked(spark):
+    sha = "a" * 64
+    rows = spark.createDataFrame([("p", "s", 0, "real", "train", "g", "l", 10, 10, 10, 0, 0, 20, 20, sha, sha, "0" * 15 + "1", 5), ("q", "s", 1, "real", "test", "g", "k", 10, 9, 10, 15, 0, 20, 20, "x", sha, "1", 5)], "path string, source_id string, label int, generator string, split string, group_id string, leakage_group string, width int, height int, crop_size int, crop_left int, crop_top int, source_width int, source_height int, sha256 string, pixel_sha256 string, phash string, file_bytes long")
+    found = spark.createDataFrame([("p", 5, sha)], "path string, size long, sha256 string")
+    got = {r["check"]: r["rows"] for r in audits.corpus_problems(rows, found).collect()}
+    assert got == {"label": 0, "real has label 0": 1, "split": 0, "extent": 1, "crop lies inside": 1, "file hash": 1, "pixel hash": 0, "perceptual hash": 1, "source_id again": 1, "path again": 0, "group_id crossing": 2, "pixel_sha256 crossing": 2, "file there": 1, "file size": 1, "file bytes": 1}
+
+
 def test_windows_count_late_rows(spark, tmp_path):
     df = spark.sql("select * from values (timestamp_ntz'2024-01-01 10:59:59', 'a'), (timestamp_ntz'2024-01-01 10:00:00', 'a'), (timestamp_ntz'2023-01-01 00:00:00', 'b'), (null, 'a') as t(ts, k)")
     df.write.parquet(f"{tmp_path}/e")
