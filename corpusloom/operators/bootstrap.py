@@ -14,14 +14,13 @@ true positive rate is looked up in the one range that holds the point.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.prefix import running
 from corpusloom.functions.text import hex64
 from corpusloom.operators import metrics
 from corpusloom.scratch import Scratch
@@ -205,40 +204,33 @@ def flattened(intervals: DataFrame, keys: Sequence[str], names: Sequence[str] =
     return intervals.groupBy(*keys).agg(*[pick(m, c).alias(f"{m}_{n}") for m in names for c, n in (("lower", "ci_lower"), ("upper", "ci_upper"), ("repeats", "bootstrap_repeats"))])
 
 
-def draw(replicate: Column, cluster: Column) -> Column:
-    """The weight of a cluster in a replicate as an expression, from a hash of its own, for metrics given as functions."""
-    u = F.conv(F.substring(F.sha2(F.concat_ws(":", replicate.cast("string"), cluster.cast("string")), 256), 1, 13), 16, 10).cast("double") / float(2**52)
-    out = F.lit(0)
-    for p in POISSON:
-        out = out + F.when(u >= p, 1).otherwise(0)
-    return out
+def statistic_values(df: DataFrame, unit: str, sums: Mapping[str, Column], values: Mapping[str, Column], repeats: int = 2000) -> DataFrame:
+    """``(metric, replicate, value)`` of metrics given as expressions over weighted sums.
 
-
-def replicate_points(df: DataFrame, unit: str, repeats: int) -> DataFrame:
-    """``metrics.curve`` of every replicate, ``replicate`` its key, for metrics given as functions; ``unit`` is what is drawn, a cluster or a row's own number.
-
-    This writes a row a replicate and score; the surveyed metrics don't need it.
-
-    A unit is drawn once a replicate, whatever its rows; replicates that lack a class are left out, a null unit raises.
+    ``sums`` names a number of every row, ``values`` a metric over these names;
+    a mean is the ratio of two sums.  ``unit`` is what is drawn, a cluster or a
+    row's own number.  A task multiplies its rows by their weights in all
+    replicates and sends one row a replicate; nulls count as 0, values that
+    aren't finite are null.
     """
-    c = F.when(F.col(unit).isNull(), F.raise_error(F.lit("a row has no unit"))).otherwise(F.col(unit))
-    own = df.groupBy(c.alias("unit"), "score").agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n"))
-    drawn = own.select("unit").distinct().withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("w", draw(F.col("replicate"), F.col("unit"))).where("w > 0")
-    per = own.join(drawn, "unit").groupBy("replicate", "score").agg(F.sum(F.col("p") * F.col("w")).alias("p"), F.sum(F.col("n") * F.col("w")).alias("n"))
-    sums = per.groupBy("replicate").agg(F.sum("p").alias("positives"), F.sum("n").alias("negatives")).where("positives > 0 and negatives > 0")
-    return running(per, ["replicate"], [F.col("score").desc()], metrics.score_bucket(F.col("score")), {"tp": "p", "fp": "n"}).join(sums, "replicate")
-
-
-def metric_values(df: DataFrame, unit: str, of: dict[str, Callable[[DataFrame], DataFrame]], scratch: Scratch, repeats: int) -> DataFrame:
-    """``(metric, replicate, value)`` of metrics given as functions from ``replicate_points`` to ``(replicate, value)``; null where a value isn't finite."""
-    points = scratch.save(replicate_points(df, unit, repeats), "points")
-    values = None
-    for name, metric in of.items():
-        v = metric(points).select(F.lit(name).alias("metric"), "replicate", F.nanvl("value", F.lit(None).cast("double")).alias("value"))
-        values = v if values is None else values.unionByName(v)
-    return values
-
-
-def metric_intervals(df: DataFrame, unit: str, of: dict[str, Callable[[DataFrame], DataFrame]], scratch: Scratch, repeats: int = 2000) -> DataFrame:
-    """``(metric, lower, upper, repeats)`` over resampled units; see ``metric_values``."""
-    return interval(metric_values(df, unit, of, scratch, repeats), ["metric"])
+    names = list(sums)
+    rows = df.select(cluster_number(F.col(unit)).alias("cluster"), *[F.coalesce(c.cast("double"), F.lit(0.0)).alias(f"s{k}") for k, c in enumerate(sums.values())])
+    most = max(1, CELLS // repeats)
+
+    def weighted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((repeats, len(names)))
+        for b in batches:
+            for k in range(0, b.num_rows, most):
+                part = b.slice(k, most)
+                total += weights(part.column(0).to_numpy().view(np.uint64), np.arange(repeats)).T @ np.stack([c.to_numpy() for c in part.columns[1:]], 1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(repeats), pa.int32()), *(pa.array(total[:, k]) for k in range(len(names)))], ["replicate", *(f"s{k}" for k in range(len(names)))])
+
+    parts = rows.mapInArrow(weighted, "replicate int, " + ", ".join(f"s{k} double" for k in range(len(names))))
+    per = parts.groupBy("replicate").agg(*[F.sum(f"s{k}").alias(n) for k, n in enumerate(names)])
+    out = per.select("replicate", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), v.cast("double").alias("value")) for m, v in values.items()])).alias("x"))
+    return out.select("x.metric", "replicate", F.when(~F.isnan("x.value") & (F.abs("x.value") < float("inf")), F.col("x.value")).alias("value"))
+
+
+def statistic_intervals(df: DataFrame, unit: str, sums: Mapping[str, Column], values: Mapping[str, Column], repeats: int = 2000) -> DataFrame:
+    """``(metric, lower, upper, repeats)`` over resampled units; see ``statistic_values``."""
+    return interval(statistic_values(df, unit, sums, values, repeats), ["metric"])

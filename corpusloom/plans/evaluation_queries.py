@@ -253,11 +253,27 @@ def scope_intervals(spark: SparkSession, d: str) -> DataFrame:
     return bootstrap.flattened(_round(i, "lower", "upper"), ["scope"])
 
 
+def _statistics() -> tuple[dict, dict]:
+    """Sums over rows and metrics over sums, for the bootstrap of any such metric."""
+    s, y = F.greatest(F.least(F.col("score"), F.lit(1 - 1e-7)), F.lit(1e-7)), F.col("label")
+    sums = {"n": F.lit(1.0), "sq": F.pow(F.col("score") - y, 2), "loss": -(y * F.log(s) + (1 - y) * F.log(1 - s)), "pos": y, "pos_score": y * F.col("score")}
+    return sums, {"brier": F.try_divide("sq", "n"), "log_loss": F.try_divide("loss", "n"), "mean_positive_score": F.try_divide("pos_score", "pos")}
+
+
+@query(
+    f"WITH {_P}, {_DRAWS}, k AS (SELECT grp, count(*) AS n, sum(pow(score - label, 2)) AS sq, sum(-(label * ln(greatest(least(score, 1 - 1e-7), 1e-7)) + (1 - label) * ln(1 - greatest(least(score, 1 - 1e-7), 1e-7)))) AS loss, sum(label) AS pos, sum(label * score) AS ps FROM p GROUP BY 1), "
+    "v AS (SELECT replicate, sum(w * sq) / sum(w * n) AS brier, sum(w * loss) / sum(w * n) AS log_loss, sum(w * ps) / sum(w * pos) AS mean_positive_score FROM k JOIN w USING (grp) GROUP BY 1), u AS (UNPIVOT v ON brier, log_loss, mean_positive_score INTO NAME metric VALUE value) "
+    f"SELECT metric, {_ENDS.format(v='value')}, count(value) AS repeats FROM u GROUP BY 1"
+)
+def statistic_bootstrap(spark: SparkSession, d: str) -> DataFrame:
+    """Intervals of metrics given as expressions over sums, over resampled clusters."""
+    return _round(bootstrap.statistic_intervals(predictions(spark, d), "grp", *_statistics(), _REPEATS), "lower", "upper")
+
+
 @query()
 def row_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    """Intervals of any metric given as a function (here the mean score of the positives) over resampled rows."""
-    p = predictions(spark, d)
-    return _round(bootstrap.metric_intervals(p, "event_id", {"mean_score_of_positives": lambda x: x.groupBy("replicate").agg((F.sum(F.col("p") * F.col("score")) / F.sum("p")).alias("value"))}, Scratch(spark, "bootstrap"), 200), "lower", "upper")
+    """The same over resampled rows."""
+    return _round(bootstrap.statistic_intervals(predictions(spark, d), "event_id", *_statistics(), _REPEATS), "lower", "upper")
 
 
 def _file_rows(spark: SparkSession, d: str) -> DataFrame:

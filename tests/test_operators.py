@@ -502,6 +502,22 @@ def test_bootstrap_of_four_metrics(spark, scratch, monkeypatch, ranges, cells):
         assert abs(got[name]["lower"] - np.quantile(values, 0.025)) < 1e-9 and abs(got[name]["upper"] - np.quantile(values, 0.975)) < 1e-9
 
 
+@pytest.mark.parametrize("unit,cells", [("g", 1 << 22), ("row", 100)])
+def test_bootstrap_of_any_statistic(spark, monkeypatch, unit, cells):
+    monkeypatch.setattr(bootstrap, "CELLS", cells)
+    rows = [(k, k % 9, (k * 37 % 41) / 41 if k % 10 else None) for k in range(70)]
+    df = spark.createDataFrame(rows, "row long, g long, x double")
+    got = {r["metric"]: r for r in bootstrap.statistic_intervals(df, unit, {"n": F.col("x").isNotNull().cast("int"), "x": F.col("x")}, {"mean": F.try_divide("x", "n"), "none": F.try_divide("x", F.lit(0))}, 40).collect()}
+    values = []
+    for rep in range(40):
+        w = lambda u: sum((splitmix(int(hashlib.sha256(str(u).encode()).hexdigest()[:16], 16), rep) >> 11) / 2**53 >= p for p in bootstrap.POISSON)
+        x = [(w(r[1] if unit == "g" else r[0]), r[2]) for r in rows if r[2] is not None]
+        values.append(sum(a * b for a, b in x) / sum(a for a, _ in x))
+    assert set(got) == {"mean"} and got["mean"]["repeats"] == 40
+    assert abs(got["mean"]["lower"] - np.quantile(values, 0.025)) < 1e-9 and abs(got["mean"]["upper"] - np.quantile(values, 0.975)) < 1e-9
+    assert bootstrap.statistic_intervals(df.where("false"), unit, {"n": F.lit(1)}, {"m": F.try_divide("n", "n")}, 3).count() == 0
+
+
 def test_balanced_pairs(spark):
     from collections import Counter
 
