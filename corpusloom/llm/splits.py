@@ -83,10 +83,10 @@ def spanning_forest(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, Data
     return labels, forest
 
 
-def key_graph(records: DataFrame, record_id: str, group: str, parent: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Every record's least and greatest key as numbers ``(id, lo, hi)``, and the edges ``(u, v)`` between keys.
+def key_graph(records: DataFrame, record_id: str, group: str, parent: str, split: Column, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Every record's least and greatest key as numbers and its least and greatest split by place in ``SPLITS``, ``(id, lo, hi, first, last)``, and the edges ``(u, v)`` between keys.
 
-    A record's keys are its group (white space around it and case ignored; null,
+    The table is read once.  A record's keys are its group (white space around it and case ignored; null,
     blank and placeholder names are none) and its parent number if above 0; rows
     with the same id are one record, rows with a null id are none.
     """
@@ -95,35 +95,37 @@ def key_graph(records: DataFrame, record_id: str, group: str, parent: str, scrat
         F.col(record_id).alias("id"),
         F.when(~name.isin(*EMPTY_GROUPS), F.concat(F.lit("g:"), name)).alias("g"),
         F.when(F.col(parent) > 0, F.concat(F.lit("p:"), F.col(parent).cast("string"))).alias("p"),
+        F.nullif(F.array_position(F.array(*[F.lit(n) for n in SPLITS]), split), F.lit(0)).cast("int").alias("s"),
     )
     rows = scratch.save(rows.distinct(), "keys")
     seed = separating_seed(rows.select(F.explode(F.array("g", "p"))))
-    rows = rows.select("id", number(seed, F.col("g")).alias("g"), number(seed, F.col("p")).alias("p"))
-    ends = rows.groupBy("id").agg(F.min(F.least("g", "p")).alias("lo"), F.max(F.greatest("g", "p")).alias("hi"))
+    rows = rows.select("id", number(seed, F.col("g")).alias("g"), number(seed, F.col("p")).alias("p"), "s")
+    ends = rows.groupBy("id").agg(F.min(F.least("g", "p")).alias("lo"), F.max(F.greatest("g", "p")).alias("hi"), F.min("s").alias("first"), F.max("s").alias("last"))
     both = rows.where("g is not null and p is not null").select(F.col("g").alias("u"), F.col("p").alias("v"))
     # A record delivered with different keys ties them together by its smallest one.
     several = rows.join(ends.where("lo < hi"), "id").select("lo", F.explode(F.array_compact(F.array("g", "p"))).alias("k")).where("lo != k")
     return ends, both.union(several)
 
 
-def record_sets(records: DataFrame, record_id: str, group: str, parent: str, scratch: Scratch) -> DataFrame:
-    """``(id, set_id)``: the related set of every record with an id.
+def placed_records(records: DataFrame, record_id: str, group: str, parent: str, split: Column, scratch: Scratch) -> DataFrame:
+    """``(id, root, first, last)`` of every record with an id, persisted: the number of its related set, null for one without a key, and its least and greatest split.
 
-    Records are related if they share a key of ``key_graph``, directly or
-    through other records.  A record without a key is a set of its own; other
-    columns are not looked at, whatever their names.
+    Records are related if they share a key of ``key_graph``, directly or through other records; other columns are not looked at, whatever their names.
     """
-    ends, edges = key_graph(records, record_id, group, parent, scratch)
+    ends, edges = key_graph(records, record_id, group, parent, split, scratch)
     labels, _ = spanning_forest(edges, scratch)
-    return (
-        ends.join(labels.select(F.col("c").alias("lo"), "p").hint("shuffle_hash"), "lo", "left")
-        .select("id", F.coalesce(F.concat(F.lit("k:"), F.coalesce("p", "lo").cast("string")), F.concat(F.lit("r:"), "id")).alias("set_id"))
-    )
+    return scratch.save(ends.join(labels.select(F.col("c").alias("lo"), "p").hint("shuffle_hash"), "lo", "left").select("id", F.coalesce("p", "lo").alias("root"), "first", "last"), "sets")
+
+
+def record_sets(records: DataFrame, record_id: str, group: str, parent: str, scratch: Scratch) -> DataFrame:
+    """``(id, set_id)``: the related set of every record with an id; a record without a key is a set of its own."""
+    placed = placed_records(records, record_id, group, parent, F.lit(None).cast("string"), scratch)
+    return placed.select("id", F.coalesce(F.concat(F.lit("k:"), F.col("root").cast("string")), F.concat(F.lit("r:"), "id")).alias("set_id"))
 
 
 def forest_summary(records: DataFrame, record_id: str, group: str, parent: str, scratch: Scratch) -> DataFrame:
     """``(keys, trees, edges)``: the keys that an edge reaches, their spanning trees, and the edges of these; one row."""
-    _, edges = key_graph(records, record_id, group, parent, scratch)
+    _, edges = key_graph(records, record_id, group, parent, F.lit(None).cast("string"), scratch)
     labels, forest = spanning_forest(edges, scratch)
     return labels.agg(F.count(F.lit(1)).alias("keys"), F.count_distinct("p").alias("trees")).crossJoin(forest.agg(F.count(F.lit(1)).alias("edges")))  # one row each
 
@@ -136,10 +138,9 @@ def split_name(c: Column) -> Column:
 
 def crossing_records(records: DataFrame, record_id: str, group: str, parent: str, split: str, scratch: Scratch) -> DataFrame:
     """``(id)``: all records of the related sets whose rows stand in two or more splits."""
-    sets = scratch.save(record_sets(records, record_id, group, parent, scratch), "sets")
-    stood = records.where(F.col(record_id).isNotNull()).select(F.col(record_id).alias("id"), split_name(F.col(split)).alias("s")).where("s is not null").distinct()
-    crossing = sets.join(stood, "id").groupBy("set_id").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).where("lo < hi").select("set_id")
-    return sets.join(crossing, "set_id", "left_semi").select("id")
+    placed = placed_records(records, record_id, group, parent, split_name(F.col(split)), scratch)
+    crossing = placed.where("root is not null").groupBy("root").agg(F.min("first").alias("lo"), F.max("last").alias("hi")).where("lo < hi").select("root")
+    return placed.join(crossing, "root", "left_semi").select("id").union(placed.where("root is null and first < last").select("id"))
 
 
 def deal(sizes: DataFrame, targets: Sequence[tuple[str, float]], bits: int = 10) -> DataFrame:
