@@ -68,7 +68,11 @@ def _masks(width: int, radius: int) -> list[int]:
 
 
 def near_values(values: DataFrame, distance: int, left: int, right: int) -> DataFrame:
-    """``(tv, ev, differing)``: pairs of longs from ``values(x, in_train, in_eval)`` that differ in at most ``distance`` bits, equal ones too."""
+    """``(tv, ev, differing)``: pairs of longs from ``values(x, in_train, in_eval)`` that differ in at most ``distance`` bits, equal ones too.
+
+    The join is a merge by hint: Spark's size estimates count a value once, not
+    its dozens of spellings, and would broadcast sides that the driver can't hold.
+    """
     plan = piece_plan(distance, max(1, left), max(1, right))
 
     def spelled(k: int, shift: int, width: int, radius: int) -> Column:
@@ -81,7 +85,7 @@ def near_values(values: DataFrame, distance: int, left: int, right: int) -> Data
 
     train = side("in_train", "tv", lambda r: r // 2)
     other = side("in_eval", "ev", lambda r: r - r // 2)
-    near = train.join(other, "piece").withColumn("differing", hamming64(F.col("tv"), F.col("ev"))).where(F.col("differing") <= distance)
+    near = train.join(other.hint("merge"), "piece").withColumn("differing", hamming64(F.col("tv"), F.col("ev"))).where(F.col("differing") <= distance)
     return near.select("tv", "ev", "differing").distinct()
 
 

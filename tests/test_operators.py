@@ -3,6 +3,7 @@
 import hashlib
 import json
 import random
+import re
 import zipfile
 
 import numpy as np
@@ -329,6 +330,18 @@ def test_near_classes(spark):
     assert {tuple(r) for r in members.collect()} == {("a", "a", 2), ("b", "a", 2), ("c", "c", 1), ("e", "e", 1), ("f", "f", 1)}
 
 
+def joins_on_pieces(df):
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return set(re.findall(r"(\w+Join) \[piece#", plan))
+
+
+def test_pieces_of_near_classes_are_not_broadcast(spark):
+    rows = spark.range(300).select(F.col("id").cast("string").alias("id"), F.expr("string(id % 7)").alias("g"), F.xxhash64("id").alias("x"))
+    links, _ = dedup.near_classes(rows, "id", "g", "x", 4)
+    assert joins_on_pieces(links) == {"SortMergeJoin"}  # the estimates are far below any limit, the spellings aren't
+
+
 def test_isolation_gate_fails_closed(spark):
     df = spark.createDataFrame([("a", "g1", "c", "train"), ("b", "g1", None, "val"), ("c", " ", "c", None), ("d", "g2", "e", "test")], "id string, grp string, caption string, split string")
     got = {(r["key"], r["problem"]): r for r in gates.isolation_gate(df, "split", ("id", "grp", "gone"), ("caption", "absent")).collect()}
