@@ -342,6 +342,13 @@ def test_pieces_of_near_classes_are_not_broadcast(spark):
     assert joins_on_pieces(links) == {"SortMergeJoin"}  # the estimates are far below any limit, the spellings aren't
 
 
+def test_pieces_of_near_links_are_not_broadcast(spark):
+    rows = spark.range(300).select(F.col("id").alias("id"), (F.col("id") % 7).alias("g"), F.xxhash64(F.col("id") % 100).alias("x"))
+    links = dedup.near_links(rows, "id", "g", "x", 4)
+    assert joins_on_pieces(links) == {"SortMergeJoin"}
+    assert links.count() == 300  # 100 values of 3 records in 3 groups, no others near
+
+
 def test_isolation_gate_fails_closed(spark):
     df = spark.createDataFrame([("a", "g1", "c", "train"), ("b", "g1", None, "val"), ("c", " ", "c", None), ("d", "g2", "e", "test")], "id string, grp string, caption string, split string")
     got = {(r["key"], r["problem"]): r for r in gates.isolation_gate(df, "split", ("id", "grp", "gone"), ("caption", "absent")).collect()}
