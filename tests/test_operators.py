@@ -349,6 +349,31 @@ def test_pieces_of_near_links_are_not_broadcast(spark):
     assert links.count() == 300  # 100 values of 3 records in 3 groups, no others near
 
 
+def near_by_hand(rows, distance):
+    rows = {r for r in rows if r[0] is not None and r[2] is not None}
+    near = {(a[0], b[0], (a[2] ^ b[2]).bit_count()) for a in rows for b in rows if a[0] < b[0] and a[1] != b[1]}
+    return sorted(x for x in near if x[2] <= distance)
+
+
+def test_near_links_of_repeated_ids(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice([f"i{i}" for i in range(60)] + [None]), rng.choice(["g", "h", "k", None]), rng.choice([None, *range(8), 1 << 40, 3 << 39])) for _ in range(160)]
+    rows += rows[:40]  # single ids, repeated rows, ids of several groups or values
+    assert 10 < sum(1 for i in range(60) if len({r for r in rows if r[0] == f"i{i}" and r[2] is not None}) == 1) < 50
+    got = dedup.near_links(spark.createDataFrame(rows, "id string, g string, x long"), "id", "g", "x", 2)
+    assert sorted(map(tuple, got.collect())) == near_by_hand(rows, 2)
+
+
+def test_rows_of_near_links_are_not_broadcast(spark):
+    rows = spark.range(300).select(F.col("id").alias("id"), (F.col("id") % 7).alias("g"), F.xxhash64(F.col("id") % 100).alias("x"))
+    links = dedup.near_links(rows, "id", "g", "x", 4)
+    assert links.count() == 300
+    links.collect()
+    plan = links._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+    assert set(re.findall(r"(\w+Join) \[[te]v#", plan)) == {"SortMergeJoin"}
+    assert "hashpartitioning(left_id" not in plan  # pairs of ids of one row each aren't written once more for a distinct
+
+
 def test_isolation_gate_fails_closed(spark):
     df = spark.createDataFrame([("a", "g1", "c", "train"), ("b", "g1", None, "val"), ("c", " ", "c", None), ("d", "g2", "e", "test")], "id string, grp string, caption string, split string")
     got = {(r["key"], r["problem"]): r for r in gates.isolation_gate(df, "split", ("id", "grp", "gone"), ("caption", "absent")).collect()}
